@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filters, warc
+from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
 from .common import new_path
 
 
@@ -15,6 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
     warc.write_archive(*warc.warc_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
@@ -79,6 +98,9 @@ select q.page_id, q.host, q.path, m.rule, coalesce(m.verdict, 'allow') as verdic
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
