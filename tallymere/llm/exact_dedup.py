@@ -31,7 +31,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         best("keep_id").alias("keep_id"),
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two texts have one SHA-256")).cast("long")).otherwise(F.max("group_size")).alias("group_size"),
     )
-    return keyed.select("_id", "_sha").join(classes, F.col("_sha") == F.col("_class")).select(
+    # The digest as bytes, so that both sides are dealt anew for the join and its hot keys can be split.
+    return keyed.select("_id", "_sha").join(classes, F.unhex("_sha") == F.unhex("_class")).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
