@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
+from . import bpe, chat, exact_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
 from .common import new_path
 
 
@@ -26,6 +26,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))])).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.format_conversations(turns))
+    return back.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+#: The digests and counts; formatted_chars by the same template. In texts, backslashes are doubled and control strings get one more.
+OP3_SQL = r"""
+with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+ union all select -7, k, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(k, r)),
+n as (select *, length(text) + length(text) - length(replace(text, '', ''))
+  + len(regexp_extract_all(text, '<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>|<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]')) + length(role) + 24 as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
+from n group by conv_id
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -99,6 +121,7 @@ select q.page_id, q.host, q.path, m.rule, coalesce(m.verdict, 'allow') as verdic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op5_warc": op5_warc,
@@ -106,4 +129,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
