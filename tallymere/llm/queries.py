@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
+from . import bpe, chat, exact_dedup, line_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
 from .common import new_path
 
 
@@ -83,6 +83,22 @@ from documents window g as (partition by coalesce(text, ''))
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as k from documents),
+h as (select *, cast(('0x' || substr(md5(lag(md5(line)) over w || md5(line)), 1, 8)) as bigint) % 3 = 0 as cut from l window w as (partition by doc_id order by k)),
+c as (select *, coalesce(sum(case when cut then 1 else 0 end) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as chunk from h),
+t as (select doc_id, chunk, string_agg(line, chr(10) order by k) as body, count(*) as n, count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) >= 2 as multi from c group by doc_id, chunk),
+r as (select *, not multi or row_number() over (partition by multi, body order by doc_id, chunk) = 1 as stays from t)
+select doc_id, cast(sum(n) as bigint) as n_lines, count(*) as n_chunks, count(*) filter (not stays) as removed_chunks,
+ cast(coalesce(sum(n) filter (not stays), 0) as bigint) as removed_lines, coalesce(string_agg(body, chr(10) order by chunk) filter (stays), '') as text
+from r group by doc_id
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -126,7 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
