@@ -40,23 +40,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return s.select("source", "source_size", F.when(F.col("fill").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("fill") * F.col("weight"))).alias("target"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, share: float = 1.0) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies, taken (= copies * size).
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), _ticket(id_col).alias("ticket")), "mix-sizes")
 
-    Every document of a source is taken floor(target / source_size) times; the rest of the target is met by one
-    more copy of the documents whose hash lies under the source's threshold. The threshold is found without sorting
-    documents: sizes are summed by (source, bucket of the hash), a running sum over at most 4,096 buckets a source
-    finds the bucket where the budget ends, and only that bucket is summed again at the next 12 bits, until 60 bits
-    are used. The boundary document is in if that brings the sum nearer, so a source misses its target by half a
-    document at most. A null text has size 0. Rows that repeat an id share its hash and are taken together.
-    Reruns agree: the hash is of the id alone. Empty tables and sources of size 0 give targets of 0.
-    """
-    docs = written(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), _ticket(id_col).alias("ticket")), "mix-sizes")
+
+def _budgets(docs: DataFrame, weights, max_repeats: int, share: float) -> DataFrame:
+    """(b_source, source_size, target, whole, under): copies that every document gets, and one more for tickets under `under`."""
     targets = source_targets(docs, weights, max_repeats, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    budgets = written(targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-                      .withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
-    state = budgets.select("source", "left", "prefix")
+    budgets = written(targets.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    state = budgets.select("source", "left", F.lit(0).cast("long").alias("prefix"))
     for level in range(_LEVELS):
         shift = _LEVEL_BITS * (_LEVELS - 1 - level)
         t, d = state.alias("t"), docs.alias("d")
@@ -69,8 +62,35 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         state = written(edge.select("source", F.col("e.left").alias("left"), F.col("e.bucket").alias("prefix"), F.col("e.size").alias("size")), "mix-level")
     # A source without an edge takes all its documents once more. At the edge, the last bucket holds one id.
     edge = state.select(F.col("source").alias("edge_source"), (F.col("prefix") + F.when(F.col("left") * 2 >= F.col("size"), 1).otherwise(0)).alias("under"), F.lit(True).alias("has_edge"))
-    b = budgets.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").select(
-        F.col("source").alias("b_source"), "source_size", "target", "whole", F.when(F.col("left") > 0, F.when(F.col("has_edge"), F.col("under")).otherwise(F.lit(1 << 60))).otherwise(F.lit(0)).cast("long").alias("under"))
-    copies = F.least(F.lit(max_repeats), F.col("whole") + F.when(F.col("ticket") < F.col("under"), 1).otherwise(0)).cast("long")
+    under = F.when(F.col("left") > 0, F.when(F.col("has_edge"), F.col("under")).otherwise(F.lit(1 << 60))).otherwise(F.lit(0)).cast("long")
+    joined = budgets.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    return written(joined.select(F.col("source").alias("b_source"), "source_size", "target", "whole", under.alias("under")), "mix-budgets")
+
+
+def _copies(ticket, max_repeats: int):
+    return F.least(F.lit(max_repeats), F.col("whole") + F.when(ticket < F.col("under"), 1).otherwise(0)).cast("long")
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, share: float = 1.0) -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies, taken (= copies * size).
+
+    Every document of a source is taken floor(target / source_size) times; the rest of the target is met by one
+    more copy of the documents whose hash lies under the source's threshold. The threshold is found without sorting
+    documents: sizes are summed by (source, bucket of the hash), a running sum over at most 4,096 buckets a source
+    finds the bucket where the budget ends, and only that bucket is summed again at the next 12 bits, until 60 bits
+    are used. The boundary document is in if that brings the sum nearer, so a source misses its target by half a
+    document at most. A null text has size 0. Rows that repeat an id share its hash and are taken together.
+    Reruns agree: the hash is of the id alone. Empty tables and sources of size 0 give targets of 0.
+    """
+    docs = _sizes(df, id_col, text_col, source_col)
+    b = _budgets(docs, weights, max_repeats, share)
+    copies = _copies(F.col("ticket"), max_repeats)
     return docs.join(b, F.col("source").eqNullSafe(F.col("b_source"))).select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, share: float = 1.0) -> DataFrame:
+    """The mix itself: each row of df as often as mix_sources takes it, with df's columns. The texts meet only the small table of sources."""
+    b = _budgets(_sizes(df, id_col, text_col, source_col), weights, max_repeats, share)
+    joined = df.join(b, F.col(source_col).eqNullSafe(F.col("b_source"))).withColumn("_copies", _copies(_ticket(id_col), max_repeats).cast("int")).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*df.columns)

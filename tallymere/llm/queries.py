@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, quality_classifier, quality_rules, url_filters, warc
+from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, url_filters, warc
 from .common import new_path
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -136,6 +140,7 @@ select q.page_id, q.host, q.path, m.rule, coalesce(m.verdict, 'allow') as verdic
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
