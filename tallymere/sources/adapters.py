@@ -138,7 +138,7 @@ def sql(text: str) -> str:
     views = _needed(text)
     ctes = ",\n".join(f"{n} as ({VIEWS[n]})" for n in views)
     whole = text if not views else f"with {ctes},\n{text.strip()[5:]}" if text.strip().lower().startswith("with ") else f"with {ctes}\n{text}"
-    return re.sub(r"\{(" + "|".join(BASE) + r")\}", r"\1", whole)
+    return re.sub(r"\{(" + "|".join(BASE) + r")\}", r"\1", whole).replace("element_at(", "list_extract(")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
