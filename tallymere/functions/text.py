@@ -1,8 +1,7 @@
 """Text: cleaning, names, currencies, descriptions."""
 
-from __future__ import annotations
-
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,23 +22,29 @@ BRANCH_WORDS = ("branch", "store", "br", "outlet", "loc", "location")
 _ASCII = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@cache
+def _nfkc():
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(normal, "string")
+
 
+@cache
+def _casefold():
+    def folded(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else x.casefold())
 
-@F.pandas_udf("string")
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
+    return F.pandas_udf(folded, "string")
 
 
 def nfkc(text: Column, ascii_only: bool = False) -> Column:
     """Unicode NFKC. ASCII is its own NFKC, so with ascii_only the Python step isn't planned at all."""
-    return text if ascii_only else F.when(F.regexp_like(text, F.lit(_ASCII)), text).otherwise(_nfkc(text))
+    return text if ascii_only else F.when(F.regexp_like(text, F.lit(_ASCII)), text).otherwise(_nfkc()(text))
 
 
 def casefold(text: Column, ascii_only: bool = False) -> Column:
-    return F.lower(text) if ascii_only else F.when(F.regexp_like(text, F.lit(_ASCII)), F.lower(text)).otherwise(_casefold(text))
+    return F.lower(text) if ascii_only else F.when(F.regexp_like(text, F.lit(_ASCII)), F.lower(text)).otherwise(_casefold()(text))
 
 
 def collapse(text: Column) -> Column:

@@ -137,7 +137,8 @@ def sql(text: str) -> str:
     """A DuckDB query: `text` after the definitions of the views that it names; base tables may stand in braces."""
     views = _needed(text)
     ctes = ",\n".join(f"{n} as ({VIEWS[n]})" for n in views)
-    whole = text if not views else f"with {ctes},\n{text.strip()[5:]}" if text.strip().lower().startswith("with ") else f"with {ctes}\n{text}"
+    own = re.match(r"\s*with(\s+recursive)?\s", text, re.I)
+    whole = text if not views else f"with{own[1] or ''} {ctes},\n{text[own.end():]}" if own else f"with {ctes}\n{text}"
     return re.sub(r"\{(" + "|".join(BASE) + r")\}", r"\1", whole).replace("element_at(", "list_extract(")
 
 
