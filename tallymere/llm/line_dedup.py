@@ -56,7 +56,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     # The hash as hex on both sides: dealt anew for this join, so that the places of a very common chunk are split.
     gone = one.drop("chunk").join(repeated, F.hex("hash") == F.hex("r_hash")).where(~place.eqNullSafe(F.col("first")))
     gone = written(gone.groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("at").alias("gone")), "removed-chunks")
-    joined = chunked.join(gone, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # The removed places grow with the input, so the texts are always dealt by id for this join and never meet a broadcast.
+    joined = chunked.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     stays = F.filter("chunks", lambda c, k: ~F.array_contains(F.col("gone"), k))
     out = joined.select("_id", "n_lines", F.size("chunks").alias("n_chunks"), F.size("gone").alias("removed_chunks"), stays.alias("stays"))
     left_lines = F.aggregate("stays", F.lit(0), lambda a, c: a + F.size(F.split(c, "\n", -1)))
