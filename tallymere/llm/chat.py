@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,19 +62,23 @@ def root_paths(messages: DataFrame) -> DataFrame:
     """(tree, node, path, score) for every node that a root leads to, from (tree, node, parent, score).
 
     Pointer doubling: each round joins every node's topmost known ancestor with that ancestor's own path, so a path
-    of d nodes takes log2(d) self-joins. Ids only are joined, never texts; each round is written to the shared folder.
+    of d nodes takes log2(d) self-joins, and only nodes that haven't reached their root are joined again. Ids only are
+    joined, never texts; each round is written to the shared folder.
     A parent that doesn't exist makes its node a root; nodes on a loop of parents, or below one, have no root and drop.
     """
-    p = written(messages.select("tree", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.lit(False).alias("loop")), "chat-paths")
-    while not p.where("up is not null").isEmpty():
-        q = p.select(F.col("tree").alias("q_tree"), F.col("node").alias("q_node"), F.col("up").alias("q_up"), F.col("path").alias("q_path"), F.col("score").alias("q_score"), F.col("loop").alias("q_loop"))
-        joined = p.join(q, (F.col("tree") == F.col("q_tree")) & (F.col("up") == F.col("q_node")), "left")
+    state = written(messages.select("tree", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.lit(False).alias("loop")), "chat-paths")
+    done = []
+    while not (open_ := state.where("up is not null")).isEmpty():
+        done.append(state.where("up is null"))
+        everyone = reduce(DataFrame.union, [*done, open_])
+        q = everyone.select(F.col("tree").alias("q_tree"), F.col("node").alias("q_node"), F.col("up").alias("q_up"), F.col("path").alias("q_path"), F.col("score").alias("q_score"), F.col("loop").alias("q_loop"))
+        joined = open_.join(q, (F.col("tree") == F.col("q_tree")) & (F.col("up") == F.col("q_node")), "left")
         found = F.col("q_node").isNotNull()
         loop = F.col("loop") | F.coalesce(F.col("q_loop") | F.arrays_overlap("path", "q_path"), F.lit(False))
-        p = written(joined.select(
+        state = written(joined.select(
             "tree", "node", F.when(found & ~loop, F.col("q_up")).alias("up"), F.when(found & ~loop, F.concat("q_path", "path")).otherwise(F.col("path")).alias("path"),
             (F.col("score") + F.coalesce("q_score", F.lit(0.0))).alias("score"), loop.alias("loop")), "chat-paths")
-    return p.where(~F.col("loop")).select("tree", "node", "path", "score")
+    return reduce(DataFrame.union, [*done, state]).where(~F.col("loop")).select("tree", "node", "path", "score")
 
 
 def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
