@@ -29,7 +29,8 @@ def upload_gate(name: Column, n_bytes: Column, head_hex: Column, max_mb: int = M
 
 
 def gated_files(spark, path: str, max_mb: int = MAX_MB, glob: str | None = None) -> DataFrame:
-    """Files under a folder with their verdict: path, length, ok, reason, content_type. Only the first bytes of a file are kept."""
+    """Files under a folder with their verdict: path, length, ok, reason, content_type. Only the first bytes of a file are kept.
+    Spark lists no rows for files of no bytes; where those count, gate a table of names and sizes with upload_gate."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     gate = upload_gate(F.col("path"), F.col("length"), F.hex(F.substring("content", 1, 16)), max_mb)

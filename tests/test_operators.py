@@ -121,10 +121,10 @@ def test_pages_and_export_cap(spark):
 
 
 def test_upload_gate_on_files(spark, tmp_path):
-    for name, data in {"a.jpg": b"\xff\xd8\xff\xe0data", "b.gif": b"GIF89a", "c.png": b"", "d.pdf": b"%PDF-1.7", "e.png": b"<html>", "f.webp": b"RIFF\0\0\0\0WEBPVP8 ", "g.heic": b"\0\0\0\x18ftypheic"}.items():
+    for name, data in {"a.jpg": b"\xff\xd8\xff\xe0data", "b.gif": b"GIF89a", "d.pdf": b"%PDF-1.7", "e.png": b"<html>", "f.webp": b"RIFF\0\0\0\0WEBPVP8 ", "g.heic": b"\0\0\0\x18ftypheic"}.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: (r["ok"], r["reason"], r["content_type"]) for r in ingest.gated_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.jpg": (True, None, "image/jpeg"), "b.gif": (False, "unsupported ending", None), "c.png": (False, "empty", None), "d.pdf": (True, None, "application/pdf"), "e.png": (False, "unknown content", None), "f.webp": (True, None, "image/webp"), "g.heic": (True, None, "image/heic")}
+    assert got == {"a.jpg": (True, None, "image/jpeg"), "b.gif": (False, "unsupported ending", None), "d.pdf": (True, None, "application/pdf"), "e.png": (False, "unknown content", None), "f.webp": (True, None, "image/webp"), "g.heic": (True, None, "image/heic")}
 
 
 def test_tall_strips_cover_the_image(spark):
