@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 from collections.abc import Iterable, Iterator
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from .words import pieces
 
 #: Words that a Python worker keeps with their encodings: two generations of this many, the older one only for what is used again.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Pairs of tokens whose fit is kept.
-KNOWN_PAIRS = 300_000
+KNOWN_PAIRS = 200_000
 #: Longer words are encoded on their own, each step with the same rule, so that the trie stays small.
 TRIE_DEPTH = 64
 
@@ -219,10 +220,14 @@ def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(definition.value)
-        for batch in batches:
-            for piece in pieces(batch, "_text", 4 << 20):
-                ids, decoded = encoder.encode([t or "" for t in piece.column("_text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_id", "ids", "decoded"])
+        gc.disable()  # millions of small objects without cycles: counting references frees them
+        try:
+            for batch in batches:
+                for piece in pieces(batch, "_text", 2 << 20):
+                    ids, decoded = encoder.encode([t or "" for t in piece.column("_text").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_id", "ids", "decoded"])
+        finally:
+            gc.enable()
 
     made = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {df.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
     return made.select(F.col("_id").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

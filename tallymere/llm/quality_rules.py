@@ -19,7 +19,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: What the rules allow: shares of a text, or characters a word.
 ALLOWED = {"symbols_per_word": 0.1, "repeated_lines": 0.3, "capitals": 0.3, "longest_mean_word": 10.0, "shortest_mean_word": 3.0}
-#: The forest's documented bounds: each tree is grown on its own TREE_ROWS documents, dealt by a hash of their ids.
+#: The forest's documented bounds: each tree is grown on TREE_ROWS of TREES * TREE_ROWS documents, which a hash of their ids chooses.
 TREES, TREE_ROWS, SEED = 64, 256, 7
 #: The threshold rejects this share of the rows labelled good at most; without labels it is DEFAULT_THRESHOLD.
 MAX_GOOD_LOST, DEFAULT_THRESHOLD, SCORE_STEPS = 0.005, 0.7, 1000
@@ -132,13 +132,14 @@ class Forest:
 def _with_statistics(df: DataFrame, text_col: str, forest: Forest | None, keep_columns: list[str], only_kept: bool = False) -> DataFrame:
     """keep_columns of df with the statistics and, with a forest, score and kept."""
     names = [*STATISTICS, *(["score", "kept"] if forest else [])]
+    text_name = text_col if text_col in keep_columns else "_text"  # a text that stays goes to Python once
     kinds = {"score": "double", "kept": "boolean"}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep_columns).schema), *(f"`_{n}` {kinds.get(n, 'bigint')}" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "_text"):
-                s = text_statistics(piece.column("_text"))
+            for piece in pieces(batch, text_name):
+                s = text_statistics(piece.column(text_name))
                 if forest:
                     s["score"] = forest.score(features(s))
                     failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
@@ -148,7 +149,8 @@ def _with_statistics(df: DataFrame, text_col: str, forest: Forest | None, keep_c
                 out = pa.RecordBatch.from_arrays([*own, *made], [*keep_columns, *(f"_{n}" for n in names)])
                 yield out.filter(out.column("_kept")) if only_kept else out
 
-    return df.select(*[F.col(c) for c in keep_columns], F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    extra = [] if text_name == text_col else [F.col(text_col).cast("string").alias("_text")]
+    return df.select(*[F.col(c) for c in keep_columns], *extra).mapInArrow(run, schema)
 
 
 def _statistics_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,10 +173,11 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     2 * SCORE_STEPS numbers, give the threshold that parts them best while losing at most MAX_GOOD_LOST of the good."""
     forest = Forest(rows)
     sample = table.where(~base_failed()).orderBy(F.xxhash64("_id"), *STATISTICS).limit(trees * rows).toPandas()
+    forest.rows = max(1, min(rows, len(sample)))
     for k in range(trees if len(sample) else 0):
-        part = sample.iloc[k::trees]
-        forest.grow(features({n: part[n].to_numpy() for n in STATISTICS}), np.random.default_rng([SEED, k]))
-    forest.rows = max(1, min(rows, len(sample) // trees or len(sample)))
+        rng = np.random.default_rng([SEED, k])
+        part = sample.iloc[rng.permutation(len(sample))[: forest.rows]]
+        forest.grow(features({n: part[n].to_numpy() for n in STATISTICS}), rng)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("good")).where("good is not null")
     counts = _scored(table.where(~base_failed()), forest).join(known, "_id").groupBy(F.floor(F.col("score") * SCORE_STEPS).alias("step"), "good").count().collect()
     good, bad = np.zeros(SCORE_STEPS + 2), np.zeros(SCORE_STEPS + 2)
