@@ -42,17 +42,25 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def shuffle_files_freed(spark: SparkSession):
-    """While this holds, Spark deletes the shuffle files of each finished SQL execution at once, not when the driver next collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, key: str, value: str):
     old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def shuffle_files_freed(spark: SparkSession):
+    """While this holds, Spark deletes the shuffle files of each finished SQL execution at once, not when the driver next collects garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """While this holds, batches for Python have at most so many rows."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: the lineage is cut, and a lost executor costs a read."""
     spark = df.sparkSession
@@ -62,5 +70,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, *ties: str) -> DataFrame:
+    """The `rows` rows with the smallest hashes of key. A threshold leaves about twice as many before they are ordered,
+    so what tasks send on is bounded by `rows`, not by the number of tasks."""
+    h, n = F.xxhash64(key), df.count()
+    if n > 2 * rows:
+        df = df.where(h < F.lit(-(1 << 63) + (1 << 64) * 2 * rows // n))
+    return df.orderBy(h, key, *ties).limit(rows)
+
+
 def no_void(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
 from .words import Words, mix, pieces
 
 BUCKET_BITS = 18
@@ -107,7 +108,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Learns from labelled rows outside the held fold. The sample's ids (at most max_rows, so their broadcast is
     bounded) go to the documents; features are made where the texts are, and max_rows sparse rows come back."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").where(fold("_id") != held_fold)
-    chosen = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    chosen = hash_sample(known.groupBy("_id").agg(F.max("_label").alias("_label")), "_id", max_rows)
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

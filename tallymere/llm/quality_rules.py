@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_sample, written
 from .words import Words, pieces
 
 SYMBOLS = b"#*$%&|<>"
@@ -172,7 +172,7 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     bound), its threshold from every labelled document: the counts of good and bad rows by score step, at most
     2 * SCORE_STEPS numbers, give the threshold that parts them best while losing at most MAX_GOOD_LOST of the good."""
     forest = Forest(rows)
-    sample = table.where(~base_failed()).orderBy(F.xxhash64("_id"), *STATISTICS).limit(trees * rows).toPandas()
+    sample = hash_sample(table.where(~base_failed()), "_id", trees * rows, *STATISTICS).toPandas()
     forest.rows = max(1, min(rows, len(sample)))
     for k in range(trees if len(sample) else 0):
         rng = np.random.default_rng([SEED, k])
