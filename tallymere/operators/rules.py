@@ -150,24 +150,24 @@ def _readings(net: Column, gross: Column) -> list[tuple[Column, Column]]:
 
 def _sum_fits_none(c: RuleConfig, rule_id: str, net: Column, gross: Column) -> Column:
     rel, floor = c.tol(rule_id)
-    least = F.greatest(dec(floor), (dec("0.01") * F.size(purchases())).cast("decimal(14,4)"))
+    least = F.greatest(dec(floor), (dec("0.01") * F.size(F.col("_purchases"))).cast("decimal(14,4)"))
     readings = _readings(net, gross)
     usable = reduce(lambda a, b: a | b, [u for u, _ in readings])
-    fits = reduce(lambda a, b: a | b, [u & within(line_sum(), v, rel, least) for u, v in readings])
-    return usable & line_sum().isNotNull() & ~fits
+    fits = reduce(lambda a, b: a | b, [u & within(F.col("_line_sum"), v, rel, least) for u, v in readings])
+    return usable & F.col("_line_sum").isNotNull() & ~fits
 
 
 @rule("R020", "error", "The lines add up to the subtotal, or to the total where they include tax.")
 def _r020(c):
     fires = F.col("subtotal").isNotNull() & _sum_fits_none(c, "R020", F.col("subtotal"), F.col("total"))
-    return one(fires, finding("R020", "error", F.concat(F.lit("the lines add up to "), money_text(line_sum()), F.lit(", which is no printed figure")), "line_items", "totals.subtotal", "totals.total"))
+    return one(fires, finding("R020", "error", F.concat(F.lit("the lines add up to "), money_text(F.col("_line_sum")), F.lit(", which is no printed figure")), "line_items", "totals.subtotal", "totals.total"))
 
 
 @rule("R021", "error", "Quantity times price is the line's total.")
 def _r021(c):
     rel, floor = c.tol("R021")
     whole = lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["line_total"].isNotNull()
-    return each(purchases(), lambda x: whole(x) & ~within(x["qty"] * x["unit_price"], x["line_total"], rel, floor), lambda x: finding("R021", "error", F.concat(F.lit("quantity times price is not "), money_text(x["line_total"])), _at(x, "line_total")))
+    return each(F.col("_purchases"), lambda x: whole(x) & ~within(x["qty"] * x["unit_price"], x["line_total"], rel, floor), lambda x: finding("R021", "error", F.concat(F.lit("quantity times price is not "), money_text(x["line_total"])), _at(x, "line_total")))
 
 
 @rule("R022", "error", "Subtotal, tax and discount make the total.")
@@ -232,7 +232,7 @@ def _r041(c):
 
 @rule("R042", "warn", "No price is far from the document's median.")
 def _r042(c):
-    priced = F.filter(purchases(), lambda x: F.coalesce(x["unit_price"] > 0, F.lit(False)))
+    priced = F.filter(F.col("_purchases"), lambda x: F.coalesce(x["unit_price"] > 0, F.lit(False)))
     limit = decimal_median(F.transform(priced, lambda x: x["unit_price"])) * dec(c.price_outlier)
     found = each(priced, lambda x: x["unit_price"] > limit, lambda x: finding("R042", "warn", "a price far over the median", _at(x, "unit_price")))
     return F.when(F.size(priced) >= 4, found).otherwise(_none())
@@ -240,7 +240,7 @@ def _r042(c):
 
 @rule("R043", "warn", "Quantities are over zero and not absurd.")
 def _r043(c):
-    return each(purchases(), lambda x: ~((x["qty"] > 0) & (x["qty"] <= dec(c.most_qty))), lambda x: finding("R043", "warn", "an unlikely quantity", _at(x, "qty")))
+    return each(F.col("_purchases"), lambda x: ~((x["qty"] > 0) & (x["qty"] <= dec(c.most_qty))), lambda x: finding("R043", "warn", "an unlikely quantity", _at(x, "qty")))
 
 
 @rule("R044", "warn", "The tax rate is plausible.")
@@ -256,7 +256,7 @@ def _r045(c):
 
 @rule("R050", "info", "No line repeats the one before.")
 def _r050(c):
-    p = purchases()
+    p = F.col("_purchases")
     name = lambda x: normal_description(x["description_raw"], True)
     same = lambda a, b: (name(a) == name(b)) & (name(b) != "") & a["qty"].eqNullSafe(b["qty"]) & a["unit_price"].eqNullSafe(b["unit_price"]) & a["line_total"].eqNullSafe(b["line_total"])
     pairs = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.when(same(a, b), b))
@@ -314,7 +314,9 @@ def with_findings(records: DataFrame, config: RuleConfig | None = None, only: tu
     config = config or RuleConfig()
     built = [build(config).cast(f"array<{FINDING}>") for r, (_, _, build) in sorted(REGISTRY.items()) if only is None or r in only]
     base = records if "disputed" in records.columns else records.withColumn("disputed", disputed_paths())
-    return base.withColumn("findings", F.concat(*built) if len(built) > 1 else built[0])
+    # Columns that many rules read are made once, before the rules.
+    base = base.withColumn("_purchases", purchases()).withColumn("_line_sum", line_sum())
+    return base.withColumn("findings", F.concat(*built) if len(built) > 1 else built[0]).drop("_purchases", "_line_sum")
 
 
 def findings_table(records: DataFrame, config: RuleConfig | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
