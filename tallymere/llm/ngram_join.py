@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import shuffle_files_freed, written
+from .common import arrow_rows, shuffle_files_freed, written
 from .components import components
 from .words import Words, mix, pieces
 
 BITMAP_BITS = 1024
-#: A tile compares two blocks of this many documents at most.
-BLOCK = 256
+#: A tile compares two blocks of at most about this many documents and bytes of shingles.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 #: Part hashes that a task holds before it combines equal ones.
 FLUSH_ROWS = 1_500_000
 
@@ -146,7 +146,10 @@ def _candidates(df: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, n, bits, items): size, bitmap and sorted shingle hashes (packed) of the documents named in ids."""
+    """(id, n, bits, items): size, bitmap and sorted shingle hashes (packed) of the documents named in ids.
+
+    The ids grow with the input, so they are joined by a shuffle at every size and never broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,26 +158,36 @@ def _sets(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "bits", "items"])
 
-    return written(df.join(ids.select(F.col("id").alias("_id")), "_id", "left_semi").select("_id", "_text").mapInArrow(run, "id bigint, n bigint, bits binary, items binary"), "candidate-sets")
+    return written(df.join(ids.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi").select("_id", "_text").mapInArrow(run, "id bigint, n bigint, bits binary, items binary"), "candidate-sets")
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs (id, pivot) that link."""
+    """(a, b): the pairs (id, pivot) that link. Sizes and bitmaps come first; sorted sets only to the pairs that these leave."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+        return np.frombuffer(batch.column(column)[i].as_buffer(), np.uint64)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
-            load = lambda c, i: np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in np.flatnonzero(100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)):
-                if _may_link(nx[i], ny[i], np.bitwise_count(load("bx", i) ^ load("by", i)).sum(), percent):
-                    keep[i] = _linked(load("x", i), load("y", i), percent)
+            keep = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+            for i in np.flatnonzero(keep):
+                keep[i] = _may_link(nx[i], ny[i], int(np.bitwise_count(load(batch, "x", i) ^ load(batch, "y", i)).sum()), percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("bx"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("by"), F.col("items").alias("y"))
-    joined = pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b")).join(left, "a").join(right, "b")
-    return joined.select("a", "b", "nx", "ny", "bx", "by", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_linked(load(batch, "x", i), load(batch, "y", i), percent) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col(column).alias("x")).hint("merge")
+        right = sets.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col(column).alias("y")).hint("merge")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y")
+
+    asked = pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    left = written(with_both(asked, "bits").mapInArrow(possible, "a bigint, b bigint"), "possible-pairs")
+    return with_both(left, "items").mapInArrow(exact, "a bigint, b bigint")
 
 
 def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,24 +197,52 @@ def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     neighbouring bands, is a tile. A tile compares by bitmaps and emits the links that join labels anew, never pairs.
     """
     starts = F.array(*[F.lit(int(x)) for x in bands(percent)])
-    rows = members.join(sets, "id").withColumn("band", (F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1))
-    counts = rows.groupBy(F.col("cluster").alias("c"), F.col("band").alias("s")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sets.select("id", "n"), "id").withColumn("band", (F.size(F.filter(starts, lambda s: s <= F.col("n"))) - 1))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    counts = rows.groupBy(F.col("cluster").alias("c"), F.col("band").alias("s")).agg(blocks.alias("blocks"))
     nearby = lambda d, name: counts.select(F.col("c").alias(f"c{name}"), (F.col("s") + d).alias(f"s{name}"), F.col("blocks").alias(f"blocks{name}"))
     rows = rows.join(counts, (F.col("cluster") == F.col("c")) & (F.col("band") == F.col("s")))
     rows = rows.join(nearby(-1, "_up"), (F.col("cluster") == F.col("c_up")) & (F.col("band") == F.col("s_up")), "left").join(nearby(1, "_down"), (F.col("cluster") == F.col("c_down")) & (F.col("band") == F.col("s_down")), "left")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = lambda blocks, make: F.transform(F.when(F.coalesce(blocks, F.lit(0)) > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")), make)
     block, band = F.col("block"), F.col("band")
-    tile = lambda s, t, i, j: F.struct(s.alias("s"), t.alias("t"), i.alias("i"), j.alias("j"))
+    tile = lambda *at: F.concat_ws("/", *[x.cast("string") for x in at])
+    # A tile of two bands holds the pairs across them, a tile of one band also those inside its blocks.
     tiles = F.concat(
         each(F.col("blocks"), lambda j: tile(band, band, F.least(block, j), F.greatest(block, j))),
         each(F.col("blocks_up"), lambda j: tile(band, band + 1, block, j)), each(F.col("blocks_down"), lambda j: tile(band - 1, band, j, block)))
-    dealt = rows.select("id", "cluster", "label", "n", "bits", "items", F.explode(tiles).alias("tile"))
+    # Tiles of documents that have one label, or are alone, have nothing to compare: they go before the sets come.
+    slim = rows.select("id", "cluster", "label", F.explode(tiles).alias("tile"))
+    useful = slim.groupBy("cluster", "tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select(F.col("cluster").alias("u_cluster"), F.col("tile").alias("u_tile"))
+    slim = slim.join(useful, (F.col("cluster") == F.col("u_cluster")) & (F.col("tile") == F.col("u_tile")), "left_semi")
+    dealt = written(slim, "tiles")
+
+    def partners(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row the later rows of another label that sizes and bit counts don't rule out."""
+        n, labels, bits = pdf["n"].to_numpy(), pdf["label"].to_numpy(), np.stack([np.frombuffer(x, np.uint64) for x in pdf["bits"]])
+        for i in range(len(n)):
+            rest = slice(i + 1, len(n))
+            size_ok = 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
+            may = np.flatnonzero(size_ok & (labels[rest] != labels[i]))
+            if len(may):
+                differ = np.bitwise_count(bits[rest][may] ^ bits[i]).sum(1)
+                may = may[_may_link(n[rest][may], n[i], differ, percent)]
+            yield i, may + i + 1
+
+    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = np.zeros(len(pdf), bool)
+        for i, others in partners(pdf):
+            left[i] |= len(others) > 0
+            left[others] = True
+        return pdf.loc[left, ["id", "cluster", "label", "tile"]]
+
+    # By bitmaps alone first: the sorted sets, many times as large, come only to the documents of a tile that are left.
+    left = dealt.join(sets.select("id", "n", "bits"), "id").groupBy("cluster", "tile").applyInPandas(possible, "id bigint, cluster bigint, label bigint, tile string")
+    whole = written(left, "tiles-left").join(sets, "id").select("id", "cluster", "label", "n", "bits", "items", "tile")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, n, root = pdf["id"].to_numpy(), pdf["n"].to_numpy(), dict(zip(pdf["label"], pdf["label"], strict=True))
-        labels = pdf["label"].to_numpy()
-        items, bits = [np.frombuffer(x, np.uint64) for x in pdf["items"]], np.stack([np.frombuffer(x, np.uint64) for x in pdf["bits"]])
+        ids, labels, root = pdf["id"].to_numpy(), pdf["label"].to_numpy(), dict(zip(pdf["label"], pdf["label"], strict=True))
+        items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
 
         def top(x):
             while root[x] != x:
@@ -209,17 +250,14 @@ def _tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return x
 
         found = []
-        for i in range(len(ids)):
-            rest = slice(i + 1, len(ids))
-            differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(1)
-            size_ok = 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
-            for j in np.flatnonzero(size_ok & (labels[rest] != labels[i]) & _may_link(n[rest], n[i], differ, percent)) + i + 1:
+        for i, others in partners(pdf):
+            for j in others:
                 if (a := top(labels[i])) != (b := top(labels[j])) and _linked(items[i], items[j], percent):
                     root[max(a, b)] = min(a, b)
                     found.append((ids[i], ids[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("cluster", "tile").applyInPandas(compare, "a bigint, b bigint")
+    return whole.groupBy("cluster", "tile").applyInPandas(compare, "a bigint, b bigint")
 
 
 def _labels(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -230,10 +268,14 @@ def _labels(members: DataFrame, comp: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the documents (_id, _text) that have a link."""
     spark = docs.sparkSession
-    with shuffle_files_freed(spark):
+    with shuffle_files_freed(spark), arrow_rows(spark, 512):  # a pair of sets may have many KB
         pairs = _candidates(docs, n, percent)
         sets = _sets(docs, pairs.select("id").union(pairs.select("pivot")).distinct(), n)
-        links = written(_tested(pairs, sets, percent), "links")
+        # First one pivot a document; most other pairs then lie inside one group and need no test.
+        links = written(_tested(pairs.groupBy("id").agg(F.min("pivot").alias("pivot")), sets, percent), "links")
+        found = written(components(links), "components")
+        others = _labels(_labels(pairs, found).withColumnRenamed("label", "own").withColumnRenamed("id", "first").withColumnRenamed("pivot", "id"), found).where("own != label")
+        links = links.union(written(_tested(others.select(F.col("first").alias("id"), F.col("id").alias("pivot")), sets, percent), "links"))
         found = written(components(links), "components")
         # A pair of a part's members may link without linking to the pivot: where a candidate isn't in its pivot's
         # group, all groups among the candidates around it are compared with each other.
@@ -274,4 +316,4 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of df that stay, with df's columns: of each group of linked documents the one with the smallest id."""
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     gone = link_components(docs, n, percent).where("node != component").select(F.col("node").alias("_gone"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return df.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
