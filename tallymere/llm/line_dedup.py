@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import WORD, text_or_empty, written
 
 #: A chunk ends after a line when the hash of it and the line before it is a multiple of this: so many lines a chunk on average.
 CHUNK_LINES = 3
 #: A chunk counts only with this many lines that have a word.
 LEAST_LINES = 2
+#: A repeated passage has more words than this.
+PASSAGE_WORDS = 50
 
 
 def _chunked(df: DataFrame, id_col: str, text_col: str, every: int) -> DataFrame:
@@ -62,3 +64,60 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     out = joined.select("_id", "n_lines", F.size("chunks").alias("n_chunks"), F.size("gone").alias("removed_chunks"), stays.alias("stays"))
     left_lines = F.aggregate("stays", F.lit(0), lambda a, c: a + F.size(F.split(c, "\n", -1)))
     return out.select(F.col("_id").alias(id_col), F.col("n_lines").cast("long"), F.col("n_chunks").cast("long"), F.col("removed_chunks").cast("long"), (F.col("n_lines") - left_lines).cast("long").alias("removed_lines"), F.array_join("stays", "\n").alias(text_col))
+
+
+def _passages(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(_id, _key, _lines, _at, _runs): a text's lines, the places of those with a word, and its runs of these as first * (words + 2) + lines.
+
+    A run is the shortest of more than `words` words from some line on or up to some line. Which lines a run has depends
+    on them alone, so it is the same wherever it stands; and the runs inside a passage cover it from end to end.
+    """
+    step, most = words + 2, words + 1  # a run has at most `most` lines, as each has a word
+    # Words and lines read so far in one number, as words * step + lines; it grows no more once there are enough words.
+    read = lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda a, x: F.when(a >= most * step, a).otherwise(a + x * step + 1))
+    run = lambda first, a: F.when(a >= most * step, first.cast("long") * step + a % step)
+    first = lambda k: F.greatest(k - words, F.lit(0))
+
+    def down(x: Column, k: Column) -> Column:
+        return run(k, read(F.slice("_words", k + 1, most)))
+
+    def up(x: Column, k: Column) -> Column:
+        a = read(F.reverse(F.slice("_words", first(k) + 1, k - first(k) + 1)))
+        return run(k + 1 - a % step, a)
+
+    return (
+        df.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_key"), F.split(text_or_empty(text_col), "\n", -1).alias("_lines"))
+        .withColumn("_all", F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD)).cast("long")))
+        .withColumn("_at", F.filter(F.transform("_all", lambda n, k: F.when(n > 0, k)), lambda k: k.isNotNull()))
+        .withColumn("_words", F.filter("_all", lambda n: n > 0))
+        .withColumn("_runs", F.filter(F.array_distinct(F.concat(F.transform("_words", down), F.transform("_words", up))), lambda r: r.isNotNull()))
+        .select("_id", "_key", "_lines", "_all", "_at", "_runs")
+    )
+
+
+def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per document: id, n_lines, removed_lines, removed_words, text (the lines that stay).
+
+    Every run of whole lines of more than `words` words, a single line too, that stands at an earlier place (the smallest
+    id, there the first line) goes, however many lines it has. Lines without a word are skipped in comparing and stay.
+    Runs meet by their whole SHA-256, combined before the shuffle; a run that overlaps its own first place stays. Null
+    texts, repeated ids and other columns are taken as in dedup_lines.
+    """
+    step = words + 2
+    texts = _passages(df, id_col, text_col, words)
+    body = lambda r: F.array_join(F.transform(F.slice("_at", (F.floor(r / step) + 1).cast("int"), (r % step).cast("int")), lambda k: F.get("_lines", k)), "\n")
+    one = texts.select("_id", "_key", F.inline(F.transform("_runs", lambda r: F.struct(r.alias("run"), F.unhex(F.sha2(body(r), 256)).alias("hash")))))
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", F.floor(F.col("run") / step).alias("at"), "_key")
+    repeated = one.groupBy(F.col("hash").alias("r_hash")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    here = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_key") == F.col("first._key"))
+    kept = here & (F.floor(F.col("run") / step) < F.col("first.at") + F.col("run") % step)
+    # Dealt anew by hex as in dedup_lines.
+    gone = one.join(repeated, F.hex("hash") == F.hex("r_hash")).where(~kept)
+    gone = written(gone.groupBy(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).agg(F.collect_set("run").alias("gone")), "removed-passages")
+    joined = texts.drop("_runs").join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left")
+    lines_of = lambda r: F.slice("_at", (F.floor(r / step) + 1).cast("int"), (r % step).cast("int"))
+    removed = F.array_distinct(F.flatten(F.transform(F.coalesce("gone", F.array().cast("array<bigint>")), lines_of)))
+    out = joined.withColumn("_removed", removed)
+    stays = F.transform(F.array_except(F.transform("_lines", lambda x, k: k), F.col("_removed")), lambda k: F.get("_lines", k))
+    n_words = F.aggregate("_removed", F.lit(0).cast("long"), lambda a, k: a + F.get("_all", k))
+    return out.select(F.col("_id").alias(id_col), F.size("_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("removed_lines"), n_words.alias("removed_words"), F.array_join(stays, "\n").alias(text_col))

@@ -103,6 +103,10 @@ from r group by doc_id
 """
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -148,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op7_passage_dedup": op7_passage_dedup,
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
 }

@@ -99,6 +99,53 @@ def test_single_lines_and_unique_texts_stay(spark):
     assert [r["removed_lines"] for r in line_dedup.dedup_lines(table(spark, docs)).collect()] == [0] * 4
 
 
+def _without_repeats(docs, least=50):
+    """Brute force: lines of every run of more than `least` words that stands at an earlier place, not overlapping itself there."""
+    first, left = {}, {}
+    for key, text in docs:
+        lines = [(k, x, len(re.findall(r"[^ \t-\r]+", x))) for k, x in enumerate(text.split("\n"))]
+        worded, gone = [x for x in lines if x[2]], set()
+        for i in range(len(worded)):
+            for j in range(i, len(worded)):
+                run = tuple(x[1] for x in worded[i : j + 1])
+                if sum(x[2] for x in worded[i : j + 1]) > least:
+                    d, at = first.setdefault(run, (key, i))
+                    if d != key or i >= at + len(run):
+                        gone.update(x[0] for x in worded[i : j + 1])
+        left[key] = "\n".join(x for k, x, _ in lines if k not in gone)
+    return left
+
+
+def test_passages_of_any_number_of_lines_go(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    docs, own, passages = [], {}, {}
+    for n in range(1, 11):
+        size = [60 // n] * n
+        size[-1] += 60 - sum(size)
+        passages[n] = [" ".join(word() for _ in range(k)) for k in size]
+    for key in range(40):
+        around = [" ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(6)]
+        own[key] = "\n".join(around)
+        at = rng.randint(0, 6)
+        docs.append((key, "\n".join([*around[:at], *passages[key % 10 + 1], *around[at:]]), "a"))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_passages(table(spark, docs)).collect()}
+    for key, text, _ in docs:
+        assert out[key]["text"] == (text if key < 10 else own[key])
+        assert (out[key]["removed_lines"], out[key]["removed_words"]) == ((0, 0) if key < 10 else (key % 10 + 1, 60))
+
+
+def test_passages_as_brute_force(spark):
+    rng = random.Random(12)
+    pool = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefgh", (1, 3, 9, 20, 25, 50, 51, 70), strict=True)] + ["", " \t"]
+    docs = [(key, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))), "a") for key in range(60)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(table(spark, docs)).collect()}
+    assert out == _without_repeats([d[:2] for d in docs])
+    short = [(k, "same line\n" + "x " * 47 + "y", "a") for k in range(3)]  # 50 words
+    assert [r["removed_lines"] for r in line_dedup.dedup_passages(table(spark, short)).collect()] == [0] * 3
+    assert line_dedup.dedup_passages(table(spark)).count() == len(ROWS)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(5)
     docs = [(k, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(3000)]
