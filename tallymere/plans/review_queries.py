@@ -56,10 +56,8 @@ def queue_stats(spark, sf_dir):
 
 @query("review_tasks_visible", f"{_FOLD} select receipt_id, state, priority, row_number() over (order by priority, opened_at, receipt_id) as pos from tk where state = 'open' or assigned_to = 5")
 def review_tasks_visible(spark, sf_dir):
-    from pyspark.sql import Window
-
     seen = review.visible_tasks(_tasks(spark, sf_dir), 5)
-    return seen.select("receipt_id", "state", "priority", F.row_number().over(Window.orderBy("priority", "opened_at", "receipt_id")).cast("long").alias("pos"))
+    return review.numbered(seen, "priority", "opened_at", "receipt_id").select("receipt_id", "state", "priority", F.col("n").alias("pos"))
 
 
 @query("review_next_for_user", f"""{_FOLD}, us as (select distinct user_id from {{events}} where user_id < 20),
@@ -72,6 +70,15 @@ def review_next_for_user(spark, sf_dir):
     return review.next_task(_tasks(spark, sf_dir), users)
 
 
+@query("review_next_for_all_users")
+def review_next_for_all_users(spark, sf_dir):
+    return review.next_task(_tasks(spark, sf_dir), table(spark, sf_dir, "events").select("user_id").where("user_id is not null").distinct())
+
+
+#: The same SQL without its limit to the first twenty users.
+ORACLE_SQL["review_next_for_all_users"] = ORACLE_SQL["review_next_for_user"].replace("events where user_id < 20", "events where user_id is not null")
+
+
 # --- corrections ---
 _COERCED = """with c as (select *, case when path = 'totals.total' then case when try_cast(new_value as decimal(14,4)) is not null then cast(try_cast(new_value as decimal(14,4)) as varchar) end
  when path = 'line_items[0].qty' then cast(cast(new_value as decimal(14,4)) as varchar) when path = 'receipt.currency' then case when length(new_value) <= 3 then new_value end

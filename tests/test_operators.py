@@ -100,6 +100,29 @@ def test_line_scores(spark):
     assert (exact["tp"], fuzzy["tp"]) == (1, 2) and abs(fuzzy["f1"] - 2 / 3) < 1e-9
 
 
+def test_numbers_in_parallel(spark):
+    rows = spark.range(5000, numPartitions=7).select((F.col("id") % 3).alias("a"), F.col("id").alias("b"))
+    parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = review.numbered(rows, "a", "b")
+        assert "Window [sum" in (plan := got._jdf.queryExecution().toString()) and "row_number" not in plan
+        found = {(r["a"], r["b"]): r["n"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
+    assert found == {key: k for k, key in enumerate(sorted((x % 3, x) for x in range(5000)), 1)}
+
+
+def test_every_user_is_served(spark):
+    from tallymere import catalogue
+
+    folder = "/root/testdata/sf0.01"
+    users = spark.read.parquet(f"{folder}/events.parquet").select("user_id").distinct().count()
+    rows = catalogue.QUERIES["review_next_for_all_users"](spark, folder).collect()
+    given = [r["receipt_id"] for r in rows if r["receipt_id"] is not None]
+    assert len(rows) == len({r["user_id"] for r in rows}) == users > 20 and len(given) == len(set(given))
+
+
 def test_calibration_spread_and_votes(spark):
     results = spark.createDataFrame([(D("0.900"), True), (D("0.900"), False), (D("0.300"), True)], "confidence decimal(4,3), critical_correct boolean")
     curve = {r["threshold"]: (r["rate"], r["precision"]) for r in evaluation.calibration(results).collect()}
