@@ -235,6 +235,19 @@ def majority_vote(spark, sf_dir):
     return evaluation.votes(frame(spark, sf_dir, "v_votes"), 3)
 
 
+@query("majority_vote_all")
+def majority_vote_all(spark, sf_dir):
+    """Every order's three runs, made per row."""
+    k, run = F.col("doc_id"), F.col("run")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", F.explode(F.array(*[F.lit(r) for r in range(3)])).alias("run"))
+    value = F.when((k % 4 == 0) & (run == 2), None).when((k + run) % 9 == 0, F.concat(F.lit("alt"), run.cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    return evaluation.votes(runs.select("doc_id", "run", value.alias("value")), 3)
+
+
+#: The same SQL without the view's limit to every third order.
+ORACLE_SQL["majority_vote_all"] = ORACLE_SQL["majority_vote"].replace(" where o_orderkey % 3 = 0", "")
+
+
 _ATT = "at0 as (select conv_id as doc_id, turn as attempt, length(text) % 3 as n_error, length(text) % 5 as n_warn, length(text) % 7 as n_null from {conversations})"
 
 

@@ -93,6 +93,15 @@ def test_field_classes_tile_the_paths(spark):
     assert got == {"merchant.name": ("core", True), "totals.tax": ("hallucinated", False), "totals.total": ("core", True), "line_items[0].qty": ("line_items", False), "line_items[1].qty": ("structural", False), "line_items[2].qty": ("structural", False), "meta.x": ("self_report", True)}
 
 
+def test_all_orders_are_voted_on(spark):
+    from tallymere import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    orders = {r[0] for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey").collect()}
+    rows = catalogue.QUERIES["majority_vote_all"](spark, folder).collect()
+    assert {r["doc_id"] for r in rows} == orders and len(rows) == len(orders) and any(r["doc_id"] % 3 for r in rows)
+
+
 def test_line_scores(spark):
     make = lambda rows: spark.createDataFrame([(1, p, n, D(q), D("1"), D(t)) for p, n, q, t in rows], "doc_id long, position int, description_raw string, qty decimal(12,4), unit_price decimal(14,4), line_total decimal(14,4)")
     truth, pred = make([(0, "MILK", "1", "1"), (1, "BREAD", "2", "2"), (2, "EGGS", "1", "3")]), make([(0, "milk", "1", "1"), (1, "BREADS", "2", "2"), (2, "SOAP", "1", "9")])
