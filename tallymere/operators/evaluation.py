@@ -35,6 +35,12 @@ def flatten_items(items: DataFrame) -> DataFrame:
     return items.select("doc_id", F.explode(F.array(leaf("description_raw", "text"), leaf("qty", "money"), leaf("unit_price", "money"), leaf("line_total", "money"), leaf("is_template_row", "bool"))).alias("l")).select("doc_id", "l.*")
 
 
+def flatten_records(heads: DataFrame, items: DataFrame) -> DataFrame:
+    """All leaves of whole records, head and lines; a record without lines has the empty list as a leaf."""
+    none = heads.select("doc_id").join(items.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("line_items").alias("path"), F.lit("list").alias("kind"), F.lit("[]").alias("value"))
+    return flatten_headers(heads).unionByName(flatten_items(items)).unionByName(none)
+
+
 def values_equal(kind: Column, a: Column, b: Column, ascii_only: bool = False) -> Column:
     money = agree(a.try_cast("decimal(28,8)"), b.try_cast("decimal(28,8)"))
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).when(kind == "money", money).when(kind == "text", norm_text(a, ascii_only) == norm_text(b, ascii_only)).otherwise(a == b)

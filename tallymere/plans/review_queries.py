@@ -177,6 +177,65 @@ def read_nothing(spark, sf_dir):
     return flat.groupBy("doc_id").agg(F.count("value").alias("n")).where("n = 0").select("doc_id")
 
 
+#: Whole records: the leaves of heads and lines on both sides, the SQL built of the parts above.
+_HEAD_LEAVES = {"merchant.name": ("text", "merchant_name"), "buyer.name": ("text", "buyer_name"), "buyer.tax_id": ("text", "buyer_tax_id"), "receipt.date": ("text", "date_text"), "receipt.currency": ("text", "currency"), "totals.subtotal": ("money", "subtotal"), "totals.tax": ("money", "tax"), "totals.discount": ("money", "discount"), "totals.total": ("money", "total"), "meta.is_handwritten": ("bool", "is_handwritten")}
+_ITEM_LEAVES = {"description_raw": "text", "qty": "money", "unit_price": "money", "line_total": "money", "is_template_row": "bool"}
+
+
+def _whole_sql(items: str, heads: str) -> str:
+    lines = " union all ".join(f"select doc_id, 'line_items[' || position || '].{c}' as path, '{kind}' as kind, cast({c} as varchar) as v from {items}" for c, kind in _ITEM_LEAVES.items())
+    tops = " union all ".join(f"select doc_id, '{path}', '{kind}', cast({c} as varchar) from {heads}" for path, (kind, c) in _HEAD_LEAVES.items())
+    return f"{lines} union all {tops} union all select doc_id, 'line_items', 'list', '[]' from {heads} where doc_id not in (select doc_id from {items})"
+
+
+_GRP = lambda p: f"case when {p} like 'meta.%' or {p} like '%.is_template_row' then 'self_report' when {p} = 'line_items' or starts_with({p}, 'line_items[') then 'line_items' else 'core' end"
+_SAME = lambda c: f"lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+_WHOLE_FIELDS = f"""with {_PRED_ITEMS}, {_PRED_HEADS}, fp as ({_whole_sql('pi', 'ph')}), ft as ({_whole_sql('v_items', 'v_headers')}),
+fr as (select coalesce(p.doc_id, t.doc_id) as doc_id, coalesce(p.path, t.path) as path, p.v as pv, t.v as tv, p.path is not null and t.path is not null and case
+  when p.v is null and t.v is null then true when p.v is null or t.v is null then false
+  when t.kind = 'money' then {_EQ.format(a='try_cast(p.v as decimal(18,4))', b='try_cast(t.v as decimal(18,4))')}
+  when t.kind = 'text' then {_SAME('p.v')} = {_SAME('t.v')} else p.v = t.v end as ok
+ from fp p full join ft t on p.doc_id = t.doc_id and p.path = t.path),
+cl as (select *, case when tv is not null then {_GRP('path')} when pv is not null then 'hallucinated' when ok then 'correctly_empty' else 'structural' end as class from fr)"""
+_TALLY = ", ".join(f"count(*) filter (class = '{c}' and ok) as {c}_correct, count(*) filter (class = '{c}') as {c}_total" for c in ("core", "line_items", "self_report"))
+
+
+def _whole(spark, sf_dir):
+    return evaluation.flatten_records(frame(spark, sf_dir, "v_headers"), frame(spark, sf_dir, "v_items"))
+
+
+def _whole_fields(spark, sf_dir):
+    h, items = frame(spark, sf_dir, "v_headers"), frame(spark, sf_dir, "v_items")
+    return evaluation.field_results(evaluation.flatten_records(_predicted_headers(h), _predicted_items(items)), evaluation.flatten_records(h, items), True)
+
+
+@query("field_accuracy_whole", f"{_WHOLE_FIELDS} select class, ok, count(*) as n from cl group by class, ok")
+def field_accuracy_whole(spark, sf_dir):
+    return _whole_fields(spark, sf_dir).groupBy("class", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("field_breakdown_whole", f"{_WHOLE_FIELDS} select doc_id, {_TALLY}, count(*) filter (class = 'hallucinated') as hallucinated, count(*) filter (class = 'correctly_empty') as correctly_empty, count(*) filter (class = 'structural') as structural from cl group by doc_id")
+def field_breakdown_whole(spark, sf_dir):
+    return evaluation.breakdown(_whole_fields(spark, sf_dir), "doc_id")
+
+
+@query("flatten_paths_whole", f"with ft as ({_whole_sql('v_items', 'v_headers')}) select doc_id, path, v as value, {_GRP('path')} as grp from ft")
+def flatten_paths_whole(spark, sf_dir):
+    return _whole(spark, sf_dir).select("doc_id", "path", "value", evaluation.group_of(F.col("path")).alias("grp"))
+
+
+@query("null_counts_whole", f"with ft as ({_whole_sql('v_items', 'v_headers')}) select doc_id, count(*) filter (v is null) as n_null from ft group by doc_id")
+def null_counts_whole(spark, sf_dir):
+    return _whole(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("value").isNull()).alias("n_null"))
+
+
+@query("read_nothing_whole", f"with ft as ({_whole_sql('v_items', 'v_headers')}) select doc_id from ft group by doc_id having count(*) filter (v is not null and v not in ('', '[]') and {_GRP('path')} <> 'self_report') = 0")
+def read_nothing_whole(spark, sf_dir):
+    """Documents without a filled leaf of core or lines; self-reports aren't read from the paper."""
+    filled = F.col("value").isNotNull() & ~F.col("value").isin("", "[]") & (evaluation.group_of(F.col("path")) != "self_report")
+    return _whole(spark, sf_dir).groupBy("doc_id").agg(F.count_if(filled).alias("n")).where("n = 0").select("doc_id")
+
+
 @query("critical_fields", f"with {_PRED_HEADS} select p.doc_id, lower(trim(regexp_replace(coalesce(p.merchant_name, ''), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(coalesce(t.merchant_name, ''), '\\s+', ' ', 'g'))) and p.date_text is not distinct from t.date_text and ((p.total is null and t.total is null) or {_EQ.format(a='p.total', b='t.total')}) as correct from ph p join v_headers t on p.doc_id = t.doc_id")
 def critical_fields(spark, sf_dir):
     h = frame(spark, sf_dir, "v_headers")

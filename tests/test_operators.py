@@ -102,6 +102,17 @@ def test_all_orders_are_voted_on(spark):
     assert {r["doc_id"] for r in rows} == orders and len(rows) == len(orders) and any(r["doc_id"] % 3 for r in rows)
 
 
+def test_whole_records_are_evaluated(spark):
+    from tallymere import catalogue
+
+    run = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert {("core", True), ("core", False), ("line_items", True), ("self_report", True)} <= {(r["class"], r["ok"]) for r in run("field_accuracy_whole")}
+    assert sum(r["core_total"] for r in run("field_breakdown_whole")) > 0
+    paths = run("flatten_paths_whole")
+    assert {"buyer.tax_id", "totals.tax", "line_items[0].qty", "line_items"} <= {r["path"] for r in paths}
+    assert sum(r["n_null"] for r in run("null_counts_whole")) == sum(r["value"] is None for r in paths) > sum(r["n_null"] for r in run("null_counts"))
+
+
 def test_line_scores(spark):
     make = lambda rows: spark.createDataFrame([(1, p, n, D(q), D("1"), D(t)) for p, n, q, t in rows], "doc_id long, position int, description_raw string, qty decimal(12,4), unit_price decimal(14,4), line_total decimal(14,4)")
     truth, pred = make([(0, "MILK", "1", "1"), (1, "BREAD", "2", "2"), (2, "EGGS", "1", "3")]), make([(0, "milk", "1", "1"), (1, "BREADS", "2", "2"), (2, "SOAP", "1", "9")])
