@@ -18,7 +18,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Statistics of a text; the first five make the base, the others only serve the forest.
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: What the rules allow: shares of a text, or characters a word.
-ALLOWED = {"symbols_per_word": 0.1, "repeated_lines": 0.3, "capitals": 0.3, "longest_mean_word": 10.0, "shortest_mean_word": 3.0}
+ALLOWED = {"symbols_per_word": 0.1, "repeated_lines": 0.3, "capitals": 0.3, "longest_mean_word": 10.0, "shortest_mean_word": 3.0, "repeated_words": 0.3}
 #: The forest's documented bounds: each tree is grown on TREE_ROWS of TREES * TREE_ROWS documents, which a hash of their ids chooses.
 TREES, TREE_ROWS, SEED = 64, 256, 7
 #: The threshold rejects this share of the rows labelled good at most; without labels it is DEFAULT_THRESHOLD.
@@ -80,9 +80,23 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.column_stack([
         over(per("n_symbols", "n_words"), ALLOWED["symbols_per_word"]), over(per("n_dup_lines", "n_lines"), ALLOWED["repeated_lines"]),
         over(per("n_upper", "word_chars"), ALLOWED["capitals"]), over(length, ALLOWED["longest_mean_word"]) + over(ALLOWED["shortest_mean_word"] - length, 0.0),
+        over(per("n_repeat_words", "n_words"), ALLOWED["repeated_words"]),
     ])
 
 
+def _worst(table: DataFrame) -> dict[str, np.ndarray]:
+    """STATISTICS of the row of the whole table that is farthest beyond each rule, where there is one: one aggregate, a row a rule."""
+    per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    length = per("word_chars", "n_words")
+    excess = [
+        per("n_symbols", "n_words") - ALLOWED["symbols_per_word"], per("n_dup_lines", "n_lines") - ALLOWED["repeated_lines"], per("n_upper", "word_chars") - ALLOWED["capitals"],
+        F.greatest(length - ALLOWED["longest_mean_word"], ALLOWED["shortest_mean_word"] - length), per("n_repeat_words", "n_words") - ALLOWED["repeated_words"],
+    ]
+    found = table.agg(*[F.max(F.struct(e.alias("excess"), *STATISTICS)).alias(f"r{k}") for k, e in enumerate(excess)]).first()
+    rows = [r for r in found if r is not None and r["excess"] > 0]
+    return {n: np.array([r[n] for r in rows], np.int64) for n in STATISTICS}
+
+
 def _usual_path(n: int) -> float:
     """Mean path length of an unsuccessful search in a tree of n rows."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -169,17 +183,19 @@ def _scored(table: DataFrame, forest: Forest) -> DataFrame:
 
 def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", trees: int = TREES, rows: int = TREE_ROWS) -> Forest:
     """A forest grown on trees * rows documents that pass the base rules (the smallest hashes of ids; a documented
-    bound), its threshold from every labelled document: the counts of good and bad rows by score step, at most
+    bound) and, in each tree, the row of the whole table farthest beyond each rule, so that no rule that any document
+    breaks is missing; its threshold from every labelled document: the counts of good and bad rows by score step, at most
     2 * SCORE_STEPS numbers, give the threshold that parts them best while losing at most MAX_GOOD_LOST of the good."""
     forest = Forest(rows)
-    sample = hash_sample(table.where(~base_failed()), "_id", trees * rows, *STATISTICS).toPandas()
+    passed = table.where(~base_failed())
+    sample, worst = hash_sample(passed, "_id", trees * rows, *STATISTICS).toPandas(), _worst(passed)
     forest.rows = max(1, min(rows, len(sample)))
     for k in range(trees if len(sample) else 0):
         rng = np.random.default_rng([SEED, k])
         part = sample.iloc[rng.permutation(len(sample))[: forest.rows]]
-        forest.grow(features({n: part[n].to_numpy() for n in STATISTICS}), rng)
+        forest.grow(features({n: np.concatenate((part[n].to_numpy(), worst[n])) for n in STATISTICS}), rng)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("good")).where("good is not null")
-    counts = _scored(table.where(~base_failed()), forest).join(known, "_id").groupBy(F.floor(F.col("score") * SCORE_STEPS).alias("step"), "good").count().collect()
+    counts = _scored(passed, forest).join(known, "_id").groupBy(F.floor(F.col("score") * SCORE_STEPS).alias("step"), "good").count().collect()
     good, bad = np.zeros(SCORE_STEPS + 2), np.zeros(SCORE_STEPS + 2)
     for step, label, n in counts:
         (good if label == 1 else bad)[step] += n

@@ -338,6 +338,18 @@ def test_forest_without_labels_and_rules_of_one_kind(spark):
     assert {r["doc_id"] for r in rows if not r["kept"]} == {99}
 
 
+def test_rare_kinds_outside_the_sample_score_high(spark):
+    clean = [(k, 100, 500, 0, 0, 0, 10, 10 + k % 3) for k in range(600)]
+    odd = {1000: (100, 500, 0, 0, 0, 10, 500), 1001: (100, 500, 0, 0, 45, 10, 10), 1002: (100, 1500, 0, 0, 0, 10, 10), 1003: (100, 500, 0, 5, 0, 10, 10)}
+    stats = spark.createDataFrame([*clean, *((k, *v) for k, v in odd.items())], "_id long, " + ", ".join(f"{n} long" for n in quality_rules.STATISTICS))
+    # rows of a hash in the sample would make the test blind
+    taken = {r["_id"] for r in quality_rules.hash_sample(stats, "_id", 16, *quality_rules.STATISTICS).collect()}
+    assert not taken & set(odd)
+    forest = quality_rules.fit(stats, labels(spark, ((0, 1), (1, 1), (1000, 0), (1002, 0))), trees=2 * 4, rows=2)
+    score = {r["_id"]: r["score"] for r in quality_rules._scored(stats, forest).collect()}
+    assert min(score[k] for k in odd) > max(score[k[0]] for k in clean)
+
+
 def test_statistics_of_odd_texts():
     s = quality_rules.text_statistics(pa.array([None, "", "\n\n", "a\na\n a", "漢字 漢字"]))
     assert s["n_words"].tolist() == [0, 0, 0, 3, 2] and s["n_dup_lines"].tolist() == [0, 0, 0, 1, 0] and s["word_chars"].tolist() == [0, 0, 0, 3, 4]
