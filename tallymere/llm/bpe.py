@@ -223,8 +223,8 @@ def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         gc.disable()  # millions of small objects without cycles: counting references frees them
         try:
             for batch in batches:
-                for piece in pieces(batch, "_text", 2 << 20):
-                    ids, decoded = encoder.encode([t or "" for t in piece.column("_text").to_pylist()])
+                for piece, texts in pieces(batch, batch.column("_text"), 2 << 20):
+                    ids, decoded = encoder.encode([t or "" for t in texts.to_pylist()])
                     yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_id", "ids", "decoded"])
         finally:
             gc.enable()

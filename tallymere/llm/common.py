@@ -27,11 +27,18 @@ def word_count(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, `_row`, so that helper columns beside it never meet a column of the same name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own on one machine (tests), else an error."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,6 +48,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     old = spark.conf.get(key, None)
@@ -61,13 +73,44 @@ def arrow_rows(spark: SparkSession, rows: int):
     return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    with shuffle_files_freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: the lineage is cut, and a lost executor costs a read."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    with shuffle_files_freed(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_to(df, new_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Tables of the shared folder that go when the block ends, or before by drop().
+
+    What leaves the block must be written with the outer `written`, as a lazy result would still read these tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        out = written_to(df, path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t, path in self.tables:
+            if any(t is x for x in tables):
+                delete_path(self.spark, path)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.tables])
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, *ties: str) -> DataFrame:
@@ -78,6 +121,3 @@ def hash_sample(df: DataFrame, key: str, rows: int, *ties: str) -> DataFrame:
         df = df.where(h < F.lit(-(1 << 63) + (1 << 64) * 2 * rows // n))
     return df.orderBy(h, key, *ties).limit(rows)
 
-
-def no_void(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})

@@ -44,7 +44,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     best = {"min": F.min, "max": F.max}[keep]
     others = [c for c in df.columns if c not in (id_col, text_col)]
-    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("null_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    row = F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("null_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     sha = F.sha2(text_or_empty(text_col), 256)
     kept = df.groupBy(F.unhex(F.substring(sha, 1, 32)).alias("_hash"), text_or_empty(text_col).alias("_text")).agg(best(row).alias("_row"))
     back = {id_col: F.col("_row.id"), text_col: F.when(~F.col("_row.null_text"), F.col("_text"))} | {c: F.col(f"_row.c{i}") for i, c in enumerate(others)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, word_count, written
+from .common import text_or_empty, whole_row, word_count, written
 
 #: The weights of sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -92,6 +92,6 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, share: float = 1.0) -> DataFrame:
     """The mix itself: each row of df as often as mix_sources takes it, with df's columns. The texts meet only the small table of sources."""
     b = _budgets(_sizes(df, id_col, text_col, source_col), weights, max_repeats, share)
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(source_col).alias("_source"), _ticket(id_col).alias("_ticket"))
+    rows = df.select(whole_row(df), F.col(source_col).alias("_source"), _ticket(id_col).alias("_ticket"))
     joined = rows.join(b, F.col("_source").eqNullSafe(F.col("b_source"))).withColumn("_copies", _copies(F.col("_ticket"), max_repeats).cast("int")).where("_copies > 0")
     return joined.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample
-from .words import Words, mix, pieces
+from .words import Words, mix, pieces, range_hashes
 
 BUCKET_BITS = 18
 #: Documented bound of the training sample: the labelled rows with the smallest hashes of ids.
@@ -34,9 +34,7 @@ def _shape_hashes(w: Words) -> np.ndarray:
     new[w.start] = True
     new &= w.ink
     rank = np.concatenate(([0], np.cumsum(new)))
-    short = Words(pa.array([], pa.string()))
-    short.bytes = c[new]
-    return short.hashes(rank[w.start], rank[w.end])
+    return range_hashes(c[new], rank[w.start], rank[w.end])
 
 
 def hashed_grams(texts: pa.Array, bits: int = BUCKET_BITS) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
@@ -113,8 +111,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "_text"):
-                rows = sparse_rows(piece.column("_text"))
+            for piece, texts in pieces(batch, batch.column("_text")):
+                rows = sparse_rows(texts)
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_label"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["_id", "_label", "at", "x"])
 
     made = texts.select("_id", "_label", "_text").mapInArrow(run, "_id bigint, _label int, at array<int>, x array<float>").toArrow()
@@ -136,8 +134,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights, bias = held.value
         own = Model(weights, bias)
         for batch in batches:
-            for piece in pieces(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(own.score(piece.column("_text")))], ["_id", "score"])
+            for piece, texts in pieces(batch, batch.column("_text")):
+                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(own.score(texts))], ["_id", "score"])
 
     scored = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "_id bigint, score double")
     return scored.select(F.col("_id").alias(id_col), (fold("_id") == 2).alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, written
-from .words import Words, pieces
+from .common import Scratch, hash_sample, whole_row, written
+from .words import Words, distinct, pieces
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -39,7 +39,7 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
-    """STATISTICS of each text; a null text has no words."""
+    """STATISTICS of each text; a null text has no words. Lines and windows are compared byte by byte, never by a hash alone."""
     w = Words(texts)
     chars = (w.bytes & 0xC0) != 0x80
     lines_end = np.flatnonzero(w.bytes == 10)
@@ -53,12 +53,11 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     end[last] = w.off[1:][line_text[last]]
     ink = np.concatenate(([0], np.cumsum(w.ink)))
     full = ink[end] > ink[start]
-    salt = (line_text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    _, later = _repeated(w.hashes(start[full], end[full]) ^ salt[full])
-    h = w.hashes()
-    g, at = w.grams(h, 3)
-    again, _ = _repeated(g ^ ((w.doc[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
-    covered = np.zeros(len(h), bool)
+    line, values = distinct(w.bytes, start[full], end[full])
+    _, later = _repeated(line_text[full] * np.int64(max(1, len(values))) + line)
+    window, at = w.equal_windows(3)
+    again, _ = _repeated(window)
+    covered = np.zeros(len(w.start), bool)
     for k in range(3):
         covered[at[again] + k] = True
     return {
@@ -143,33 +142,17 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(_usual_path(self.rows), 1e-9))
 
 
-def _with_statistics(df: DataFrame, text_col: str, forest: Forest | None, keep_columns: list[str], only_kept: bool = False) -> DataFrame:
-    """keep_columns of df with the statistics and, with a forest, score and kept."""
-    names = [*STATISTICS, *(["score", "kept"] if forest else [])]
-    text_name = text_col if text_col in keep_columns else "_text"  # a text that stays goes to Python once
-    kinds = {"score": "double", "kept": "boolean"}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep_columns).schema), *(f"`_{n}` {kinds.get(n, 'bigint')}" for n in names)])
+def _statistics_table(df: DataFrame, id_col: str, text_col: str, keep=written) -> DataFrame:
+    """_id and STATISTICS of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text_name):
-                s = text_statistics(piece.column(text_name))
-                if forest:
-                    s["score"] = forest.score(features(s))
-                    failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
-                    s["kept"] = ~failed & (s["score"] < forest.threshold)
-                own = [piece.column(i) for i in range(len(keep_columns))]
-                made = [pa.array(s[n], pa.float64() if n == "score" else pa.bool_() if n == "kept" else pa.int64()) for n in names]
-                out = pa.RecordBatch.from_arrays([*own, *made], [*keep_columns, *(f"_{n}" for n in names)])
-                yield out.filter(out.column("_kept")) if only_kept else out
+            for piece, texts in pieces(batch, batch.column("_text")):
+                s = text_statistics(texts)
+                yield pa.RecordBatch.from_arrays([piece.column("_id"), *[pa.array(s[n], pa.int64()) for n in STATISTICS]], ["_id", *STATISTICS])
 
-    extra = [] if text_name == text_col else [F.col(text_col).cast("string").alias("_text")]
-    return df.select(*[F.col(c) for c in keep_columns], *extra).mapInArrow(run, schema)
-
-
-def _statistics_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = _with_statistics(df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col)), text_col, None, ["_id"])
-    return written(found.select("_id", *[F.col(f"_{n}").alias(n) for n in STATISTICS]), "rule-statistics")
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return keep(texts.mapInArrow(run, f"_id bigint, {', '.join(f'{n} bigint' for n in STATISTICS)}"), "rule-statistics")
 
 
 def _scored(table: DataFrame, forest: Forest) -> DataFrame:
@@ -211,7 +194,8 @@ def judge_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     The statistics of whole texts are written once to the shared folder and used for fit, threshold and verdict.
     A null or empty text has no words and fails the base rules; rows that repeat an id are judged each by its text;
-    without labels (or with labels of one kind) DEFAULT_THRESHOLD holds; an empty table gives an empty result.
+    without labels (or with labels of one kind) DEFAULT_THRESHOLD holds; an empty table gives an empty result. Very long
+    texts are read whole, one at a time; extra columns are ignored.
     """
     table = _statistics_table(df, id_col, text_col)
     forest = fit(table, labels, id_col)
@@ -220,6 +204,20 @@ def judge_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that judge_quality keeps, with df's columns; the texts are read a second time and never shuffled."""
-    forest = fit(_statistics_table(df, id_col, text_col), labels, id_col)
-    return _with_statistics(df, text_col, forest, df.columns, only_kept=True).select(*df.columns)
+    """The rows of df that judge_quality keeps, with df's columns; the texts are read a second time and never shuffled.
+
+    Rows go to Python and back as one struct, so extra columns may have any name.
+    """
+    with Scratch(df.sparkSession) as own:
+        forest = fit(_statistics_table(df, id_col, text_col, own.written), labels, id_col)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, texts in pieces(batch, batch.column("_row").field(place)):
+                s = text_statistics(texts.cast(pa.string()))
+                failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
+                yield piece.filter(pa.array(~failed & (forest.score(features(s)) < forest.threshold)))
+
+    row = df.select(whole_row(df))
+    return row.mapInArrow(run, row.schema).select("_row.*")

@@ -1,6 +1,7 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
-Hashes are 64-bit polynomials over bytes with a final mix; they depend on the word alone, not on batch or machine.
+Equal words are told by Arrow's dictionary, which compares their bytes. Hashes are XXH3 over the bytes of a word; they
+depend on the word alone, not on batch or machine.
 """
 
 from __future__ import annotations
@@ -8,26 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-_M = np.uint64(0x9E3779B97F4A7C15)
-_M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: ASCII white space: bytes 9 to 13 and 32.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        for k, m in enumerate((_M, _M_INV)):
-            p = np.full(int(n * 1.25) + 1, m, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,16 +28,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `size` bytes of text; a longer text has a slice of its own. Bounds the arrays below."""
-    ends = np.cumsum([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()])
+def pieces(batch: pa.RecordBatch, texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batch and its texts in slices of about `size` bytes of text; a longer text has a slice of its own. Bounds the arrays below."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        yield batch.slice(at, to - at)
+        yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each byte range's value, the distinct values) of ranges that are in order, apart and not empty.
+
+    Ranges have one number exactly if their bytes are equal.
+    """
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    values = np.ascontiguousarray(data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)])
+    offsets = np.concatenate(([0], np.cumsum(end - start, dtype=np.int64)))
+    whole = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    found = whole.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges as in distinct()."""
+    at, values = distinct(data, start, end)
+    return np.array([xxhash.xxh3_64_intdigest(v) for v in values.to_pylist()], np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
+
+
 class Words:
     """The words of a column of texts (null: none): .start and .end in .bytes, .first[i] to .first[i + 1] those of text i."""
 
@@ -66,7 +78,6 @@ class Words:
         self.end = np.flatnonzero(ink & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.off)
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
-        self._sums: np.ndarray | None = None
 
     def per_text(self, flags: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Sums of flags by text; flags are by byte, or by the units whose bounds `at` has."""
@@ -74,22 +85,28 @@ class Words:
         at = self.off if at is None else at
         return c[at[1:]] - c[at[:-1]]
 
-    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Of the words, or of the byte ranges given."""
-        start, end = (self.start, self.end) if start is None else (start, end)
-        p, inv = _power(len(self.bytes))
-        if self._sums is None:
-            self._sums = np.concatenate(([np.uint64(0)], np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * p[: len(self.bytes)])))
-        return mix((self._sums[end] - self._sums[start]) * inv[start] + (end - start).astype(np.uint64))
+    def hashes(self) -> np.ndarray:
+        """Of the words."""
+        return range_hashes(self.bytes, self.start, self.end)
+
+    def windows(self, n: int) -> np.ndarray:
+        """The numbers of the words that start a window of n words inside their text."""
+        last = self.first[1:][self.doc]  # the end of the word's text
+        return np.flatnonzero(np.arange(len(self.start)) + n <= last)
 
     def grams(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-word windows inside each text, and the number of the first word of each."""
-        size = np.diff(self.first)
-        if not len(h) or len(h) < n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        last = self.first[1:][self.doc]  # the end of the word's text
-        at = np.flatnonzero(np.arange(len(h)) + n <= last) if size.size else np.zeros(0, np.int64)
-        out = np.zeros(len(at), np.uint64)
+        at = self.windows(n)
+        out = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            out = mix(out ^ h[at + k]) + np.uint64(k)
+        return out, at
+
+    def equal_windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers that are equal exactly for windows of one text with the same words, the number of the first word of each)."""
+        word, values = distinct(self.bytes, self.start, self.end)
+        at = self.windows(n)
+        out = self.doc[at]
         for k in range(n):
-            out = out * _M + h[at + k]
-        return mix(out), at
+            out = pd.factorize(out * np.int64(max(1, len(values))) + word[at + k])[0].astype(np.int64)
+        return out, at

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator and stage."""
 
 import hashlib
+import inspect
 import random
 import re
 
@@ -11,9 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallymere.llm import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, queries, url_filters, warc
+from tallymere.llm import bpe, chat, common, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, queries, url_filters, warc
 from tallymere.llm.common import new_path
 from tallymere.llm.components import components
+from tallymere.llm.words import Words
 
 from .test_queries import brute_groups, library
 
@@ -23,7 +25,18 @@ ROWS = [
     (6, LONG, "a"), (7, LONG + " end", None), (None, "no id at all here", "a"), (8, "é ü\nß", "c"), (8, "another text under this id", "c"),
 ]
 SCHEMA = "doc_id long, text string, source string"
-CLASHES = ("keep_id", "kept", "score", "n_words", "size", "target", "copies", "component", "node", "id", "hash", "chunk", "chunks", "label", "ids", "decoded", "_copies", "n", "tree", "rank")
+
+
+def used_names() -> list[str]:
+    """Every plain string of the operators' code that could name a column, so that each is tried as an extra column."""
+    found = set()
+    for module in (bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, common):
+        found |= set(re.findall(r"""["'`]([a-z_][a-z_0-9]{0,30})["'`]""", inspect.getsource(module)))
+        found |= set(re.findall(r"(_[a-z_]+|[a-z_]+) (?:bigint|int|long|string|binary|double|boolean)", inspect.getsource(module)))
+    return sorted(found - {"doc_id", "text", "source"})
+
+
+CLASHES = [*used_names(), "a column.with a dot"]
 
 
 def table(spark, rows=ROWS):
@@ -68,7 +81,7 @@ STAGES = {
 def test_stages_keep_columns(spark, name):
     df = clashing(table(spark))
     assert STAGES[name](spark, df).schema == df.schema or STAGES[name](spark, df).dtypes == df.dtypes
-    assert all(r["kept"] == "own kept" for r in STAGES[name](spark, df).collect())
+    assert all(r["kept"] == "own kept" and r["_row"] == "own _row" for r in STAGES[name](spark, df).collect())
     assert STAGES[name](spark, table(spark, [])).count() == 0
 
 
@@ -198,9 +211,10 @@ def test_groups_near_the_threshold(spark, percent, n):
     assert got == brute_groups(rows, n, percent)
 
 
-def test_part_hashes_meet_for_every_linked_pair():
-    """Pigeonhole: sets that differ as much as links allow still share a part."""
+def test_linked_sets_share_a_leading_shingle():
+    """Sets that differ as much as links allow share a leading shingle, whatever the sketch says, and pass the bitmaps."""
     rng = np.random.default_rng(0)
+    counts = rng.integers(0, 5, 1 << ngram_join.SKETCH_BITS).astype(np.uint32)
     for percent in (80, 85):
         for size in [*range(1, 60), 100, 333, 1000, 4000]:
             x = np.unique(rng.integers(0, 2**64, size, np.uint64))
@@ -208,8 +222,41 @@ def test_part_hashes_meet_for_every_linked_pair():
                 out = int(rng.integers(0, max(1, len(x) * (100 - percent) // 100 + 1)))
                 y = np.unique(np.concatenate((rng.permutation(x)[out:], rng.integers(0, 2**64, int(rng.integers(0, 2 + len(x) // 8)), np.uint64))))
                 if ngram_join._linked(x, y, percent):
-                    assert set(ngram_join.part_hashes(x, percent)) & set(ngram_join.part_hashes(y, percent))
-                    assert ngram_join._may_link(len(x), len(y), int(np.bitwise_count(ngram_join.bitmap(x) ^ ngram_join.bitmap(y)).sum()), percent)
+                    assert set(ngram_join.leading(x, counts, percent)) & set(ngram_join.leading(y, counts, percent))
+                    assert ngram_join._may_link(len(x), len(y), ngram_join.differing(ngram_join.bitmap(x), ngram_join.bitmap(y)), percent)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for size in (1, 30, 31, 33, 64, 500, 3000):
+        x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        y = np.unique(np.concatenate((x[: size // 2], rng.integers(0, 2**64, size * 2, np.uint64))))
+        assert ngram_join.differing(ngram_join.bitmap(x), ngram_join.bitmap(y)) <= len(np.setxor1d(x, y))
+
+
+def thue_morse(k: int) -> tuple[str, str]:
+    """Two words of 2 ** k letters that any polynomial hash modulo 2 ** 64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    a, b = thue_morse(11)
+    assert len(set(Words(pa.array([f"{a} {b} {a}"])).hashes().tolist())) == 2
+    got = {r[0]: r[2] for r in ngram_join.ngram_groups(table(spark, [(1, f"{a} {a}x", "s"), (2, f"{b} {b}x", "s")]), n=4, percent=85).collect()}
+    assert got == {1: 1, 2: 2}
+    s = quality_rules.text_statistics(pa.array([f"{a}\n{b}\n{a}", f"{a} {a} {a} {b} {b} {b}"]))
+    assert s["n_dup_lines"].tolist() == [1, 0] and s["n_repeat_words"].tolist() == [0, 0]
+
+
+def test_one_id_with_several_texts(spark):
+    """An id that repeats with other texts has the links of all of them, copies of other ids included."""
+    w = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(8, w[0], "s"), (8, w[1], "s"), (3, w[0], "s"), (5, w[1], "s"), (9, w[2], "s"), (9, w[0] + " x", "s"), (7, w[2] + " y", "s"), (6, w[3], "s"), (6, w[3], "s")]
+    got = {r[0]: r[2] for r in ngram_join.ngram_groups(table(spark, rows)).collect()}
+    assert got == {8: 3, 3: 3, 5: 3, 9: 3, 7: 3, 6: 6}
 
 
 def test_components(spark):
