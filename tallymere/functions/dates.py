@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 _ISO = r"^(?:\d{4}-\d{2}-\d{2}|\d{8})$"
 
 
 def strict_iso(text: Column) -> Column:
     """A calendar date written YYYY-MM-DD or YYYYMMDD (white space around it is allowed), else null."""
-    s = F.trim(text)
+    s = strip(text)
     dashed = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     return F.when(F.regexp_like(s, F.lit(_ISO)), F.try_to_date(dashed, "yyyy-MM-dd"))
 
@@ -27,7 +29,7 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(text: Column, reference_year: int) -> Column:
     """struct(date, ambiguous): year first, or day and month in an order that a number over 12 gives away."""
-    s = F.trim(text)
+    s = strip(text)
     part = lambda pattern, k: F.regexp_extract(s, pattern, k).try_cast("int")
     ymd, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})$"
     a, b, tail = part(dmy, 1), part(dmy, 2), F.regexp_extract(s, dmy, 3)
@@ -40,7 +42,7 @@ def parse_date(text: Column, reference_year: int) -> Column:
 
 def parse_time(text: Column) -> Column:
     """HH:mm:ss from a clock of 24 or 12 hours, else null."""
-    s = F.upper(F.replace(F.trim(text), F.lit("."), F.lit("")))
+    s = F.upper(F.replace(strip(text), F.lit("."), F.lit("")))
     pattern = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\s+([AP])M)?$"
     part = lambda k: F.regexp_extract(s, pattern, k)
     h, m, sec, half = part(1).try_cast("int"), part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(0)), part(4)

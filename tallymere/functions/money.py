@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WHITE_CLASS, strip
+
 MONEY = "decimal(14,4)"
 
 # Symbols that may stand around an amount, and languages that write decimals with a comma.
@@ -55,10 +57,10 @@ def last4(text: Column) -> Column:
 def parse_money(text: Column, convention: Column | str = "point") -> Column:
     """decimal(28,8) or null: symbols, spaces, one sign and brackets go; anything else than digits and separators refuses."""
     convention = F.lit(convention) if isinstance(convention, str) else convention
-    s = F.trim(text)
+    s = strip(text)
     bracketed = F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")"))
     s = F.when(bracketed, F.substring(s, 2, F.greatest(F.length(s) - 2, F.lit(0)))).otherwise(s)
-    s = F.regexp_replace(F.regexp_replace(s, f"[{CURRENCY_SYMBOLS}]", ""), r"\s+", "")
+    s = F.regexp_replace(F.regexp_replace(s, f"[{CURRENCY_SYMBOLS}]", ""), f"[{WHITE_CLASS}]+", "")
     lead, tail = F.regexp_extract(s, r"^([+-])", 1), F.regexp_extract(s, r"^[^+-].*([+-])$", 1)
     negative = bracketed | (lead == "-") | (tail == "-")
     s = F.when(lead != "", F.substring(s, F.lit(2), F.length(s))).when(tail != "", F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
@@ -70,7 +72,7 @@ def parse_money(text: Column, convention: Column | str = "point") -> Column:
 
 def convention_vote(sample: Column) -> Column:
     """1 for a decimal point, -1 for a decimal comma, 0 if the sample's shape doesn't tell."""
-    s = F.trim(F.coalesce(sample, F.lit("")))
+    s = strip(F.coalesce(sample, F.lit("")))
     dot, comma = F.length(s) - F.instr(F.reverse(s), "."), F.length(s) - F.instr(F.reverse(s), ",")
     has_dot, has_comma = F.contains(s, F.lit(".")), F.contains(s, F.lit(","))
     after = F.length(digits(F.substring_index(F.replace(s, F.lit(","), F.lit(".")), ".", -1)))
@@ -80,7 +82,7 @@ def convention_vote(sample: Column) -> Column:
 
 def convention_from_votes(votes: Column, locale: Column | None = None) -> Column:
     """From the sum of votes; a tie goes to the locale's language, else to the point."""
-    tie = F.lit("point") if locale is None else F.when(F.regexp_extract(F.lower(F.trim(locale)), "^([^-_]*)", 1).isin(*COMMA_LANGUAGES), "comma").otherwise("point")
+    tie = F.lit("point") if locale is None else F.when(F.regexp_extract(F.lower(strip(locale)), "^([^-_]*)", 1).isin(*COMMA_LANGUAGES), "comma").otherwise("point")
     return F.when(votes > 0, "point").when(votes < 0, "comma").otherwise(tie)
 
 
@@ -92,6 +94,6 @@ def redact_cards(text: Column) -> Column:
 
 
 def money_text(value: Column) -> Column:
-    """Whole amounts without decimals, others with the digits they have; a missing one as the word null."""
-    text = value.cast("string")
-    return F.when(value.isNull(), "null").when(value == F.floor(value), F.floor(value).cast("decimal(28,0)").cast("string")).otherwise(F.regexp_replace(text, "0+$", ""))
+    """Whole amounts without decimals, others with two or as many as they need; a missing one as the word null."""
+    text = value.cast("decimal(28,8)").cast("string")
+    return F.when(value.isNull(), "null").when(value == F.floor(value), F.floor(value).cast("decimal(28,0)").cast("string")).otherwise(F.regexp_replace(text, r"(?<=\.\d{2})(\d*?)0+$", "$1"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+
 BITS = 64
 
 
@@ -52,7 +54,7 @@ def first_match(pairs: DataFrame, order: DataFrame) -> DataFrame:
 def semantic_duplicates(receipts: DataFrame, null_merchants_match: bool = False) -> DataFrame:
     """(doc_id, duplicate_of): the earliest receipt of the same merchant, date and total. Without a date or total there is no match.
 
-    A window over the three keys instead of a self-join: the earliest row of the group is everyone's match.
+    The earliest row of each group of the three keys, joined back, is everyone's match; no self-join.
     """
     rows = receipts.where("txn_date is not null and total is not null")
     if not null_merchants_match:
@@ -63,19 +65,22 @@ def semantic_duplicates(receipts: DataFrame, null_merchants_match: bool = False)
     return r.join(f, same).where(F.col("r.doc_id") != F.col("f.first.doc_id")).select(F.col("r.doc_id").alias("doc_id"), F.col("f.first.doc_id").alias("duplicate_of"))
 
 
-def link_roots(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def link_roots(links: DataFrame) -> DataFrame:
     """(id, root, hops, cyclic) for links (id, target): follows each chain to its end by pointer doubling.
 
-    A chain that comes back to itself has no end: it is marked and keeps the smallest id that it was seen at.
+    A chain without a loop has no more hops than there are links, so after as many doublings as that number has bits,
+    every such chain has ended; what hasn't leads into a loop and is marked, with neither root nor hops. Both sides are
+    dealt anew for each join, so that the many chains that lead to one id can be split.
     """
     state = links.select("id", F.col("target").alias("at"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("ended"))
-    for _ in range(most_rounds):
+    for _ in range(links.count().bit_length() + 1):
         step = state.select(F.col("id").alias("s_id"), F.col("at").alias("s_at"), F.col("hops").alias("s_hops"), F.col("ended").alias("s_ended"))
-        joined = state.join(step, F.col("at") == F.col("s_id"), "left")
+        joined = state.join(step, F.negate("at") == F.negate("s_id"), "left")
         state = joined.select("id", F.when(F.col("ended") | F.col("s_id").isNull(), F.col("at")).otherwise(F.col("s_at")).alias("at"),
                               F.when(F.col("ended") | F.col("s_id").isNull(), F.col("hops")).otherwise(F.col("hops") + F.col("s_hops")).alias("hops"),
-                              (F.col("ended") | F.col("s_id").isNull() | F.col("s_ended")).alias("ended")).checkpoint()
-        if state.where(~F.col("ended") & (F.col("hops") < (1 << 20))).isEmpty():
+                              (F.col("ended") | F.col("s_id").isNull() | F.col("s_ended")).alias("ended"))
+        state = held(state, "link-roots")
+        if state.where(~F.col("ended")).isEmpty():
             break
     return state.select("id", F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("hops")).alias("hops"), (~F.col("ended")).alias("cyclic"))
 
@@ -86,7 +91,3 @@ def accepted_links(proposed: DataFrame, existing: DataFrame, known: DataFrame) -
     ok_ends = proposed.join(known.select("id"), "id", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target", F.lit(True).alias("known"))
     return proposed.join(ok_ends, ["id", "target"], "left").join(roots.select("id", "cyclic"), "id", "left").select(
         "id", "target", (F.coalesce("known", F.lit(False)) & (F.col("id") != F.col("target")) & ~F.coalesce("cyclic", F.lit(False))).alias("accepted"))
-
-
-def earliest(rows: DataFrame, *keys: str, order: list[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

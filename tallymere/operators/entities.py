@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import merchant_key
 
 
-def merchant_keys(merchants: DataFrame, ascii_only: bool = False) -> DataFrame:
+def merchant_keys(merchants: DataFrame) -> DataFrame:
     """(key, merchant_id): the keys of the canonical name and the variants, none of them empty."""
     names = F.explode(F.array_compact(F.array("canonical_name", "variant")))
-    keyed = merchants.select("merchant_id", names.alias("name")).select("merchant_id", merchant_key(F.col("name"), ascii_only).alias("key"))
+    keyed = merchants.select("merchant_id", names.alias("name")).select("merchant_id", merchant_key(F.col("name")).alias("key"))
     return keyed.where("key <> ''").distinct()
 
 
@@ -20,16 +20,16 @@ def unique_keys(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.min("merchant_id").alias("found_id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-def lookup(names: DataFrame, merchants: DataFrame, ascii_only: bool = False) -> DataFrame:
+def lookup(names: DataFrame, merchants: DataFrame) -> DataFrame:
     """names (doc_id, name) with merchant_id: by exact key, or null."""
-    keyed = names.withColumn("key", merchant_key(F.col("name"), ascii_only))
-    return keyed.join(unique_keys(merchant_keys(merchants, ascii_only)), "key", "left").select("doc_id", F.col("found_id").alias("merchant_id"))
+    keyed = names.withColumn("key", merchant_key(F.col("name")))
+    return keyed.join(unique_keys(merchant_keys(merchants)), "key", "left").select("doc_id", F.col("found_id").alias("merchant_id"))
 
 
-def resolve(docs: DataFrame, merchants: DataFrame, ascii_only: bool = False) -> DataFrame:
+def resolve(docs: DataFrame, merchants: DataFrame) -> DataFrame:
     """docs (doc_id, name, tax_id) with merchant_id: the tax number first, then the name."""
     by_tax = merchants.where("tax_id is not null").groupBy("tax_id").agg(F.min("merchant_id").alias("by_tax"))
-    keyed = docs.withColumn("key", merchant_key(F.col("name"), ascii_only)).join(by_tax, "tax_id", "left").join(unique_keys(merchant_keys(merchants, ascii_only)), "key", "left")
+    keyed = docs.withColumn("key", merchant_key(F.col("name"))).join(by_tax, "tax_id", "left").join(unique_keys(merchant_keys(merchants)), "key", "left")
     return keyed.select("doc_id", F.coalesce("by_tax", "found_id").alias("merchant_id"))
 
 
@@ -39,10 +39,10 @@ def register(candidates: DataFrame, merchants: DataFrame) -> DataFrame:
     return whole.join(merchants.where("tax_id is not null").select("tax_id"), "tax_id", "left_anti").groupBy("tax_id").agg(F.min("name").alias("canonical_name"))
 
 
-def confirm_variants(seen: DataFrame, merchants: DataFrame, ascii_only: bool = False) -> DataFrame:
+def confirm_variants(seen: DataFrame, merchants: DataFrame) -> DataFrame:
     """(merchant_id, name): names seen with a merchant's tax number that are new to it and no other merchant's."""
-    keys = merchant_keys(merchants, ascii_only)
-    named = seen.join(merchants.where("tax_id is not null").select("tax_id", "merchant_id"), "tax_id").withColumn("key", merchant_key(F.col("name"), ascii_only)).where("key <> ''")
+    keys = merchant_keys(merchants)
+    named = seen.join(merchants.where("tax_id is not null").select("tax_id", "merchant_id"), "tax_id").withColumn("key", merchant_key(F.col("name"))).where("key <> ''")
     new = named.join(keys.select("key"), "key", "left_anti")
     # Of new names with one key, a merchant may take it only if no other one claims it in the same batch.
     claims = new.groupBy("key").agg(F.count_distinct("merchant_id").alias("n"), F.min("merchant_id").alias("merchant_id"), F.min("name").alias("name")).where("n = 1")

@@ -41,19 +41,19 @@ def flatten_records(heads: DataFrame, items: DataFrame) -> DataFrame:
     return flatten_headers(heads).unionByName(flatten_items(items)).unionByName(none)
 
 
-def values_equal(kind: Column, a: Column, b: Column, ascii_only: bool = False) -> Column:
+def values_equal(kind: Column, a: Column, b: Column) -> Column:
     money = agree(a.try_cast("decimal(28,8)"), b.try_cast("decimal(28,8)"))
-    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).when(kind == "money", money).when(kind == "text", norm_text(a, ascii_only) == norm_text(b, ascii_only)).otherwise(a == b)
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).when(kind == "money", money).when(kind == "text", norm_text(a) == norm_text(b)).otherwise(a == b)
 
 
-def field_results(predicted: DataFrame, truth: DataFrame, ascii_only: bool = False) -> DataFrame:
+def field_results(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(doc_id, path, ok, class): every path of either side; one that only one side has is wrong.
 
     Classes: core, line_items and self_report where the label has a value; without one hallucinated, correctly_empty or structural.
     """
     p, t = predicted.select("doc_id", "path", F.col("kind").alias("pk"), F.col("value").alias("pv")), truth.select("doc_id", "path", F.col("kind").alias("tk"), F.col("value").alias("tv"))
     both = p.join(t, ["doc_id", "path"], "full_outer")
-    ok = F.coalesce(F.col("pk").isNotNull() & F.col("tk").isNotNull() & values_equal(F.col("tk"), F.col("pv"), F.col("tv"), ascii_only), F.lit(False))
+    ok = F.coalesce(F.col("pk").isNotNull() & F.col("tk").isNotNull() & values_equal(F.col("tk"), F.col("pv"), F.col("tv")), F.lit(False))
     kind = F.when(F.col("tv").isNotNull(), group_of(F.col("path"))).when(F.col("pv").isNotNull(), "hallucinated").when(ok, "correctly_empty").otherwise("structural")
     return both.select("doc_id", "path", ok.alias("ok"), kind.alias("class"))
 
@@ -70,7 +70,7 @@ def breakdown(results: DataFrame, *by: str) -> DataFrame:
 def critical_fields(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """doc_id, correct: merchant, date and total are all right; two missing values agree."""
     p, t = predicted.alias("p"), truth.alias("t")
-    name = norm_text(F.coalesce("p.merchant_name", F.lit("")), True) == norm_text(F.coalesce("t.merchant_name", F.lit("")), True)
+    name = norm_text(F.coalesce("p.merchant_name", F.lit(""))) == norm_text(F.coalesce("t.merchant_name", F.lit("")))
     return p.join(t, "doc_id").select("doc_id", (name & F.col("p.date_text").eqNullSafe(F.col("t.date_text")) & agree(F.col("p.total"), F.col("t.total"))).alias("correct"))
 
 
@@ -85,7 +85,7 @@ def _prf(tp: Column, n_predicted: Column, n_true: Column) -> list[Column]:
 
 def line_scores_exact(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Precision, recall and F1 per document where lines meet by equal description: the k-th of a name with the k-th."""
-    keyed = lambda d: d.withColumn("name", normal_description(F.col("description_raw"), True)).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("position")))
+    keyed = lambda d: d.withColumn("name", normal_description(F.col("description_raw"))).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("position")))
     p, t = keyed(predicted).alias("p"), keyed(truth).alias("t")
     both = p.join(t, ["doc_id", "name", "k"], "full_outer")
     hit = F.count_if(F.col("p.position").isNotNull() & F.col("t.position").isNotNull() & _fields_agree("p", "t"))
@@ -114,7 +114,7 @@ def line_scores_fuzzy(predicted: DataFrame, truth: DataFrame, least: float = 0.6
                 rows.append((pdf["doc_id"].iloc[0], a["position"].iloc[i], b["position"].iloc[j]))
         return pd.DataFrame(rows, columns=["doc_id", "pp", "tp"])
 
-    named = lambda d, side: d.select("doc_id", "position", F.lit(side).alias("side"), normal_description(F.col("description_raw"), True).alias("name"))
+    named = lambda d, side: d.select("doc_id", "position", F.lit(side).alias("side"), normal_description(F.col("description_raw")).alias("name"))
     pairs = named(predicted, "p").union(named(truth, "t")).groupBy("doc_id").applyInPandas(align, "doc_id bigint, pp int, tp int")
     p, t = predicted.alias("p"), truth.alias("t")
     hits = pairs.join(p, (F.col("pp") == F.col("p.position")) & (pairs["doc_id"] == F.col("p.doc_id"))).join(t, (F.col("tp") == F.col("t.position")) & (pairs["doc_id"] == F.col("t.doc_id"))).where(_fields_agree("p", "t")).groupBy(pairs["doc_id"]).agg(F.count(F.lit(1)).alias("tp"))

@@ -10,16 +10,23 @@ from ..sources.adapters import frame
 ITEM = "struct<position:int,description_raw:string,qty:decimal(12,4),unit_price:decimal(14,4),line_total:decimal(14,4),modifiers:array<struct<label:string,amount:decimal(14,4)>>,is_template_row:boolean>"
 
 
-def with_items(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """headers with line_items, in the order of their positions; documents without lines have an empty array."""
-    modifiers = F.when(F.col("modifier_amount") != 0, F.array(F.struct(F.lit("promo").alias("label"), F.col("modifier_amount").alias("amount")))).otherwise(F.array().cast("array<struct<label:string,amount:decimal(14,4)>>"))
+def gathered(items: DataFrame) -> DataFrame:
+    """A row per document that has lines: line_items in the order of their positions, n_purchases, s and s0 (as v_sums), in one grouping."""
+    none = F.array().cast("array<struct<label:string,amount:decimal(14,4)>>")
+    modifiers = F.when(F.col("modifier_amount") != 0, F.array(F.struct(F.lit("promo").alias("label"), F.col("modifier_amount").alias("amount")))).otherwise(none)
     item = F.struct("position", "description_raw", "qty", "unit_price", "line_total", modifiers.alias("modifiers"), "is_template_row")
-    lines = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("line_items"))
-    return headers.join(lines, "doc_id", "left").withColumn("line_items", F.coalesce("line_items", F.array().cast(f"array<{ITEM}>")))
+    bought, missing = ~F.col("is_template_row"), F.col("line_total").isNull()
+    net = F.sum(F.when(bought, F.col("line_total") + F.col("modifier_amount")))
+    whole = (F.count_if(bought & missing) == 0) & (F.count_if(bought) > 0)
+    return items.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(item)).alias("line_items"), F.count_if(bought).alias("n_purchases"), F.when(whole, net).cast("decimal(18,4)").alias("s"),
+        F.coalesce(net, F.lit(0)).cast("decimal(14,4)").alias("s0"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_items(frame(spark, sf_dir, "v_headers"), frame(spark, sf_dir, "v_items"))
+    """Head and lines of every document; documents without lines have an empty array."""
+    whole = frame(spark, sf_dir, "v_headers", gathered(frame(spark, sf_dir, "v_items")))
+    return whole.withColumn("line_items", F.coalesce("line_items", F.array().cast(f"array<{ITEM}>")))
 
 
 def purchases(items: Column | str = "line_items") -> Column:

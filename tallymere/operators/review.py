@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+
 STATE = "receipt_id bigint, state string, priority int, assigned_to bigint, opened_at timestamp, closed_at timestamp, n_events bigint"
 
 
@@ -76,33 +76,24 @@ def visible_tasks(tasks: DataFrame, user: int | None) -> DataFrame:
     return tasks if user is None else tasks.where((F.col("state") == "open") | (F.col("assigned_to") == user))
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """rows written to the folder that driver and executors share (spark.checkpoint.dir; one of our own where it is unset) and read back."""
-    spark = rows.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    path = f"{base.rstrip('/')}/queue-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
     """rows with n, their place from 1 in the order of `by`, whose values tell all rows apart.
 
     Rows are dealt by range and sorted; each task numbers its own, and the tasks' counts shift the numbers. The rows
     are held before counting, as a second sampling could draw other bounds.
     """
-    held = _held(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    kept = held(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "queue")
     part = F.shiftright("_id", 33)
-    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     shift = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     at = F.col("_id").bitwiseAND((1 << 33) - 1)
-    return held.join(F.broadcast(shift), part == F.col("_part")).select(*rows.columns, (at + F.col("_shift") + 1).alias("n"))
+    return kept.join(F.broadcast(shift), part == F.col("_part")).select(*rows.columns, (at + F.col("_shift") + 1).alias("n"))
 
 
 def next_task(tasks: DataFrame, users: DataFrame) -> DataFrame:
     """For each user their earliest task in progress, else the k-th open task for the k-th user without one: no task is given twice."""
-    tasks = _held(tasks)
+    tasks = held(tasks, "queue")
     mine = tasks.where("state = 'in_progress'").groupBy(F.col("assigned_to").alias("user_id")).agg(F.min(F.struct("opened_at", "receipt_id")).alias("first"))
     asked = users.join(mine.select("user_id", F.col("first.receipt_id").alias("own")), "user_id", "left")
     waiting = numbered(asked.where("own is null").select("user_id"), "user_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import strict_iso
 from ..functions.money import dec, digits, money_text, within
-from ..functions.text import merchant_key, normal_description
+from ..functions.text import blank, merchant_key, nfkc_each, normal_description, plain_description, strip
 from ..sources.adapters import TODAY
 from .records import decimal_median, line_sum, purchases
 
@@ -98,10 +98,6 @@ def _at(item: Column, name: str = "") -> Column:
     return F.concat(F.lit("line_items["), item["position"].cast("string"), F.lit("]" + (f".{name}" if name else "")))
 
 
-def _blank(text: Column) -> Column:
-    return F.trim(F.coalesce(text, F.lit(""))) == ""
-
-
 @rule("R001", "error", "The response is a record of the schema.")
 def _r001(c):
     return one(F.col("parse_failed"), finding("R001", "error", "the response is no record of the schema"))
@@ -120,7 +116,7 @@ def _r011(c):
 
 @rule("R012", "warn", "There is a merchant's name.")
 def _r012(c):
-    return one(_blank(F.col("merchant_name")), finding("R012", "warn", "no merchant name was read", "merchant.name"))
+    return one(blank(F.col("merchant_name")), finding("R012", "warn", "no merchant name was read", "merchant.name"))
 
 
 @rule("R013", "warn", "There are lines.")
@@ -130,14 +126,14 @@ def _r013(c):
 
 @rule("R014", "warn", "The buyer is named, where one is expected.")
 def _r014(c):
-    return one(F.lit(c.expects_buyer) & _blank(F.col("buyer_name")), finding("R014", "warn", "no buyer name was read", "buyer.name"))
+    return one(F.lit(c.expects_buyer) & blank(F.col("buyer_name")), finding("R014", "warn", "no buyer name was read", "buyer.name"))
 
 
 @rule("R015", "warn", "The buyer is the expected one.")
 def _r015(c):
     read, want = digits(F.coalesce("buyer_tax_id", F.lit(""))), digits(F.lit(c.buyer_tax_id or ""))
     by_number = (read != "") & (want != "")
-    other_name = ~_blank(F.col("buyer_name")) & ~_blank(F.lit(c.buyer_name or "")) & (merchant_key(F.col("buyer_name"), True) != merchant_key(F.lit(c.buyer_name or ""), True))
+    other_name = ~blank(F.col("buyer_name")) & ~blank(F.lit(c.buyer_name or "")) & (merchant_key(F.col("buyer_name")) != merchant_key(c.buyer_name))
     found = F.when(by_number, F.when(read != want, finding("R015", "error", "another buyer's tax number", "buyer.tax_id"))).when(other_name, finding("R015", "warn", "another buyer's name", "buyer.name"))
     return F.when(F.lit(c.expects_buyer) & found.isNotNull(), F.array(found)).otherwise(_none())
 
@@ -217,12 +213,12 @@ def _r032(c):
 
 @rule("R033", "warn", "The currency is a familiar one.")
 def _r033(c):
-    return one((F.coalesce("currency", F.lit("")) != "") & ~F.upper(F.trim("currency")).isin(*FAMILIAR_CURRENCIES), finding("R033", "warn", F.concat(F.lit("unfamiliar currency "), F.col("currency")), "receipt.currency"))
+    return one((F.coalesce("currency", F.lit("")) != "") & ~F.upper(strip(F.col("currency"))).isin(*FAMILIAR_CURRENCIES), finding("R033", "warn", F.concat(F.lit("unfamiliar currency "), F.col("currency")), "receipt.currency"))
 
 
 @rule("R040", "error", "The total is over zero, but for refunds.")
 def _r040(c):
-    return one(~F.coalesce("is_refund", F.lit(False)) & (F.col("total") <= 0), finding("R040", "error", "the total is not over zero", "totals.total"))
+    return one(~F.coalesce("is_refund", F.lit(False)) & (F.col("total") <= 0), finding("R040", "error", "the total is not over zero", "totals.total", "meta.is_refund"))
 
 
 @rule("R041", "warn", "The total has a plausible size.")
@@ -256,10 +252,9 @@ def _r045(c):
 
 @rule("R050", "info", "No line repeats the one before.")
 def _r050(c):
-    p = F.col("_purchases")
-    name = lambda x: normal_description(x["description_raw"], True)
-    same = lambda a, b: (name(a) == name(b)) & (name(b) != "") & a["qty"].eqNullSafe(b["qty"]) & a["unit_price"].eqNullSafe(b["unit_price"]) & a["line_total"].eqNullSafe(b["line_total"])
-    pairs = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.when(same(a, b), b))
+    p = purchases(_named_lines())
+    same = lambda a, b: (a["name"] == b["name"]) & (b["name"] != "") & a["qty"].eqNullSafe(b["qty"]) & a["unit_price"].eqNullSafe(b["unit_price"]) & a["line_total"].eqNullSafe(b["line_total"])
+    pairs = F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size("line_items"), F.lit(1))), lambda a, b: F.when(same(a, b), b))  # the last has none after it
     return F.transform(F.filter(pairs, lambda x: x.isNotNull()), lambda x: finding("R050", "info", "this line repeats the one before", _at(x)))
 
 
@@ -272,13 +267,12 @@ def _r051(c):
 
 @rule("R052", "error", "No line is a summary row.")
 def _r052(c):
-    name = lambda x: normal_description(x["description_raw"], True)
-    return each(F.col("line_items"), lambda x: name(x).isin(*SUMMARY_ROWS, *SUMMARY_ROWS_PERHAPS), lambda x: finding("R052", F.when(name(x).isin(*SUMMARY_ROWS), "error").otherwise("warn"), "a summary row among the lines", _at(x)))
+    return each(_named_lines(), lambda x: x["name"].isin(*SUMMARY_ROWS, *SUMMARY_ROWS_PERHAPS), lambda x: finding("R052", F.when(x["name"].isin(*SUMMARY_ROWS), "error").otherwise("warn"), "a summary row among the lines", _at(x)))
 
 
 @rule("R053", "warn", "Every line has a description.")
 def _r053(c):
-    return each(F.col("line_items"), lambda x: _blank(x["description_raw"]), lambda x: finding("R053", "warn", "a line without a description", _at(x, "description_raw")))
+    return each(F.col("line_items"), lambda x: blank(x["description_raw"]), lambda x: finding("R053", "warn", "a line without a description", _at(x, "description_raw")))
 
 
 @rule("R060", "warn", "The total's digits stand in the separately read text.")
@@ -290,7 +284,7 @@ def _r060(c):
 
 @rule("R061", "info", "The merchant's words stand in the separately read text.")
 def _r061(c):
-    words = lambda x: F.array_distinct(F.filter(F.split(normal_description(F.col(x), True), " "), lambda w: w != ""))
+    words = lambda x: F.array_distinct(F.filter(F.split(normal_description(F.col(x)), " "), lambda w: w != ""))
     mine, theirs = words("merchant_name"), words("ocr_text")
     fires = (F.coalesce("ocr_text", F.lit("")) != "") & (F.size(mine) > 0) & (F.size(F.array_intersect(mine, theirs)) * 10 < F.size(mine) * 6)
     return one(fires, finding("R061", "info", "the merchant isn't in the separately read text", "merchant.name"))
@@ -309,14 +303,25 @@ def disputed_paths() -> Column:
     return F.filter(F.array(F.when(F.col("disputes_total"), F.lit("totals.total")), F.when(F.col("disputes_address"), F.lit("merchant.address"))), lambda p: p.isNotNull())
 
 
+def _named_lines() -> Column:
+    """line_items with `name`, the normal form of each line's description."""
+    return F.zip_with("line_items", "_texts", lambda x, t: x.withField("name", plain_description(t)))
+
+
 def with_findings(records: DataFrame, config: RuleConfig | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
-    """records with `findings`: those of all rules (or of these) in the order of rule ids. Map work only: no shuffle, no Python."""
+    """records with `findings`: those of all rules (or of these) in the order of rule ids. Map work only: no shuffle.
+
+    Python sees a text only where it isn't ASCII, for its normal form; without the rules that compare texts it isn't planned.
+    """
     config = config or RuleConfig()
     built = [build(config).cast(f"array<{FINDING}>") for r, (_, _, build) in sorted(REGISTRY.items()) if only is None or r in only]
     base = records if "disputed" in records.columns else records.withColumn("disputed", disputed_paths())
     # Columns that many rules read are made once, before the rules.
+    by_name = only is None or not {"R050", "R052"}.isdisjoint(only)
+    if by_name:
+        base = base.withColumn("_texts", nfkc_each(F.transform("line_items", lambda x: x["description_raw"])))
     base = base.withColumn("_purchases", purchases()).withColumn("_line_sum", line_sum())
-    return base.withColumn("findings", F.concat(*built) if len(built) > 1 else built[0]).drop("_purchases", "_line_sum")
+    return base.withColumn("findings", F.concat(*built) if len(built) > 1 else built[0]).drop("_texts", "_purchases", "_line_sum")
 
 
 def findings_table(records: DataFrame, config: RuleConfig | None = None, only: tuple[str, ...] | None = None) -> DataFrame:

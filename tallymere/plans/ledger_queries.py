@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import last4, redact_cards
-from ..operators import dedupe, entities, listing
+from ..operators import dedupe, entities, listing, review
 from ..operators.records import records
 from ..sources.adapters import frame, sql, table
 
@@ -68,13 +68,12 @@ def export_line_sheet(spark, sf_dir):
     return lines.join(scope, "doc_id", "left_semi").select("doc_id", "position", F.col("description_raw").alias("description"), "qty", "unit_price", "line_total")
 
 
-@query("needs_review_sheet", f"{_EXPORT} select row_number() over (order by coalesce(task_priority, 65536), coalesce(cast(txn_date as varchar), ''), doc_id) as pos, task_priority as priority, doc_id, merchant, txn_date, total, confidence from x where status = 'needs_review' order by 1 limit 1000")
+@query("needs_review_sheet", f"{_EXPORT} select row_number() over (order by coalesce(task_priority, 65536), coalesce(cast(txn_date as varchar), ''), doc_id) as pos, task_priority as priority, doc_id, merchant, txn_date, total, confidence from x where status = 'needs_review'")
 def needs_review_sheet(spark, sf_dir):
     rows = _export_rows(spark, sf_dir).where("status = 'needs_review'")
-    top = rows.orderBy(*listing.review_order()).limit(1000)
-    from pyspark.sql import Window
-
-    return top.select(F.row_number().over(Window.orderBy(*listing.review_order())).cast("long").alias("pos"), F.col("task_priority").alias("priority"), "doc_id", "merchant", "txn_date", "total", "confidence")
+    order = dict(zip(("_priority", "_date"), listing.review_order(), strict=False))
+    sheet = review.numbered(rows.withColumns(order).select("_priority", "_date", "doc_id", "task_priority", "merchant", "txn_date", "total", "confidence"), "_priority", "_date", "doc_id")
+    return sheet.select(F.col("n").cast("long").alias("pos"), F.col("task_priority").alias("priority"), "doc_id", "merchant", "txn_date", "total", "confidence")
 
 
 @query("export_summary", f"""{_EXPORT}, y as (select *, coalesce(nullif(merchant, ''), '(unknown)') as m from x)
@@ -165,17 +164,17 @@ def _names(spark, sf_dir):
 def merchant_key(spark, sf_dir):
     from ..functions.text import merchant_key as key
 
-    return frame(spark, sf_dir, "v_merchants").select("merchant_id", key(F.col("canonical_name"), True).alias("key"))
+    return frame(spark, sf_dir, "v_merchants").select("merchant_id", key(F.col("canonical_name")).alias("key"))
 
 
 @query("merchant_lookup", f"with {_MKEYS}, {_NAMES} select doc_id, found_id as merchant_id from (select doc_id, {_KEY.format('name')} as key from nm) q left join uk on uk.key = q.key")
 def merchant_lookup(spark, sf_dir):
-    return entities.lookup(_names(spark, sf_dir), frame(spark, sf_dir, "v_merchants"), True)
+    return entities.lookup(_names(spark, sf_dir), frame(spark, sf_dir, "v_merchants"))
 
 
 @query("merchant_resolve", f"with {_MKEYS}, {_NAMES}, tx as (select tax_id, min(merchant_id) as by_tax from v_merchants where tax_id is not null group by tax_id) select doc_id, coalesce(by_tax, found_id) as merchant_id from (select doc_id, tax_id, {_KEY.format('name')} as key from nm) q left join tx on tx.tax_id = q.tax_id left join uk on uk.key = q.key")
 def merchant_resolve(spark, sf_dir):
-    return entities.resolve(_names(spark, sf_dir), frame(spark, sf_dir, "v_merchants"), True)
+    return entities.resolve(_names(spark, sf_dir), frame(spark, sf_dir, "v_merchants"))
 
 
 @query("merchant_counts", f"with {_MKEYS}, {_NAMES} select found_id as merchant_id, count(distinct doc_id) as receipt_count from (select doc_id, {_KEY.format('name')} as key from nm) q join uk on uk.key = q.key group by found_id")
@@ -191,7 +190,7 @@ def merchant_register(spark, sf_dir):
 
 @query("merchant_confirm", f"with {_MKEYS}, {_NAMES}, q as (select m.merchant_id, nm.name, {_KEY.format('nm.name')} as key from nm join v_merchants m on m.tax_id = nm.tax_id where nm.name is not null), c as (select * from q where key <> '' and key not in (select key from mk)) select min(merchant_id) as merchant_id, min(name) as name from c group by key having count(distinct merchant_id) = 1")
 def merchant_confirm(spark, sf_dir):
-    return entities.confirm_variants(_names(spark, sf_dir).where("name is not null"), frame(spark, sf_dir, "v_merchants"), True)
+    return entities.confirm_variants(_names(spark, sf_dir).where("name is not null"), frame(spark, sf_dir, "v_merchants"))
 
 
 @query("few_shot_topk", """with s as (select receipt_id, count(*) as n, min(attempt) as attempt from v_runs where pass_name = 'extract' group by receipt_id having count(*) = 1),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..operators import corrections, evaluation, ingest, review
 from ..operators.records import purchases, records
 from ..sources.adapters import frame, sql, table
+from ..sources.shared import new_path
 from ..streaming import queue
 
 QUERIES: dict = {}
@@ -60,14 +59,13 @@ def review_tasks_visible(spark, sf_dir):
     return review.numbered(seen, "priority", "opened_at", "receipt_id").select("receipt_id", "state", "priority", F.col("n").alias("pos"))
 
 
-@query("review_next_for_user", f"""{_FOLD}, us as (select distinct user_id from {{events}} where user_id < 20),
+@query("review_next_for_user", f"""{_FOLD}, us as (select distinct user_id from {{events}} where user_id is not null),
 mine as (select assigned_to, receipt_id, row_number() over (partition by assigned_to order by opened_at, receipt_id) as k from tk where state = 'in_progress'),
 ask as (select us.user_id, mine.receipt_id as own from us left join mine on mine.assigned_to = us.user_id and k = 1),
 w as (select user_id, row_number() over (order by user_id) as k from ask where own is null), op as (select receipt_id, row_number() over (order by priority, opened_at, receipt_id) as k from tk where state = 'open')
 select user_id, own as receipt_id, true as resumed from ask where own is not null union all select w.user_id, op.receipt_id, false from w left join op on op.k = w.k""")
 def review_next_for_user(spark, sf_dir):
-    users = table(spark, sf_dir, "events").select("user_id").where("user_id < 20").distinct()
-    return review.next_task(_tasks(spark, sf_dir), users)
+    return review_next_for_all_users(spark, sf_dir)
 
 
 @query("review_next_for_all_users")
@@ -75,8 +73,7 @@ def review_next_for_all_users(spark, sf_dir):
     return review.next_task(_tasks(spark, sf_dir), table(spark, sf_dir, "events").select("user_id").where("user_id is not null").distinct())
 
 
-#: The same SQL without its limit to the first twenty users.
-ORACLE_SQL["review_next_for_all_users"] = ORACLE_SQL["review_next_for_user"].replace("events where user_id < 20", "events where user_id is not null")
+ORACLE_SQL["review_next_for_all_users"] = ORACLE_SQL["review_next_for_user"]
 
 
 # --- corrections ---
@@ -146,7 +143,7 @@ cl as (select *, case when tv is not null then case when f = 'is_template_row' t
 
 def _fields(spark, sf_dir):
     items = frame(spark, sf_dir, "v_items")
-    return evaluation.field_results(evaluation.flatten_items(_predicted_items(items)), evaluation.flatten_items(items), True)
+    return evaluation.field_results(evaluation.flatten_items(_predicted_items(items)), evaluation.flatten_items(items))
 
 
 @query("field_accuracy", f"{_FIELDS} select class, ok, count(*) as n from cl group by class, ok")
@@ -206,7 +203,7 @@ def _whole(spark, sf_dir):
 
 def _whole_fields(spark, sf_dir):
     h, items = frame(spark, sf_dir, "v_headers"), frame(spark, sf_dir, "v_items")
-    return evaluation.field_results(evaluation.flatten_records(_predicted_headers(h), _predicted_items(items)), evaluation.flatten_records(h, items), True)
+    return evaluation.field_results(evaluation.flatten_records(_predicted_headers(h), _predicted_items(items)), evaluation.flatten_records(h, items))
 
 
 @query("field_accuracy_whole", f"{_WHOLE_FIELDS} select class, ok, count(*) as n from cl group by class, ok")
@@ -382,15 +379,18 @@ def parse_time(spark, sf_dir):
     return frame(spark, sf_dir, "v_text").select("doc_id", dates.parse_time(F.col("time_text")).alias("time"))
 
 
-@query("clean_text", "select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from {documents} where not regexp_matches(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]')")
+#: For texts that are in NFKC, as all of `documents` are; tests compare others with Python's unicodedata.
+_CLEAN = "select doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', ' ', 'g'), '[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) as text from {documents}"
+
+
+@query("clean_text", _CLEAN)
 def clean_text(spark, sf_dir):
-    ascii_texts = table(spark, sf_dir, "documents").where(~F.regexp_like("text", F.lit(r"[^\x09\x0a\x0d\x20-\x7e]")))
-    return ascii_texts.select("doc_id", text.clean_text(F.col("text"), True).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
-@query("clean_text_unicode")
+@query("clean_text_unicode", _CLEAN)
 def clean_text_unicode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("text"))
+    return clean_text(spark, sf_dir)
 
 
 @query("currency_chain", "select doc_id, case when upper(trim(currency_text)) in ('PHP', 'USD', 'XAF') then upper(trim(currency_text)) when doc_id % 3 = 0 then 'EUR' else 'JPY' end as currency from v_text")
@@ -400,7 +400,7 @@ def currency_chain(spark, sf_dir):
 
 @query("normalize_desc", "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(upper(description_text), '[\\s:.\\-]*[-+]?[\\d,]+(?:[.,]\\d+)?\\s*$', ''), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) as name from v_text")
 def normalize_desc(spark, sf_dir):
-    return frame(spark, sf_dir, "v_text").select("doc_id", text.normal_description(F.col("description_text"), True).alias("name"))
+    return frame(spark, sf_dir, "v_text").select("doc_id", text.normal_description(F.col("description_text")).alias("name"))
 
 
 @query("normalize_positions", "select doc_id, position, cast(row_number() over (partition by doc_id order by position) - 1 as int) as fixed from v_items where not is_template_row")
@@ -466,16 +466,11 @@ def _stream(spark, sf_dir):
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", ((F.col("user_id") * 7) % 200).alias("receipt_id"), F.element_at(action, F.col("event_type")).alias("action"), (F.col("event_id") % 3).cast("int").alias("priority"), "event_type", "value")
 
 
-def _stream_folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{abs(hash(tempfile.mktemp()))}" if base else tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-
-
 @query("stream_queue_fold", f"{_FOLD} select receipt_id, state, priority, assigned_to, n as n_events from tk")
 def stream_queue_fold(spark, sf_dir):
     from pyspark.sql import Window
 
-    updates = queue.run_to_table(queue.queue_updates(_stream(spark, sf_dir)), _stream_folder(spark), "update")
+    updates = queue.run_to_table(queue.queue_updates(_stream(spark, sf_dir)), new_path(spark, "stream"), "update")
     last = updates.withColumn("k", F.row_number().over(Window.partitionBy("receipt_id").orderBy(F.col("batch").desc()))).where("k = 1 and state is not null")
     return last.select("receipt_id", "state", "priority", "assigned_to", "n_events")
 
@@ -483,4 +478,4 @@ def stream_queue_fold(spark, sf_dir):
 @query("stream_dedup_ids", "select distinct user_id * 7 % 200 as receipt_id from {events}")
 def stream_dedup_ids(spark, sf_dir):
     once = queue.taken_once(_stream(spark, sf_dir).select("receipt_id", "ts"), within="3650 days")
-    return queue.run_to_table(once, _stream_folder(spark), "append").select("receipt_id")
+    return queue.run_to_table(once, new_path(spark, "stream"), "append").select("receipt_id")

@@ -26,8 +26,15 @@ select l_orderkey as doc_id,
  cast(case when l_suppkey % 9 = 0 then -1 else 0 end as decimal(14,4)) as modifier_amount,
  (l_returnflag = 'R' and l_linenumber = 7) as is_template_row
 from {lineitem} join {part} on p_partkey = l_partkey""",
+    "v_sums": """
+select doc_id,
+  cast(sum(case when not is_template_row then 1 else 0 end) as bigint) as n_purchases,
+  cast(case when sum(case when not is_template_row and line_total is null then 1 else 0 end) = 0 and sum(case when not is_template_row then 1 else 0 end) > 0 then sum(case when not is_template_row then line_total + modifier_amount end) end as decimal(18,4)) as s,
+  cast(coalesce(sum(case when not is_template_row then line_total + modifier_amount end), 0) as decimal(14,4)) as s0
+  from v_items group by doc_id""",
+    #: In v_docs and v_headers, a comment stands where records() has the array of lines pass through.
     "v_docs": """
-select o_orderkey as doc_id,
+select o_orderkey as doc_id, /*lines of x*/
  case when o_orderkey % 23 = 0 then null else o_custkey end as merchant_id,
  case when o_orderkey % 29 = 0 then null else cast(o_orderdate as date) end as txn_date,
  n_purchases, s as line_sum,
@@ -35,14 +42,10 @@ select o_orderkey as doc_id,
  case when o_orderkey % 13 = 0 then null else cast(round(s0 * cast(0.12 as decimal(4,2)), 2) as decimal(14,4)) end as tax,
  case when o_orderkey % 6 = 0 then cast(round(s0 * cast(0.05 as decimal(4,2)), 2) as decimal(14,4)) end as discount,
  case when o_orderkey % 31 = 0 then null else cast(s0 + case when o_orderkey % 13 = 0 then cast(0 as decimal(14,4)) else round(s0 * cast(0.12 as decimal(4,2)), 2) end - case when o_orderkey % 6 = 0 then round(s0 * cast(0.05 as decimal(4,2)), 2) else cast(0 as decimal(14,4)) end + case when o_orderkey % 10 = 0 then cast(1000 as decimal(14,4)) else cast(0 as decimal(14,4)) end as decimal(14,4)) end as total
-from {orders} join (select doc_id,
-  cast(sum(case when not is_template_row then 1 else 0 end) as bigint) as n_purchases,
-  cast(case when sum(case when not is_template_row and line_total is null then 1 else 0 end) = 0 and sum(case when not is_template_row then 1 else 0 end) > 0 then sum(case when not is_template_row then line_total + modifier_amount end) end as decimal(18,4)) as s,
-  cast(coalesce(sum(case when not is_template_row then line_total + modifier_amount end), 0) as decimal(14,4)) as s0
-  from v_items group by doc_id) x on x.doc_id = o_orderkey""",
+from {orders} join v_sums x on x.doc_id = o_orderkey""",
     #: Everything the rules read but the lines: one row per order, those without lines too.
     "v_headers": """
-select o_orderkey as doc_id, d.merchant_id, d.txn_date, d.subtotal, d.tax, case when o_orderkey % 66 = 0 then cast(d.subtotal + 1 as decimal(14,4)) else d.discount end as discount, d.total,
+select o_orderkey as doc_id, /*lines of d*/ d.merchant_id, d.txn_date, d.subtotal, d.tax, case when o_orderkey % 66 = 0 then cast(d.subtotal + 1 as decimal(14,4)) else d.discount end as discount, d.total,
  case when o_orderkey % 23 = 0 then null when o_orderkey % 47 = 0 then '  ' else concat('Customer Shop ', cast(o_custkey as string)) end as merchant_name,
  case when o_orderkey % 19 = 0 then null when o_orderkey % 17 = 0 then 'Other Traders' else 'Tallymere Inc.' end as buyer_name,
  case when o_orderkey % 3 = 0 then null when o_orderkey % 5 = 0 then '999-888-777' else '123-456-789' end as buyer_tax_id,
@@ -111,7 +114,7 @@ select d.doc_id, cast((n_chars % 101) / 100.0 as decimal(4,3)) as confidence, qu
 from {documents} d join {labels} l on l.doc_id = d.doc_id""",
     "v_votes": """
 select o_orderkey as doc_id, run, case when o_orderkey % 4 = 0 and run = 2 then null when (o_orderkey + run) % 9 = 0 then concat('alt', cast(run as string)) else cast(o_custkey as string) end as value
-from {orders} cross join (select 0 as run union all select 1 as run union all select 2 as run) r where o_orderkey % 3 = 0""",
+from {orders} cross join (select 0 as run union all select 1 as run union all select 2 as run) r""",
     "v_uploads": """
 select page_id, cast(length(html) * case when page_id % 31 = 0 then 20000 else 1 end * case when page_id % 29 = 0 then 0 else 1 end as bigint) as n_bytes,
  case page_id % 6 when 0 then 'FFD8FFE000104A46494600' when 1 then '89504E470D0A1A0A0000000D' when 2 then '255044462D312E37' when 3 then '524946460000000057454250' when 4 then '000000186674797068656963' else '3C68746D6C3E' end as head_hex,
@@ -146,9 +149,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """A view as a DataFrame; only the columns and tables that the caller uses are read."""
+def frame(spark: SparkSession, sf_dir: str, view: str, lines: DataFrame | None = None) -> DataFrame:
+    """A view as a DataFrame; only the columns and tables that the caller uses are read. `lines` stands for v_sums and adds
+    its line_items to the view, so that the lines are gathered once."""
     views = _needed(view)
     text = "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in views) + f"\nselect * from {view}"
+    if lines is not None:
+        views = [v for v in views if v not in ("v_items", "v_sums")]
+        text = "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in views) + f"\nselect * from {view}"
+        text = re.sub(r"/\*lines of (\w)\*/", r"\1.line_items,", text).replace("v_sums", "{v_sums}")
     used = {t: table(spark, sf_dir, t) for t in BASE if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    return spark.sql(text, **used, **({} if lines is None else {"v_sums": lines}))

@@ -85,3 +85,30 @@ def test_card_edges(spark):
 def test_cards_like_a_pattern_in_python(spark, rows):
     mask = lambda m: "*" * (len(re.sub(r"\D", "", m[0])) - 4) + re.sub(r"\D", "", m[0])[-4:]
     assert values(spark, rows, money.redact_cards) == [re.sub(money.CARD_NUMBER, mask, r) for r in rows]
+
+
+ODD_TEXTS = [None, "", " \t ", "ＡＢＣ　ｄ", "ﬁne\x00 print\x85 ", "Straße\xa0№ 5", "é é", "ΑΣ ας", "İi", "x\x1cy", "plain  ASCII\r\n"]
+
+
+def test_cleaning_like_python(spark):
+    import re
+    import unicodedata
+
+    from tallymere.functions import text
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD_TEXTS)], "k int, t string")
+    got = df.select("k", text.clean_text(F.col("t")).alias("clean"), text.norm_text(F.col("t")).alias("norm"), text.strip(F.col("t")).alias("strip"), text.nfkc_each(F.array("t", F.lit("ﬁ"))).alias("each")).orderBy("k").collect()
+    collapse = lambda x: re.sub(r"\s+", " ", x).strip()
+    for t, r in zip(ODD_TEXTS, got, strict=True):
+        if t is None:
+            assert r["clean"] is r["norm"] is r["strip"] is None and r["each"] == [None, "fi"]
+            continue
+        normal = unicodedata.normalize("NFKC", t)
+        assert r["clean"] == collapse(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", " ", normal))
+        assert r["norm"] == collapse(t).casefold() and r["strip"] == t.strip() and r["each"] == [normal, "fi"]
+
+
+def test_money_text(spark):
+    rows = [("12.5000", "12.50"), ("12.0000", "12"), ("0.1250", "0.125"), ("-3.1000", "-3.10"), (None, "null"), ("1000000.0000", "1000000")]
+    df = spark.createDataFrame(rows, "v string, want string").select(money.money_text(F.col("v").cast("decimal(14,4)")).alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in df.collect())

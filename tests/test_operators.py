@@ -203,3 +203,9 @@ def test_runs_are_never_overwritten(spark, tmp_path):
     readers.write_once(spark.range(1), str(tmp_path / "run"))
     with pytest.raises(Exception, match="(?i)exists"):
         readers.write_once(spark.range(1), str(tmp_path / "run"))
+
+
+def test_long_chains_and_hubs_of_links(spark):
+    links = [(k, k + 1) for k in range(1, 300)] + [(1000 + k, 300) for k in range(200)] + [(2000, 2001), (2001, 2002), (2002, 2001)]
+    roots = {r["id"]: (r["root"], r["hops"], r["cyclic"]) for r in dedupe.link_roots(spark.createDataFrame(links, "id long, target long")).collect()}
+    assert roots == {**{k: (300, 300 - k, False) for k in range(1, 300)}, **{1000 + k: (300, 1, False) for k in range(200)}, **{k: (None, None, True) for k in (2000, 2001, 2002)}}

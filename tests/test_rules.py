@@ -125,3 +125,22 @@ def test_summary_and_repair_text(spark):
     row = spark.range(1).select(many.alias("findings")).select(rules.summary_text().alias("s"), rules.repair_text().alias("r")).first()
     assert row["s"] == "9 error(s), 5 warning(s), 1 info: R012, R020, R051"
     assert row["r"].splitlines()[0] == "[R020] m" and row["r"].endswith("... and 2 further problems.") and len(row["r"].splitlines()) == 13
+
+
+@pytest.mark.parametrize("rule_id,changes", [
+    ("R012", {"merchant_name": "\t\n"}), ("R012", {"merchant_name": "　\xa0"}), ("R014", {"buyer_name": "\n"}), ("R053", {"line_items": [line(0, 1, "847.50", "847.50", "\t\r\n")]}),
+    ("R052", {"line_items": [*LINES, line(3, None, None, None, "ＴＯＴＡＬ：８４７．５０", template=True)]}),
+    ("R050", {"line_items": [*LINES[:2], line(2, 5, "99.50", "497.50", "Ｃａｆé"), line(3, 5, "99.50", "497.50", "Café")], "subtotal": D("1345.00"), "total": D("1446.70"), "tender": None}),
+    ("R061", {"merchant_name": "ＣＯＲＮＥＲ ＳＨＯＰ", "ocr_text": "SOMETHING ELSE 949.20"}),
+    ("R015", {"buyer_tax_id": None, "buyer_name": "Ｔａｌｌｙｍｅｒｅ Straße"}),
+])
+def test_texts_beyond_ascii_and_white_space(spark, rule_id, changes):
+    assert rule_id in {r for r, _ in found(spark, **changes)}
+
+
+@pytest.mark.parametrize("changes", [
+    {"merchant_name": "ＣＯＲＮＥＲ ＳＨＯＰ", "ocr_text": "corner shop 949.20"}, {"buyer_tax_id": None, "buyer_name": "ＴＡＬＬＹＭＥＲＥ　Inc.\t"},
+    {"currency": "PHP\n", "date_text": "2026-07-20\t"},
+])
+def test_forms_of_the_same_text_are_silent(spark, changes):
+    assert found(spark, **changes) == []
