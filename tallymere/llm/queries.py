@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, url_filters, warc
-from .common import new_path
+from .common import delete_path, new_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "archive")
-    warc.write_archive(*warc.warc_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
-    return warc.read_archive(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archive, files = new_path(spark, "archive"), new_path(spark, "warc")
+    warc.write_archive(*warc.warc_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), archive)
+    warc.export_warc(warc.read_archive(spark, archive), files)
+    delete_path(spark, archive)
+    read = written(warc.parsed(warc.import_warc(spark, files)).drop("header", "payload"), "warc-read")
+    delete_path(spark, files)
+    return warc.resolved(read).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP5_SQL = """

@@ -1,10 +1,15 @@
-"""Content-addressed web archive: payloads once by digest, exact record headers apart, records rebuilt by a join."""
+"""Content-addressed web archive: payloads once by digest, exact record headers apart, records rebuilt by a join.
+
+WARC files (gzip) go in and out record by record. A record is its header block, an empty line and its block; files end
+each record with two line breaks. Reading streams a file and cuts it by Content-Length.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,81 +17,162 @@ from .common import shuffle_files_freed
 
 #: Shorter payloads are stored with a response record each, even when they are equal.
 MIN_REVISIT_BYTES = 100
+#: The time that records carry where the table has none.
+DATE = "2026-01-01T00:00:00Z"
 _CRLF = "\r\n"
+_MARK = b"WARC/1.1\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_HTTP = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF * 2}"
 
 
 def _header(*lines: tuple[str, Column]) -> Column:
-    """Header block; a line whose value is null is left out. Line breaks inside a value become spaces."""
-    parts = [F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " ")) for name, value in lines]
+    """Header block; a line whose value is null is left out."""
+    parts = [F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in lines]
     return F.concat(F.concat_ws(_CRLF, F.lit("WARC/1.1"), *parts), F.lit(_CRLF * 2))
 
 
-def warc_records(df: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(headers, payloads): a header row for each row of df, and each distinct payload once.
+def _one_line(text: Column) -> Column:
+    """Reversible: a percent sign before 0D, 0A or 25 and line breaks as %25, %0D and %0A, so that a header line is never cut and reads back exactly."""
+    return F.replace(F.replace(F.regexp_replace(text, "%(?=0[AD]|25)", "%25"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def _lines_again(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
+def warc_records(df: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int = MIN_REVISIT_BYTES, date: str = DATE) -> tuple[DataFrame, DataFrame]:
+    """(headers, payloads): a header row (id, digest, header, http) for each row of df, and each distinct payload once.
 
     Payloads meet by (SHA-256, bytes), combined before the shuffle; of equal payloads of at least min_revisit bytes
     the smallest id is the response, the others are revisits that name it. A null payload is empty; rows that repeat
-    the smallest id are responses as well.
+    the smallest id are responses as well; a null id is never a smallest one. Each record has an id of its own. Very long
+    payloads are moved once; an empty table gives empty tables; extra columns are ignored.
     """
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
+    payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
     payloads = rows.groupBy("digest", "payload").agg(F.min("id").alias("owner"))
     owners = payloads.groupBy(F.col("digest").alias("o_digest")).agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two payloads have one SHA-256")).cast("long")).otherwise(F.min("owner")).alias("owner"))
-    joined = rows.drop("payload").join(owners, F.col("digest") == F.col("o_digest"))
+    # By the bytes of the digest: both sides are dealt anew, so that the rows of a very common payload can be split.
+    joined = rows.drop("payload").join(owners.hint("merge"), F.unhex("digest") == F.unhex("o_digest"))
     revisit = (F.col("n_bytes") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("owner"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
+    name = lambda id_: F.concat(F.lit("<urn:page:"), F.coalesce(id_.cast("string"), F.lit("none")), F.lit(">"))
     header = _header(
-        ("WARC-Type", kind), ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">"))), ("WARC-Target-URI", F.col("url")),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("WARC-Profile", F.when(revisit, F.lit(_REVISIT))),
-        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(">")))),
-        ("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("n_bytes"))))
-    return joined.select("id", "digest", header.alias("header")), payloads.select("digest", "payload")
+        ("WARC-Type", kind), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", _one_line(F.col("url"))),
+        ("WARC-Page-ID", name(F.col("id"))), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("WARC-Profile", F.when(revisit, F.lit(_REVISIT))),
+        ("WARC-Refers-To-Page", F.when(revisit, name(F.col("owner")))), ("Content-Type", F.lit("application/http; msgtype=response")),
+        ("Content-Length", F.lit(len(_HTTP)) + F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("n_bytes"))))
+    return joined.select("id", "digest", header.alias("header"), F.lit(_HTTP).alias("http")), payloads.select("digest", "payload")
 
 
 def write_archive(headers: DataFrame, payloads: DataFrame, path: str) -> None:
     """Two Parquet tables under path: headers and payloads. Both grow with the input; nothing is kept on one machine."""
     with shuffle_files_freed(headers.sparkSession):
-        payloads.write.mode("overwrite").parquet(f"{path}/payloads")
+        payloads.write.mode("overwrite").parquet(f"{path}/payloads", compression="zstd")
         headers.write.mode("overwrite").parquet(f"{path}/headers")
 
 
+def _line(name: str) -> Column:
+    """The value of a header line, null without one."""
+    found = F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    return F.when(F.regexp_like("header", F.lit(rf"\r\n{name}: ")), found)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rebuilt records: id, header, payload, record (the WARC record as text), and what the header and payload say.
+    """Rebuilt records (record: header, HTTP head and payload) from the two tables.
 
-    The stored payload is digested anew and the header is read back; a record whose digest doesn't match its payload
-    stops the read. Columns that aren't selected cost nothing: a query without `payload` or `record` doesn't move payloads.
+    Headers that have a payload of their own (responses) meet it by the digest; revisits have none and stay as they are,
+    so a payload that very many records share is sent to its responses alone.
     """
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("p_digest"), "payload", F.sha2(F.col("payload"), 256).alias("actual"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    line = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    said = F.regexp_extract(line("WARC-Payload-Digest"), r"^sha256:(\w+)$", 1)
-    joined = headers.join(payloads, F.col("digest") == F.col("p_digest"), "left")
-    kind, refers = line("WARC-Type"), F.regexp_extract(line("WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    verified = F.when(said.eqNullSafe(F.col("actual")), F.col("actual")).otherwise(F.raise_error(F.concat(F.lit("damaged archive record of digest "), F.col("digest"))))
-    return joined.select("id", "header", "payload", "payload_bytes", verified.alias("payload_digest"), kind.alias("record_type"), F.nullif(refers, F.lit("")).cast("long").alias("refers_to"),
-                         F.concat(F.col("header"), F.when(kind == "revisit", F.lit("")).otherwise(F.col("payload"))).alias("record"))
+    payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("p_digest"), "payload")
+    revisit = _line("WARC-Type") == "revisit"
+    rebuilt = headers.where(~revisit).join(payloads.hint("merge"), F.unhex("digest") == F.unhex("p_digest"), "left")
+    whole = rebuilt.select(F.concat("header", "http", F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload of digest "), F.col("digest"))).cast("string"))).alias("record"))
+    return whole.union(headers.where(revisit).select(F.concat("header", "http").alias("record")))
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """What records (a column `record`) say: id, url, record_type, refers_to, header, payload, payload_bytes, payload_digest.
+
+    A response's payload is cut by Content-Length and digested anew; one that doesn't match its header stops the read.
+    Revisits have the payload, size and digest of the response that they name, by a join on the digest in their header.
+    """
+    end = F.instr("record", _CRLF * 2) + 3
+    split = records.select(F.left("record", end).alias("header"), F.substring("record", end + 1, F.length("record")).alias("block"))
+    n = _line("Content-Length").cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(_line(name), r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
+    head = F.instr("block", _CRLF * 2) + 3
+    said = F.regexp_extract(_line("WARC-Payload-Digest"), r"^sha256:(\w+)$", 1)
+    whole = F.when(F.octet_length("block") == n, F.substring("block", head + 1, F.length("block"))).otherwise(F.raise_error(F.lit("a record whose length differs from its header")).cast("string"))
+    read = split.select(page("WARC-Page-ID").alias("id"), _lines_again(_line("WARC-Target-URI")).alias("url"), _line("WARC-Type").alias("record_type"), page("WARC-Refers-To-Page").alias("refers_to"), "header", said.alias("said"), whole.alias("payload"))
+    actual = F.sha2("payload", 256)
+    verified = F.when(actual == F.col("said"), actual).otherwise(F.raise_error(F.concat(F.lit("damaged archive record of digest "), F.col("said"))).cast("string"))
+    return read.withColumn("payload_digest", F.when(F.col("record_type") == "response", verified)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+
+
+def resolved(read: DataFrame) -> DataFrame:
+    """parsed() rows without their payloads: id, url, record_type, refers_to, payload_digest, payload_bytes; a revisit has the
+    verified digest and size of the response whose id and digest it names."""
+    own = read.where("record_type = 'response'").select("id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")
+    known = own.groupBy(F.col("id").alias("k_id"), F.col("payload_digest").alias("k_digest")).agg(F.max("payload_bytes").alias("k_bytes"))
+    again = read.where("record_type = 'revisit'").select("id", "url", "record_type", "refers_to", "said")
+    # Dealt anew by the negated id, so that the many revisits of one record can be split.
+    found = again.join(known.hint("merge"), (F.negate("refers_to") == F.negate("k_id")) & (F.col("said") == F.col("k_digest")), "left")
+    missing = F.raise_error(F.concat(F.lit("a revisit of a record that isn't there, digest "), F.col("said")))
+    return own.union(found.select("id", "url", "record_type", "refers_to", F.coalesce("k_digest", missing.cast("string")), "k_bytes"))
 
 
 def export_warc(records: DataFrame, path: str, rows_per_file: int = 20_000) -> None:
-    """Plain WARC files: Spark's text writer with the record separator of the format as line separator."""
-    records.select("record").write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", rows_per_file).text(path)
+    """WARC files (gzip): Spark's text writer with the record separator of the format as line separator."""
+    with shuffle_files_freed(records.sparkSession):
+        records.select("record").write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", rows_per_file).text(path, compression="gzip")
 
 
 def import_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload) of each record in WARC files, cut by Content-Length; a file must fit into a task's memory (rows_per_file)."""
+    """One row per record of WARC files, cut by Content-Length, whatever bytes a block holds.
 
-    def cut(batches) -> Iterator:
-        import pyarrow as pa
+    The text reader gives what stands between version lines, in order; a piece that starts like a record but lies inside
+    a block is joined to the record whose length covers it. A file is one task, and only the record at hand is held. Files
+    must not be split for that: gzip files never are, and a plain file that is larger than a split stops the read, as does
+    a file that ends inside a record. No files give no records.
+    """
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = need = 0
+        last = None
+        out: list[str] = []
         for batch in batches:
-            for content in batch.column(0):
-                data, at, out = content.as_py(), 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at) + 4
-                    n = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", data[at:end])[1])
-                    out.append((data[at:end].decode(), data[end : end + n].decode()))
-                    at = end + n + 4
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["header", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "header string, payload string")
+            for name, at, value in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if at:
+                    raise ValueError(f"{name} is larger than a split; compress it by gzip")
+                if name != last and held:
+                    raise ValueError(f"{last} ends inside a record")
+                last, piece = name, (value or "").encode()
+                if held:
+                    held.append(_MARK)
+                    size += len(_MARK)
+                elif not piece:
+                    continue  # what stands before a file's first record
+                held.append(piece)
+                size += len(piece)
+                if not need and (end := (whole := b"".join(held)).find(b"\r\n\r\n")) >= 0:
+                    held, length = [whole], re.search(rb"\r\nContent-Length: (\d+)\r\n", whole[: end + 2])
+                    if length is None:
+                        raise ValueError(f"a record without Content-Length in {name}")
+                    need = end + 4 + int(length[1])
+                if need and size >= need:
+                    whole = b"".join(held)
+                    if whole[need:].strip(b"\r\n"):
+                        raise ValueError(f"a record longer than its Content-Length in {name}")
+                    out.append((_MARK + whole[:need]).decode())
+                    held, size, need = [], 0, 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+                out = []
+        if held:
+            raise ValueError(f"{last} ends inside a record")
+
+    read = spark.read.option("lineSep", _MARK.decode()).text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    return read.mapInArrow(cut, "record string")

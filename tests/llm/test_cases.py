@@ -335,25 +335,43 @@ def test_conversations_with_nulls_ties_and_many_turns(spark):
 
 
 def test_archive_round_trip(spark):
-    big = "payload \r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n é " * 5
-    rows = [(3, "http://a", big), (1, None, big), (2, "http://b\r\nX: y", "short"), (4, "u", "short"), (5, "u", None), (None, "u", big), (6, "u", "x" * 5000), (1, "again", big)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("digest", "header", "payload", "id", "owner")})
-    path = new_path(spark, "test-archive")
+    big = "payload \r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\n é " * 5
+    rows = [(3, "http://a", big), (1, None, big), (2, "http://b\r\nX: y%0A%2", "short"), (4, "u", "short"), (5, "", None), (None, "u", big), (6, "u", "x" * 300_000), (1, "again", big), (7, "u", "\r\n"), (8, "u", "WARC/1.1\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("digest", "header", "payload", "id", "owner", "http", "record")})
+    path, files = new_path(spark, "test-archive"), new_path(spark, "test-warc")
     warc.write_archive(*warc.warc_records(df, "page_id", "url", "html"), path)
-    back = warc.read_archive(spark, path)
-    got = sorted((str(r["id"]), r["record_type"], r["refers_to"], r["payload"], r["payload_digest"] == hashlib.sha256(r["payload"].encode()).hexdigest(), r["payload_bytes"] == len(r["payload"].encode())) for r in back.collect())
-    want = sorted((str(i), "revisit" if t == big and i != 1 else "response", 1 if t == big and i != 1 else None, t or "", True, True) for i, _, t in rows)
-    assert got == want
-    files = new_path(spark, "test-warc")
-    warc.export_warc(back, files)
-    again = warc.import_warc(spark, files).collect()
-    assert sorted(r["header"] for r in again) == sorted(r["header"] for r in back.collect())
-    assert sorted(r["payload"] for r in again if "WARC-Type: response" in r["header"]) == sorted(r["payload"] for r in back.where("record_type = 'response'").collect())
+    warc.export_warc(warc.read_archive(spark, path).repartition(2), files, rows_per_file=3)
+    read = warc.parsed(warc.import_warc(spark, files))
+    revisits = {(3, "http://a"), (None, "u")}
+    want = sorted([(i, u, "response", None, t or "") for i, u, t in rows if (i, u) not in revisits or t != big] + [(i, u, "revisit", 1, "") for i, u in revisits], key=str)
+    assert sorted([tuple(r) for r in read.select("id", "url", "record_type", "refers_to", "payload").collect()], key=str) == want
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    got = sorted([tuple(r) for r in warc.resolved(read).select("id", "url", "payload_digest", "payload_bytes").collect()], key=str)
+    assert got == sorted([(i, u, sha(t), len((t or "").encode())) for i, u, t in rows], key=str)
+    headers = [r["header"] for r in read.collect()]
+    ids = {re.search(r"WARC-Record-ID: (\S+)", h)[1] for h in headers}
+    assert len(ids) == len(rows) and all("\r\nWARC-Date: 20" in h for h in headers)
     assert spark.read.parquet(f"{path}/payloads").count() == len({t or "" for _, _, t in rows})
+
+
+def test_archives_that_are_empty_damaged_or_cut(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    path, files = new_path(spark, "test-archive"), new_path(spark, "test-warc")
+    warc.write_archive(*warc.warc_records(none, "page_id", "url", "html"), path)
+    warc.export_warc(warc.read_archive(spark, path), files)
+    assert warc.resolved(warc.parsed(warc.import_warc(spark, files))).count() == 0
+    df = spark.createDataFrame([(1, "u", "some text"), (2, "u", "y" * 200), (3, "u", "y" * 200)], "page_id long, url string, html string")
+    warc.write_archive(*warc.warc_records(df, "page_id", "url", "html"), f"{path}-b")
+    records = warc.read_archive(spark, f"{path}-b")
     with pytest.raises(Exception, match="damaged"):
-        spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit("!"))).write.parquet(f"{path}-bad/payloads")
-        spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-bad/headers")
-        warc.read_archive(spark, f"{path}-bad").select("payload_digest").collect()
+        warc.parsed(records.withColumn("record", F.replace(F.col("record"), F.lit("some text"), F.lit("same text")))).collect()
+    with pytest.raises(Exception, match="length differs"):
+        warc.parsed(records.withColumn("record", F.replace(F.col("record"), F.lit("some text"), F.lit("text")))).collect()
+    with pytest.raises(Exception, match="isn't there"):
+        warc.resolved(warc.parsed(records).where("id <> 2")).collect()
+    warc.export_warc(records.select(F.substring("record", 1, 400).alias("record")), f"{files}-cut")
+    with pytest.raises(Exception, match="ends inside|without Content-Length|length differs"):
+        warc.parsed(warc.import_warc(spark, f"{files}-cut")).collect()
 
 
 def test_url_cases(spark):
