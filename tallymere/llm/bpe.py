@@ -7,6 +7,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -19,8 +20,15 @@ from .words import pieces
 CACHE_WORDS = 100_000
 #: Pairs of tokens whose fit is kept.
 KNOWN_PAIRS = 200_000
-#: Longer words are encoded on their own, each step with the same rule, so that the trie stays small.
-TRIE_DEPTH = 64
+# The normaliser and the word split that this encoder follows; a file with others is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def _byte_chars() -> list[str]:
@@ -38,6 +46,8 @@ def _byte_chars() -> list[str]:
 BYTE_CHARS = _byte_chars()
 #: First characters of words that are in byte characters already, and of special tokens; other words have none beyond U+024F.
 _MAPPED, _SPECIAL = "\ue000", "\ue001"
+#: Ends each word in the trie; byte characters don't include it.
+_END = "\0"
 
 
 class WordEncoder:
@@ -87,56 +97,59 @@ class WordEncoder:
             ok = self.known[key] = first is not None and (last is None or not any((r := rank((a, b))) is not None and r < till_a and r <= till_b for a, till_a in last[1] for b, till_b in first[0]))
         return ok
 
-    def _step(self, path: str, depth: int, states: list[tuple[str, int]]) -> tuple[str, int]:
-        """The state of the prefix `path` of `depth` symbols from the states of the shorter ones."""
+    @staticmethod
+    def _insert(root: dict, word: str) -> None:
+        """A trie whose edges carry strings: {first character: [string, further edges or None, word]}; words end in _END."""
+        key, node, at = word + _END, root, 0
+        while (edge := node.get(key[at])) is not None:
+            label, same = edge[0], 1
+            most = min(len(label), len(key) - at)
+            while same < most and label[same] == key[at + same]:
+                same += 1
+            if same < len(label):  # the edge forks here
+                edge[:] = [label[:same], {label[same]: [label[same:], *edge[1:]]}, None]
+            node, at = edge[1], at + same
+        node[key[at]] = [key[at:], None, word]
+
+    def _step(self, text: str, skipped: int, depth: int, states: list[tuple[str, int]], end: str) -> tuple[str, int]:
+        """The state of the prefix of `depth` characters from the states of the shorter ones; text is the word without its first `skipped` characters."""
         for start in range(max(0, depth - self.longest), depth):
-            token = path[start:]
+            token = text[start - skipped : depth - skipped] + end
             if token in self.vocab and self._follows(states[start][0], token):
                 return token, start
-        raise ValueError(f"no token ends {path!r}")
+        raise ValueError(f"no token ends {text[: depth - skipped]!r}")
 
-    def _tokens(self, states: list[tuple[str, int]]) -> list[str]:
-        out, at = [], len(states) - 1
-        while at:
-            token, at = states[at]
-            out.append(token)
+    def _tokens(self, last: tuple[str, int], states: list[tuple[str, int]]) -> list[str]:
+        out = [last[0]]
+        while last[1]:
+            last = states[last[1]]
+            out.append(last[0])
         return out[::-1]
 
-    def encode_long(self, word: str) -> list[str]:
-        states: list[tuple[str, int]] = [("", 0)]
-        for depth in range(1, len(word) + 1):
-            low, end = max(0, depth - self.longest), self.suffix if depth == len(word) else ""
-            for start in range(low, depth):
-                token = word[start:depth] + end
-                if token in self.vocab and self._follows(states[start][0], token):
-                    states.append((token, start))
-                    break
-            else:
-                raise ValueError("no token ends a prefix")
-        return self._tokens(states)
-
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each word. Prefixes that words share are looked at once."""
+        """Tokens of each word, whatever its length. The words are put into a trie, whose prefixes are visited depth
+        first, each once; only the end of a path that a token may cover is carried along."""
         out: dict[str, list[str]] = {}
         root: dict = {}
         for word in words:
-            if len(word) > TRIE_DEPTH:
-                out[word] = self.encode_long(word)
-                continue
-            node = root
-            for c in word[:-1]:
-                node = node.setdefault(c, {})
-            node[word[-1] + self.suffix] = word
+            self._insert(root, word)
         states: list[tuple[str, int]] = [("", 0)]
-        todo = [(1, symbol, below) for symbol, below in root.items()]
+        todo = [(edge, 0, "") for edge in root.values()]
         while todo:
-            depth, path, below = todo.pop()
-            del states[depth:]
-            states.append(self._step(path, depth, states))
-            if isinstance(below, str):
-                out[below] = self._tokens(states)
-            else:
-                todo += [(depth + 1, path + symbol, deeper) for symbol, deeper in below.items()]
+            (label, below, word), depth, tail = todo.pop()
+            del states[depth + 1 :]
+            text, skipped = tail + label, depth - len(tail)
+            if label == _END:  # the state of this prefix as a whole word; states has the one for longer words
+                out[word] = self._tokens(self._step(text, skipped, depth, states, self.suffix), states)
+                continue
+            for k in range(len(label) - (below is None)):
+                depth += 1
+                if below is None and k == len(label) - 2:
+                    out[word] = self._tokens(self._step(text, skipped, depth, states, self.suffix), states)
+                else:
+                    states.append(self._step(text, skipped, depth, states, ""))
+            if below is not None:
+                todo += [(edge, depth, text[-self.longest :]) for edge in below.values()]
         return out
 
 
@@ -148,6 +161,10 @@ class TextEncoder:
         self.definition = definition
         d = json.loads(definition)
         model = d["model"]
+        plain_model = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) and model["end_of_word_suffix"]
+        plain_tokens = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in d["added_tokens"])
+        if d["normalizer"] != NORMALIZER or d["pre_tokenizer"] != PRE_TOKENIZER or d["decoder"] or not plain_model or not plain_tokens:
+            raise ValueError("a tokenizer file of another kind: normaliser, word split, decoder, model or added tokens differ")
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.words = WordEncoder(model["vocab"], [tuple(m) for m in merges], model["end_of_word_suffix"])
@@ -157,6 +174,7 @@ class TextEncoder:
         self.plain = regex.compile(r"[\u0000-ɏ]*+")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xA0\p{L}\p{N}]+")
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_start = commonprefix(list(self.special))
         self._library = None
 
     @property
@@ -175,7 +193,7 @@ class TextEncoder:
         return [_MAPPED + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def split_text(self, text: str) -> list[str]:
-        if self.at_special is None or "<|" not in text:
+        if self.at_special is None or self.special_start not in text:
             return self._split_plain(text)
         parts = self.at_special.split(text)
         return list(chain.from_iterable([_SPECIAL + p] if k % 2 else self._split_plain(p) for k, p in enumerate(parts) if p))
@@ -213,7 +231,9 @@ def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     The same ids as the `tokenizers` library gives for the file without special tokens added, and the same text as it
     decodes them to with special tokens kept. Only a map over the texts: nothing is shuffled, and a lost task is
     repeated alone. The file goes to the tasks by broadcast (a few MB). A null or empty text has no ids and decodes
-    to an empty text; rows that repeat an id are encoded each; an empty table gives an empty result.
+    to an empty text; rows that repeat an id are encoded each; an empty table gives an empty result; extra columns are
+    ignored. Very long texts and words are encoded whole, one text at a time. A file whose normaliser, word split, model
+    or decoder is of another kind than this encoder follows is refused.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = df.sparkSession.sparkContext.broadcast(f.read())

@@ -297,12 +297,21 @@ def _encoder():
 
 def test_bpe_of_very_long_words():
     t = library()
-    for word in ("ab" * 3000, "x" * 70, "é" * 100, "the" * 40):
+    for word in ("ab" * 3000, "x" * 70, "é" * 100, "the" * 40, "ab" * 3000 + "c " + "ab" * 3000 + "d " + "ab" * 1500, "a" * 200_000):
         ids, said = _encoder().encode([word])
         expected = t.encode(word, add_special_tokens=False).ids
         assert np.frombuffer(ids[0], "<u4").tolist() == expected and said[0] == t.decode(expected, skip_special_tokens=False)
 
 
+def test_tokenizer_files_of_another_kind_are_refused():
+    import json
+
+    d = json.loads(open(queries.tokenizer_path(), encoding="utf-8").read())
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}}, {"model": d["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError, match="another kind"):
+            bpe.TextEncoder(json.dumps(d | change))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet="ab\\\n<|>im_start user", max_size=8), st.text(alphabet=st.sampled_from("a\\\n<>|[]/isINTmends_tarx"), max_size=40)), max_size=5), st.sampled_from(chat.CONTROL))
 def test_chat_format_reads_back(turns, control):
