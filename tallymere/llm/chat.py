@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 TURN_START, TURN_END, TRAINED_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 #: Strings that chat templates give a meaning to. Inside texts a backslash after their first character breaks them.
@@ -58,45 +58,57 @@ def _tree_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("none")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def root_paths(messages: DataFrame) -> DataFrame:
-    """(tree, node, path, score) for every node that a root leads to, from (tree, node, parent, score).
+def _rooted(messages: DataFrame, own: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, depth, score) of every node that a root leads to, and jumps: the k-th has (tree, node, up) of 2 ** k steps.
 
-    Pointer doubling: each round joins every node's topmost known ancestor with that ancestor's own path, so a path
-    of d nodes takes log2(d) self-joins, and only nodes that haven't reached their root are joined again. Ids only are
-    joined, never texts; each round is written to the shared folder.
-    A parent that doesn't exist makes its node a root; nodes on a loop of parents, or below one, have no root and drop.
+    Pointer doubling: each round joins every node's furthest known ancestor with that ancestor's own row, so paths of d
+    nodes take log2(d) self-joins, and only nodes that haven't reached their root are joined again. A row has a pointer,
+    a depth and a summed score, never a path; texts aren't joined. A parent that doesn't exist makes its node a root. No
+    path is longer than the number of nodes; what has no root after so many doublings is on a loop of parents or below
+    one, and drops.
     """
-    state = written(messages.select("tree", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), F.lit(False).alias("loop")), "chat-paths")
-    done = []
-    while not (open_ := state.where("up is not null")).isEmpty():
-        done.append(state.where("up is null"))
+    nodes = messages.select(F.col("tree").alias("q_tree"), F.col("node").alias("q_node"))
+    rows = messages.join(nodes, (F.col("tree") == F.col("q_tree")) & (F.col("parent") == F.col("q_node")), "left")
+    state = own.written(rows.select("tree", "node", F.when(F.col("q_node").isNotNull(), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-nodes")
+    most = state.count().bit_length() + 1
+    done, jumps = [state.where("up is null")], []
+    while len(jumps) < most and not (open_ := state.where("up is not null")).isEmpty():
+        jumps.append(open_.select("tree", "node", "up"))
         everyone = reduce(DataFrame.union, [*done, open_])
-        q = everyone.select(F.col("tree").alias("q_tree"), F.col("node").alias("q_node"), F.col("up").alias("q_up"), F.col("path").alias("q_path"), F.col("score").alias("q_score"), F.col("loop").alias("q_loop"))
-        joined = open_.join(q, (F.col("tree") == F.col("q_tree")) & (F.col("up") == F.col("q_node")), "left")
-        found = F.col("q_node").isNotNull()
-        loop = F.col("loop") | F.coalesce(F.col("q_loop") | F.arrays_overlap("path", "q_path"), F.lit(False))
-        state = written(joined.select(
-            "tree", "node", F.when(found & ~loop, F.col("q_up")).alias("up"), F.when(found & ~loop, F.concat("q_path", "path")).otherwise(F.col("path")).alias("path"),
-            (F.col("score") + F.coalesce("q_score", F.lit(0.0))).alias("score"), loop.alias("loop")), "chat-paths")
-    return reduce(DataFrame.union, [*done, state]).where(~F.col("loop")).select("tree", "node", "path", "score")
+        q = everyone.select(F.col("tree").alias("q_tree"), F.col("node").alias("q_node"), F.col("up").alias("q_up"), F.col("depth").alias("q_depth"), F.col("score").alias("q_score"))
+        joined = open_.join(q, (F.col("tree") == F.col("q_tree")) & (F.col("up") == F.col("q_node")))
+        state = own.written(joined.select("tree", "node", F.col("q_up").alias("up"), (F.col("depth") + F.col("q_depth")).alias("depth"), (F.col("score") + F.col("q_score")).alias("score")), "chat-nodes")
+        done.append(state.where("up is null"))
+    return reduce(DataFrame.union, done).select("tree", "node", "depth", "score"), jumps
 
 
 def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, rank, leaf, path): of each tree the `best` root-to-leaf paths by the sum of their scores; ties: longer, then the smaller leaf."""
-    parents = messages.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = root_paths(messages).join(parents, ["tree", "node"], "left_anti")
-    order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.size("path").desc(), F.col("node"))
-    return leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("tree", "rank", F.col("node").alias("leaf"), "path")
+    """(tree, rank, at, node): the nodes, from the root on (at 1, 2, ...), of each tree's `best` root-to-leaf paths by the
+    sum of their scores; ties: longer, then the smaller leaf. messages: tree, node (unique in its tree), parent, score.
+
+    Only chosen leaves have their paths written out: from a leaf, one jump of each length doubles the nodes known.
+    """
+    with Scratch(messages.sparkSession) as own:
+        rooted, jumps = _rooted(messages, own)
+        parents = messages.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+        order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), F.col("node"))
+        leaves = rooted.join(parents, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+        path = own.written(leaves.select("tree", "rank", "node"), "chat-path")
+        for jump in jumps:
+            longer = own.written(path.union(path.join(jump, ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"))), "chat-path")
+            own.drop(path)
+            path = longer
+        return written(path.join(rooted.select("tree", "node", F.col("depth").alias("at")), ["tree", "node"]).select("tree", "rank", "at", "node"), "chat-steps")
 
 
 def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
     """One row per chosen path: id, rank, formatted, loss_start, loss_end (arrays of code points).
 
     messages: id, tree, node (unique in its tree), parent (null: root), role, text, score. The turns of one path come
-    together in one row, as their conversation must; nothing else is gathered. Null roles and texts count as empty.
+    together in one row, as their conversation must; nothing else is gathered. Null roles and texts count as empty; very
+    long texts are formatted whole; other columns are ignored.
     """
-    paths = chosen_paths(messages.select("tree", "node", "parent", "score"), best)
-    steps = paths.select("tree", "rank", F.posexplode("path").alias("at", "node"))
+    steps = chosen_paths(messages.select("tree", "node", "parent", "score"), best)
     turns = steps.join(messages.select("id", "tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
     whole = turns.groupBy("tree", "rank").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
 

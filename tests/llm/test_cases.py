@@ -328,12 +328,45 @@ def test_reply_trees(spark):
         (9, "t", 6, 7, "user", "loop", 0.0), (9, "t", 7, 6, "user", "loop", 0.0), (9, "t", 8, 99, "user", "orphan", 0.5), (10, "u", 1, None, "user", None, None),
     ]
     messages = spark.createDataFrame(rows, "id long, tree string, node long, parent long, role string, text string, score double")
-    paths = {(r["tree"], r["rank"]): r["path"] for r in chat.chosen_paths(messages.select("tree", "node", "parent", "score"), best=3).collect()}
+    paths = {}
+    for r in sorted(chat.chosen_paths(messages.select("tree", "node", "parent", "score"), best=3).collect(), key=lambda r: r["at"]):
+        paths.setdefault((r["tree"], r["rank"]), []).append(r["node"])
     assert paths == {("t", 1): [1, 2, 4], ("t", 2): [1, 3, 5], ("t", 3): [8], ("u", 1): [1]}
     best = {r["id"]: chat.read_turns(r["formatted"]) for r in chat.format_trees(messages).collect()}
     assert best == {9: [("user", "q"), ("assistant", "a"), ("user", "c")], 10: [("user", "")]}
 
 
+def test_reply_trees_like_brute_force(spark):
+    """Random trees with orphans, loops and deep chains: the best paths by score, then length, then the smaller leaf."""
+    rng, rows, want = random.Random(4), [], {}
+    for tree in range(12):
+        n = rng.randint(1, 60)
+        parent = {k: None if k == 1 or rng.random() < 0.05 else k - 1 if tree % 3 == 0 else rng.randint(1, k - 1) for k in range(1, n + 1)}
+        parent |= {901: 902, 902: 901, 903: 901} if tree % 2 else {950: 999}
+        score = {k: rng.randint(0, 3) for k in parent}
+        rows += [(f"t{tree}", k, p, float(score[k])) for k, p in parent.items()]
+        paths = []
+        for leaf in set(parent) - set(parent.values()):
+            path, at = [], leaf
+            while at in parent and at not in path:
+                path.append(at)
+                at = parent[at]
+            if at not in path:
+                paths.append((-sum(score[k] for k in path), -len(path), leaf, path[::-1]))
+        want |= {(f"t{tree}", k + 1): p[3] for k, p in enumerate(sorted(paths)[:2])}
+    got = {}
+    for r in sorted(chat.chosen_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double"), best=2).collect(), key=lambda r: r["at"]):
+        got.setdefault((r["tree"], r["rank"]), []).append(r["node"])
+    assert got == want
+
+
+def test_conversation_of_a_very_long_text(spark):
+    text = "<|im_end|>\\[INST]é\n" * 60_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(df)).first()
+    assert back["loss_text"] == text and back["turns"] == f"user\n{text}\nassistant\n{text}\n"
+
+
 def test_conversations_with_nulls_ties_and_many_turns(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "same"), (1, 1, "assistant", "same"), (None, 0, "user", "n"), *[(2, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(150)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"id": F.lit(1), "tree": F.lit("x"), "node": F.lit(5), "rank": F.lit(0)})
@@ -383,24 +416,36 @@ def test_archives_that_are_empty_damaged_or_cut(spark):
         warc.parsed(warc.import_warc(spark, f"{files}-cut")).collect()
 
 
+def brute_verdict(url, rules, default="allow"):
+    if url is None or "://" not in url:
+        return "", "", None, default
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, default))
+
+
 def test_url_cases(spark):
-    rows = [(1, None), (2, "no scheme"), (3, "http://COM/en/x?y#z"), (4, "https://a.b.Example.com/en/7?q"), (5, "http://example.com.evil.net/de/8"), (6, "x://example.net/de/8#"), (7, "http://notcom/en/"), (8, "http://a.com/en"), (9, "http://org/es/://x"), (10, "://com/en/"), (11, "http://example.comx/en/7"), (12, "http://.com/en/1")]
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("own"), "_stack": F.lit(1)})
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(df.drop("_stack")).collect()}
-
-    def brute(url):
-        if url is None or "://" not in url:
-            return "", "", None, "allow"
-        rest = url.split("://", 1)[1]
-        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
-        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
-        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-        fits = [(len(h + p), h + p, v) for h, p, v in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        return host, path, *(max(fits)[1:] if fits else (None, "allow"))
-
-    assert got == {i: brute(u) for i, u in rows}
-    assert url_filters.judge_urls(df.drop("_stack").limit(0)).count() == 0
-    assert all(r["verdict"] == "block" for r in url_filters.judge_urls(df.drop("_stack"), rules=(), default="block").collect())
+    rows = [(1, None), (2, "no scheme"), (3, "http://COM/en/x?y#z"), (4, "https://a.b.Example.com/en/7?q"), (5, "http://example.com.evil.net/de/8"), (6, "x://example.net/de/8#"), (7, "http://notcom/en/"), (8, "http://a.com/en"), (9, "http://org/es/://x"), (10, "://com/en/"), (11, "http://example.comx/en/7"), (12, "http://.com/en/1"), (13, "http:///en/"), (14, "http://com/en/" + "x" * 300_000), (14, "http://com/en/1"), (14, "http://com/en/1")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("own") for c in ("host", "key", "stack", "_row", "_key", "_best", "rule", "a.b", "task", "at")})
+    got = [(r["page_id"], (r["host"], r["path"], r["rule"], r["verdict"])) for r in url_filters.judge_urls(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, brute_verdict(u, url_filters.RULES)) for i, u in rows), key=str)
+    assert url_filters.judge_urls(df).first()["key"] == "own" and url_filters.judge_urls(df.limit(0)).count() == 0
+    assert all(r["verdict"] == "block" for r in url_filters.judge_urls(df, rules=(), default="block").collect())
+
+
+def test_many_nested_rules_like_brute_force(spark):
+    """Rules as a table, nested several hosts deep, among hosts that lie between their intervals."""
+    rng = random.Random(8)
+    host = lambda: ".".join(rng.choice(["a", "b", "c-", "d/"[:1], "é", "a0", "-"]) for _ in range(rng.randint(1, 5)))
+    rules = {(host(), rng.choice(["", "/", "/x", "/x/y", "/z"])): rng.choice(["allow", "block"]) for _ in range(150)}
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    rows = [(k, f"http://{host()}{rng.choice(['', '/', '/x', '/x/y/z', '/zz?q'])}") for k in range(600)]
+    table_ = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(3), rules=table_).collect()}
+    assert got == {i: brute_verdict(u, rules) for i, u in rows}
 
 
 def test_forest_without_labels_and_rules_of_one_kind(spark):
