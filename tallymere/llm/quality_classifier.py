@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import Scratch, hash_sample
 from .words import Words, mix, pieces, range_hashes
 
 BUCKET_BITS = 18
-#: Documented bound of the training sample: the labelled rows with the smallest hashes of ids.
-TRAIN_ROWS, EPOCHS = 6000, 3
+#: Documented bounds of the training sample: of the labelled rows with the smallest hashes of ids, in that order, as many
+#: as have so many features in all (8 bytes each; a row has at most 2 ** BUCKET_BITS).
+TRAIN_ROWS, TRAIN_FEATURES, EPOCHS = 6000, 16_000_000, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.02, 0.5, 6.0
 CUT = 0.7
 
@@ -102,21 +103,34 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_fold: int = 2, max_rows: int = TRAIN_ROWS) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_fold: int = 2, max_rows: int = TRAIN_ROWS, max_features: int = TRAIN_FEATURES) -> Model:
     """Learns from labelled rows outside the held fold. The sample's ids (at most max_rows, so their broadcast is
-    bounded) go to the documents; features are made where the texts are, and max_rows sparse rows come back."""
+    bounded) go to the documents, features are made where the texts are, and those of at most max_rows rows and max_features
+    features come back. Of the rows that repeat an id, the one with the smallest hash of its text is taken."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").where(fold("_id") != held_fold)
     chosen = hash_sample(known.groupBy("_id").agg(F.max("_label").alias("_label")), "_id", max_rows)
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    texts = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", F.xxhash64("_text").alias("_key"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in pieces(batch, batch.column("_text")):
                 rows = sparse_rows(texts)
-                yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_label"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["_id", "_label", "at", "x"])
-
-    made = texts.select("_id", "_label", "_text").mapInArrow(run, "_id bigint, _label int, at array<int>, x array<float>").toArrow()
-    rows = sorted(zip(made["_id"].to_pylist(), made["_label"].to_pylist(), (np.asarray(a.values) for a in made["at"]), (np.asarray(a.values) for a in made["x"]), strict=True), key=lambda r: (int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]), r[0], len(r[2])))
+                sizes = pa.array([len(r[0]) for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], sizes, pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["_id", "_label", "_key", "size", "at", "x"])
+
+    with Scratch(df.sparkSession) as own:
+        made = own.written(texts.mapInArrow(run, "_id bigint, _label int, _key bigint, size bigint, at array<int>, x array<float>"), "features")
+        one = made.groupBy("_id").agg(F.min(F.struct("_key", "size")).alias("r")).select("_id", "r.*").collect()
+        order, taken, total = {}, [], 0
+        for r in sorted(one, key=lambda r: (int(mix(np.array([r["_id"]], np.int64).view(np.uint64))[0]), r["_id"])):
+            if (total := total + r["size"]) > max_features:
+                break
+            order[r["_id"]] = len(taken)
+            taken.append((r["_id"], r["_key"]))
+        picked = df.sparkSession.createDataFrame(taken, "_id bigint, _key bigint")
+        got = made.join(F.broadcast(picked), ["_id", "_key"]).dropDuplicates(["_id"]).select("_id", "_label", "at", "x").toArrow()
+    rows = sorted(zip(got["_id"].to_pylist(), got["_label"].to_pylist(), (np.asarray(a.values) for a in got["at"]), (np.asarray(a.values) for a in got["x"]), strict=True), key=lambda r: order[r[0]])
     return train([(y, at, x.astype(float)) for _, y, at, x in rows])
 
 
@@ -125,7 +139,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     A null or empty text has no n-grams, so its score is the bias alone. Rows that repeat an id are scored each by
     its text. Labels other than 0 and 1 are ignored; conflicting labels of an id count as 1; without labels of both
-    kinds the score is constant. An empty table gives an empty result. The model (2**18 weights) goes with the tasks.
+    kinds the score is constant. An empty table gives an empty result; extra columns are ignored; very long texts are read
+    whole, one at a time. The model (2**18 weights) goes with the tasks.
     """
     model = fit(df, labels, id_col, text_col)
     held = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
