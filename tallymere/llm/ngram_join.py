@@ -9,8 +9,8 @@ Two sets link when percent * union <= 100 * intersection.
    stands last and makes few. Each document is paired with the smallest one of each shared shingle.
 3. Pairs are tested by size, then by bitmaps, whose differing bits bound the overlap from above, then by intersecting
    sorted arrays.
-4. Where documents around a shared shingle are still apart, all of them are compared in size-banded tiles, again by
-   bitmaps before sorted arrays.
+4. Where documents that share a shingle with one smallest document are still apart, they are compared in size-banded
+   tiles, again by bitmaps before sorted arrays.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ BITS_EACH, LEAST_BITS = 2, 64
 SKETCH_BITS, SKETCH_PART = 20, 4096
 #: A tile compares two blocks of at most about this many documents and bytes of shingles.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
-#: Leading shingles that a task holds before it combines equal ones.
-FLUSH_ROWS = 1_500_000
+#: Leading shingles that a task holds before it combines equal ones, and documents of a shingle in a task that it combines.
+FLUSH_ROWS, COMBINE_OVER = 1_500_000, 8
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -149,11 +149,11 @@ def _sketch(signed: DataFrame) -> np.ndarray:
 
 
 def _candidates(df: DataFrame, counts: np.ndarray, n: int, percent: int, keep: Callable) -> DataFrame:
-    """(id, pivot, alone): each document with the smallest one that shares a leading shingle with it, for every such
-    shingle; alone: wherever the two meet, they are the only ones.
+    """(id, pivot, alone, local): each document with the smallest one that shares a leading shingle with it, for every
+    such shingle; alone: wherever the two meet, they are the only ones.
 
-    A task combines equal shingles of its own documents before the shuffle: one row a shingle goes on, and its other
-    documents name their pivot at once. So a group of copies costs a row a task, however large it is.
+    A task combines a shingle of more than COMBINE_OVER of its documents before the shuffle: one row goes on, and the
+    others name the smallest of the task at once (local). So a group of copies costs a few rows a task, however large.
     """
     held_counts = df.sparkSession.sparkContext.broadcast(counts)
 
@@ -165,16 +165,16 @@ def _candidates(df: DataFrame, counts: np.ndarray, n: int, percent: int, keep: C
         size = np.diff(np.concatenate((at, [len(ids)])))
         group = np.cumsum(new) - 1
         pivot, of = ids[at][group], size[group]
-        two = ~new & (of == 2)  # these keep the shingle, so that other tasks' documents count
-        many = ~new & (of > 2) & (ids != pivot)
+        few = ~new & (of <= COMBINE_OVER) & (ids != pivot)
+        many = ~new & (of > COMBINE_OVER) & (ids != pivot)
         a, b = ids[many], pivot[many]
         pair, once = np.unique(mix(mix(a.view(np.uint64)) + b.view(np.uint64)), return_index=True)
         a, b = a[once], b[once]
-        key = np.concatenate((shingle[at], shingle[two], pair)).view(np.int64)
-        pivots = np.concatenate((np.zeros(len(at), np.int64), pivot[two], b))
-        weigh = np.concatenate((np.minimum(size, 3), np.zeros(two.sum(), np.int64), np.full(len(a), 3, np.int64))).astype(np.int32)
-        first = np.arange(len(key)) < len(at)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((ids[at], ids[two], a))), pa.array(pivots, mask=first), pa.array(weigh)], ["shingle", "id", "pivot", "weigh"])
+        whole = len(at) + int(few.sum())  # rows that keep their shingle
+        key = np.concatenate((shingle[at], shingle[few], pair)).view(np.int64)
+        pivots = np.concatenate((np.zeros(whole, np.int64), b))
+        weigh = np.concatenate((np.minimum(size, 3), np.zeros(len(pivots) - len(at), np.int64))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((ids[at], ids[few], a))), pa.array(pivots, mask=np.arange(len(key)) < whole), pa.array(weigh)], ["shingle", "id", "pivot", "weigh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shingles, ids, held = held_counts.value, [], [], 0
@@ -194,8 +194,9 @@ def _candidates(df: DataFrame, counts: np.ndarray, n: int, percent: int, keep: C
 
     rows = df.where("_id is not null").mapInArrow(run, "shingle bigint, id bigint, pivot bigint, weigh int")
     here = Window.partitionBy("shingle")
-    pairs = rows.select("id", F.coalesce("pivot", F.min("id").over(here)).alias("pivot"), (F.sum("weigh").over(here) <= 2).alias("alone")).where("id != pivot")
-    return keep(pairs.groupBy("id", "pivot").agg(F.min("alone").alias("alone")), "candidates")
+    local = F.col("pivot").isNotNull()
+    pairs = rows.select("id", F.coalesce("pivot", F.min("id").over(here)).alias("pivot"), (~local & (F.sum("weigh").over(here) <= 2)).alias("alone"), local.alias("local")).where("id != pivot")
+    return keep(pairs.groupBy("id", "pivot").agg(F.min("alone").alias("alone"), F.max("local").alias("local")), "candidates")
 
 
 def _sets(df: DataFrame, ids: DataFrame, n: int, keep: Callable) -> DataFrame:
@@ -345,6 +346,14 @@ def _labelled(rows: DataFrame, column: str, found: DataFrame, name: str) -> Data
     return rows.join(near.hint("merge"), F.negate(F.col(column)) == F.negate(F.col("l_node")), "left").withColumn(name, F.coalesce("l_component", column)).drop("l_node", "l_component")
 
 
+def _around_pivots(pairs: DataFrame) -> DataFrame:
+    """(cluster, id): for each pivot itself, the documents that name it, and those that name one of these as their task's."""
+    named = pairs.select(F.col("b").alias("cluster"), F.col("a").alias("id"))
+    behind = pairs.where("local").select(F.col("a").alias("further"), F.col("b").alias("local_pivot"))
+    further = named.join(behind.hint("merge"), F.negate("id") == F.negate("local_pivot")).select("cluster", F.col("further").alias("id"))
+    return named.union(further).union(named.select("cluster", F.col("cluster").alias("id"))).distinct()
+
+
 def link_components(docs: DataFrame, n: int, percent: int, keep: Callable = written) -> tuple[DataFrame, DataFrame]:
     """(id, n) of all documents (_id, _text), and (node, component) of those that have a link; both as written by `keep`."""
     spark = docs.sparkSession
@@ -363,7 +372,7 @@ def link_components(docs: DataFrame, n: int, percent: int, keep: Callable = writ
         to = own.written(copies.union(own_too).distinct().select(F.col("a").alias("from"), F.col("b").alias("to")), "classes-of")
         for column in ("id", "pivot"):
             pairs = pairs.join(to.hint("merge"), F.negate(F.col(column)) == F.negate(F.col("from")), "left").withColumn(column, F.coalesce("to", column)).drop("from", "to")
-        pairs = pairs.where("id != pivot").groupBy(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).agg(F.min("alone").alias("alone"))
+        pairs = pairs.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.min("alone").alias("alone"), F.max("local").alias("local"))
         pairs = own.written(pairs, "class-pairs")
         possible = own.written(_possible(pairs, classes, percent), "possible-pairs")
         sets = _sets(docs, possible.select(F.explode(F.array("a", "b")).alias("id")), n, own.written)
@@ -374,15 +383,12 @@ def link_components(docs: DataFrame, n: int, percent: int, keep: Callable = writ
         links = own.written(links.union(_tested(others, sets, percent)), "links")
         own.drop(sets, possible)
         found = components(links, own.written)
-        # A shingle's documents may link without linking to their pivot: where a document isn't in its pivot's group,
-        # all groups around it are compared with each other. Two that meet nowhere with a third are tested already.
-        apart = _labelled(_labelled(pairs.where("not alone"), "a", found, "la"), "b", found, "lb").where("la != lb")
-        around = components(own.written(apart.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open-pairs"), own.written)
-        if not around.isEmpty():
-            everyone = pairs.where("not alone").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            clusters = around.select(F.col("node").alias("c_node"), F.col("component").alias("cluster"))
-            members = _labelled(everyone, "id", found, "label").join(clusters, F.negate("label") == F.negate("c_node")).select("id", "cluster", "label")
-            links = links.union(own.written(_tiled(docs, members, classes, n, percent, own), "more-links"))
+        # A shingle's documents may link without linking to its smallest one, their pivot. All that have one pivot, those
+        # behind a local pivot too, are compared where they are of several groups; two that meet nowhere with a third are tested.
+        members = own.written(_labelled(_around_pivots(pairs.where("not alone")), "id", found, "label"), "members")
+        split = members.groupBy("cluster").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("cluster")
+        members = own.written(members.join(split.hint("merge"), "cluster", "left_semi"), "members")
+        links = links.union(own.written(_tiled(docs, members, classes, n, percent, own), "more-links"))
         return sizes, components(links.union(copies), keep)
 
 
