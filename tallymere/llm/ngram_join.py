@@ -31,8 +31,8 @@ from .words import Words, mix, pieces
 
 #: A bitmap has a power of two of bits, at least BITS_EACH for each shingle.
 BITS_EACH, LEAST_BITS = 2, 64
-#: Counters of the sketch (4 MB in all) and of the parts in which it is added up.
-SKETCH_BITS, SKETCH_PART = 20, 4096
+#: Counters of the sketch (16 MB in all) and of the parts in which it is added up.
+SKETCH_BITS, SKETCH_PART = 22, 16384
 #: A tile compares two blocks of at most about this many documents and bytes of shingles.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 #: Leading shingles that a task holds before it combines equal ones, and documents of a shingle in a task that it combines.
