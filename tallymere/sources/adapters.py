@@ -124,6 +124,19 @@ from {pages}""",
 select l_orderkey as doc_id, l_linenumber as seq, case l_linenumber % 6 when 0 then 'totals.total' when 1 then 'line_items[0].qty' when 2 then 'receipt.currency' when 3 then 'merchant.name' when 4 then 'meta.is_handwritten' else 'nope.field' end as path,
  case l_linenumber % 6 when 0 then case when l_orderkey % 5 = 0 then 'abc' else '12.50' end when 1 then '3' when 2 then case when l_orderkey % 11 = 0 then 'LONG' else 'PHP' end when 3 then 'New Name' when 4 then 'Yes' else '1' end as new_value
 from {lineitem} where l_linenumber <= case when l_orderkey % 3 = 0 then 5 else 4 end and l_orderkey % 4 = 0""",
+    #: Answers of two models to every document: fenced, plain, with prose, cut short, blank, without object, broken, empty. < and > become braces.
+    "v_responses": """
+select doc_id, rung, case rung when 0 then 'small' else 'large' end as model_id, (doc_id + rung) % 10 = 9 as call_failed,
+ cast(cast(doc_id % 1000 as decimal(12,0)) * cast(0.000125 as decimal(6,6)) as decimal(18,6)) as cost_usd, (doc_id * 13 + rung) % 4000 as latency_ms, total_text,
+ translate(case (doc_id + rung * 3) % 8 when 0 then concat('Here it is:', chr(10), '```json', chr(10), body, chr(10), '```', chr(10), 'Done <>.') when 1 then body when 2 then concat('The record: ', body, ' and a > brace') when 3 then substr(body, 1, 60)
+  when 4 then '   ' when 5 then 'no object here' when 6 then replace(body, '"PHP"', 'PHP,,') else '<"merchant": <>, "totals": <"total": null>, "line_items": []>' end, '<>', concat(chr(123), chr(125))) as text
+from (select doc_id, rung, total_text, concat('<"merchant": <"name": "Shop ', chr(92), '"<A', chr(92), '" ', cast(o_custkey as string), '">, "receipt": <"currency": "PHP", >, "totals": <"total": ', total_text, ', "tax": null>, "line_items": [<"position": 0, "qty": 1>,]>') as body
+ from (select o_orderkey as doc_id, o_custkey, case when o_orderkey % 7 = 0 then '"12,x"' else cast(cast(o_totalprice as decimal(14,2)) as string) end as total_text, 0 as rung from {orders}
+  union all select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then '"12,x"' else cast(cast(o_totalprice as decimal(14,2)) as string) end, 1 from {orders}) o) b""",
+    #: Image files and labels that share stems, and the manifest's entries.
+    "v_images": "select page_id as file_id, cast(page_id % 701 as int) as stem, case page_id % 5 when 0 then '.jpg' when 1 then '.png' when 2 then '.webp' when 3 then '.jpeg' else '.txt' end as suffix from {pages}",
+    "v_manifest": "select doc_id, case when doc_id % 9 = 0 then null else source end as category, doc_id % 6 = 0 as holdout from {documents} where doc_id % 4 <> 1",
+    "v_corners": "select p_partkey as image_id, cast(p_size * 97 as int) as width, cast(p_partkey % 3001 + 1 as int) as height, p_size % 7 as a, p_partkey % 5 as b from {part}",
 }
 
 
