@@ -288,7 +288,7 @@ def spread(spark, sf_dir):
 
 @query("majority_vote", "with c as (select doc_id, value, count(*) as n from v_votes group by doc_id, value), b as (select doc_id, max(n) as top, arg_max(value, n) as v, bool_or(n = 2 and value is null) as nulls_win from c group by doc_id) select doc_id, case when top * 2 > 3 and not nulls_win then v end as value, top / 3 as agreement, top < 3 as disputed from b")
 def majority_vote(spark, sf_dir):
-    return evaluation.votes(frame(spark, sf_dir, "v_votes"), 3)
+    return majority_vote_all(spark, sf_dir)
 
 
 @query("majority_vote_all")
@@ -300,8 +300,7 @@ def majority_vote_all(spark, sf_dir):
     return evaluation.votes(runs.select("doc_id", "run", value.alias("value")), 3)
 
 
-#: The same SQL without the view's limit to every third order.
-ORACLE_SQL["majority_vote_all"] = ORACLE_SQL["majority_vote"].replace(" where o_orderkey % 3 = 0", "")
+ORACLE_SQL["majority_vote_all"] = ORACLE_SQL["majority_vote"]
 
 
 _ATT = "at0 as (select conv_id as doc_id, turn as attempt, length(text) % 3 as n_error, length(text) % 5 as n_warn, length(text) % 7 as n_null from {conversations})"

@@ -123,7 +123,7 @@ from {pages}""",
     "v_corrections": """
 select l_orderkey as doc_id, l_linenumber as seq, case l_linenumber % 6 when 0 then 'totals.total' when 1 then 'line_items[0].qty' when 2 then 'receipt.currency' when 3 then 'merchant.name' when 4 then 'meta.is_handwritten' else 'nope.field' end as path,
  case l_linenumber % 6 when 0 then case when l_orderkey % 5 = 0 then 'abc' else '12.50' end when 1 then '3' when 2 then case when l_orderkey % 11 = 0 then 'LONG' else 'PHP' end when 3 then 'New Name' when 4 then 'Yes' else '1' end as new_value
-from {lineitem} where l_linenumber <= case when l_orderkey % 3 = 0 then 5 else 4 end and l_orderkey % 4 = 0""",
+from {lineitem} where l_linenumber <= case when l_orderkey % 3 = 0 then 5 else 4 end""",
     #: Answers of two models to every document: fenced, plain, with prose, cut short, blank, without object, broken, empty. < and > become braces.
     "v_responses": """
 select doc_id, rung, case rung when 0 then 'small' else 'large' end as model_id, (doc_id + rung) % 10 = 9 as call_failed,
