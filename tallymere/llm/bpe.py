@@ -112,11 +112,22 @@ class WordEncoder:
         node[key[at]] = [key[at:], None, word]
 
     def _step(self, text: str, skipped: int, depth: int, states: list[tuple[str, int]], end: str) -> tuple[str, int]:
-        """The state of the prefix of `depth` characters from the states of the shorter ones; text is the word without its first `skipped` characters."""
-        for start in range(max(0, depth - self.longest), depth):
+        """The state of the prefix of `depth` characters from the states of the shorter ones; text is the word without its
+        first `skipped` characters. Only one token can end a prefix, so the likely ones go first: the last one,
+        grown, then short ones."""
+        vocab, known = self.vocab, self.known
+        last, grown = states[depth - 1]
+        token = last + text[depth - 1 - skipped] + end
+        if token in vocab:
+            before = states[grown][0]
+            if (ok := known.get((before, token))) or ok is None and self._follows(before, token):
+                return token, grown
+        for start in range(depth - 1, max(0, depth - self.longest) - 1, -1):
             token = text[start - skipped : depth - skipped] + end
-            if token in self.vocab and self._follows(states[start][0], token):
-                return token, start
+            if token in vocab and start != grown:
+                before = states[start][0]
+                if (ok := known.get((before, token))) or ok is None and self._follows(before, token):
+                    return token, start
         raise ValueError(f"no token ends {text[: depth - skipped]!r}")
 
     def _tokens(self, last: tuple[str, int], states: list[tuple[str, int]]) -> list[str]:
@@ -168,6 +179,7 @@ class TextEncoder:
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.words = WordEncoder(model["vocab"], [tuple(m) for m in merges], model["end_of_word_suffix"])
+        self.packed_id = {t: struct.pack("<I", k) for t, k in model["vocab"].items()}
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
         self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
@@ -210,9 +222,9 @@ class TextEncoder:
             else:
                 chars = w[1:] if w[0] == _MAPPED else w if w.isascii() and w.isprintable() else "".join([BYTE_CHARS[b] for b in w.encode()])
                 own.setdefault(chars, []).append(w)
-        vocab = self.words.vocab
+        packed_id = self.packed_id.__getitem__
         for chars, tokens in self.words.encode(own).items():
-            packed, text = struct.pack(f"<{len(tokens)}I", *[vocab[t] for t in tokens]), " ".join(tokens)
+            packed, text = b"".join(map(packed_id, tokens)), " ".join(tokens)
             for w in own[chars]:
                 self.ids[w], self.decoded[w] = packed, text
 
