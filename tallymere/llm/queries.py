@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, url_filters, warc
+from . import bpe, chat, exact_dedup, line_dedup, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, url_filters, warc
 from .common import delete_path, new_path, written
 
 
@@ -147,6 +147,18 @@ m as (select page_id, r.host || r.path as rule, verdict, row_number() over (part
 select q.page_id, q.host, q.path, m.rule, coalesce(m.verdict, 'allow') as verdict from q left join m on m.page_id = q.page_id and m.k = 1
 """
 
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic_runs.strongest(F.col("runs"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.as_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -159,5 +171,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_passage_dedup": op7_passage_dedup,
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
