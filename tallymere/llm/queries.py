@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, conversation_repair, exact_dedup, line_dedup, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, url_filters, warc
+from . import bpe, chat, conversation_repair, decontamination, exact_dedup, line_dedup, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, url_filters, warc
 from .common import delete_path, new_path, written
 
 
@@ -153,6 +153,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(conversation_repair.damaged(turns), present=turns)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = periodic_runs.strongest(F.col("runs"))
@@ -177,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_decontamination": op12_decontamination,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
