@@ -17,7 +17,7 @@ def _stars(e: DataFrame) -> bool:
 
 def _dealt_anew(left: str, right: str):
     """Equality by a key that neither side is dealt by yet: both are dealt for the join, so that the rows of a hub can be split."""
-    return F.negate(F.col(left)) == F.negate(F.col(right))
+    return F.bitwise_not(F.col(left)) == F.bitwise_not(F.col(right))
 
 
 def components(edges: DataFrame, keep=written) -> DataFrame:

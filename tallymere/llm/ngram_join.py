@@ -343,14 +343,14 @@ def _tiled(docs: DataFrame, members: DataFrame, classes: DataFrame, n: int, perc
 def _labelled(rows: DataFrame, column: str, found: DataFrame, name: str) -> DataFrame:
     """rows with the component of the node in `column`, or that node itself, as `name`. Dealt anew, so that a hub's rows can be split."""
     near = found.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
-    return rows.join(near.hint("merge"), F.negate(F.col(column)) == F.negate(F.col("l_node")), "left").withColumn(name, F.coalesce("l_component", column)).drop("l_node", "l_component")
+    return rows.join(near.hint("merge"), F.bitwise_not(F.col(column)) == F.bitwise_not(F.col("l_node")), "left").withColumn(name, F.coalesce("l_component", column)).drop("l_node", "l_component")
 
 
 def _around_pivots(pairs: DataFrame) -> DataFrame:
     """(cluster, id): for each pivot itself, the documents that name it, and those that name one of these as their task's."""
     named = pairs.select(F.col("b").alias("cluster"), F.col("a").alias("id"))
     behind = pairs.where("local").select(F.col("a").alias("further"), F.col("b").alias("local_pivot"))
-    further = named.join(behind.hint("merge"), F.negate("id") == F.negate("local_pivot")).select("cluster", F.col("further").alias("id"))
+    further = named.join(behind.hint("merge"), F.bitwise_not("id") == F.bitwise_not("local_pivot")).select("cluster", F.col("further").alias("id"))
     return named.union(further).union(named.select("cluster", F.col("cluster").alias("id"))).distinct()
 
 
@@ -371,7 +371,7 @@ def link_components(docs: DataFrame, n: int, percent: int, keep: Callable = writ
         own_too = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).join(copies.select("a").hint("merge"), "a", "left_semi")
         to = own.written(copies.union(own_too).distinct().select(F.col("a").alias("from"), F.col("b").alias("to")), "classes-of")
         for column in ("id", "pivot"):
-            pairs = pairs.join(to.hint("merge"), F.negate(F.col(column)) == F.negate(F.col("from")), "left").withColumn(column, F.coalesce("to", column)).drop("from", "to")
+            pairs = pairs.join(to.hint("merge"), F.bitwise_not(F.col(column)) == F.bitwise_not(F.col("from")), "left").withColumn(column, F.coalesce("to", column)).drop("from", "to")
         pairs = pairs.where("id != pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.min("alone").alias("alone"), F.max("local").alias("local"))
         pairs = own.written(pairs, "class-pairs")
         possible = own.written(_possible(pairs, classes, percent), "possible-pairs")

@@ -43,7 +43,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
  union all select -7, k, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(k, r)),
-n as (select *, length(text) + length(text) - length(replace(text, '', ''))
+n as (select *, length(text) + length(text) - length(replace(text, chr(92), ''))
   + len(regexp_extract_all(text, '<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>|<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]')) + length(role) + 24 as chars from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
@@ -65,7 +65,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(*warc.warc_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html"), archive)
     warc.export_warc(warc.read_archive(spark, archive), files)
     delete_path(spark, archive)
-    read = written(warc.parsed(warc.import_warc(spark, files)).drop("header", "payload"), "warc-read")
+    read = written(warc.parsed(warc.import_warc(spark, files)).drop("header", "content", "payload"), "warc-read")
     delete_path(spark, files)
     return warc.resolved(read).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -20,7 +20,8 @@ MIN_REVISIT_BYTES = 100
 #: The time that records carry where the table has none.
 DATE = "2026-01-01T00:00:00Z"
 _CRLF = "\r\n"
-_MARK = b"WARC/1.1\r\n"
+#: What parts the files into pieces, and how a record starts.
+_MARK, _VERSION = b"WARC/1.", re.compile(rb"WARC/1\.\d+\r\n")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF * 2}"
 
@@ -73,9 +74,9 @@ def write_archive(headers: DataFrame, payloads: DataFrame, path: str) -> None:
 
 
 def _line(name: str) -> Column:
-    """The value of a header line, null without one."""
-    found = F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    return F.when(F.regexp_like("header", F.lit(rf"\r\n{name}: ")), found)
+    """The value of a header line, null without one; names of lines count in any case."""
+    found = F.regexp_extract("header", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)\r\n", 1)
+    return F.when(F.regexp_like("header", F.lit(rf"(?i)\r\n{name}:")), found)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -93,22 +94,28 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """What records (a column `record`) say: id, url, record_type, refers_to, header, payload, payload_bytes, payload_digest.
+    """What records say: id, url, record_type, refers_to, header, said (the digest in the header), content (the payload's bytes),
+    payload (their text, null where they aren't UTF-8), payload_bytes, payload_digest.
 
-    A response's payload is cut by Content-Length and digested anew; one that doesn't match its header stops the read.
-    Revisits have the payload, size and digest of the response that they name, by a join on the digest in their header.
+    Records are a column `record`, or header, block, head and error as import_warc gives them. A response's payload is digested anew; one that doesn't match its header stops the read, as does a record
+    with an error (take those out before, if the others are wanted). A digest of another kind than SHA-256 isn't compared.
+    Revisits have no payload of their own: resolved() takes it from the response that they name.
     """
-    end = F.instr("record", _CRLF * 2) + 3
-    split = records.select(F.left("record", end).alias("header"), F.substring("record", end + 1, F.length("record")).alias("block"))
-    n = _line("Content-Length").cast("long")
+    if "record" in records.columns:
+        end = F.instr("record", _CRLF * 2) + 3
+        split = records.select(F.left("record", end).alias("header"), F.substring("record", end + 1, F.length("record")).alias("block"))
+        wrong = F.when(~F.octet_length("block").eqNullSafe(_line("Content-Length").cast("long")), F.lit("a record whose length differs from its header"))
+        split = split.select("header", F.col("block").cast("binary").alias("block"), (F.instr("block", _CRLF * 2) + 3).alias("head"), wrong.alias("error"))
+    else:
+        split = records.select("header", "block", "head", "error")
     page = lambda name: F.nullif(F.regexp_extract(_line(name), r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
-    head = F.instr("block", _CRLF * 2) + 3
-    said = F.regexp_extract(_line("WARC-Payload-Digest"), r"^sha256:(\w+)$", 1)
-    whole = F.when(F.octet_length("block") == n, F.substring("block", head + 1, F.length("block"))).otherwise(F.raise_error(F.lit("a record whose length differs from its header")).cast("string"))
-    read = split.select(page("WARC-Page-ID").alias("id"), _lines_again(_line("WARC-Target-URI")).alias("url"), _line("WARC-Type").alias("record_type"), page("WARC-Refers-To-Page").alias("refers_to"), "header", said.alias("said"), whole.alias("payload"))
-    actual = F.sha2("payload", 256)
-    verified = F.when(actual == F.col("said"), actual).otherwise(F.raise_error(F.concat(F.lit("damaged archive record of digest "), F.col("said"))).cast("string"))
-    return read.withColumn("payload_digest", F.when(F.col("record_type") == "response", verified)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    said = F.coalesce(F.regexp_extract(_line("WARC-Payload-Digest"), r"^sha256:(\w+)$", 1), F.lit(""))
+    whole = F.when(F.col("error").isNull(), F.substring("block", F.col("head") + 1, F.octet_length("block"))).otherwise(F.raise_error(F.col("error")).cast("binary"))
+    read = split.select(page("WARC-Page-ID").alias("id"), _lines_again(_line("WARC-Target-URI")).alias("url"), _line("WARC-Type").alias("record_type"), page("WARC-Refers-To-Page").alias("refers_to"), "header", said.alias("said"), whole.alias("content"))
+    actual = F.sha2("content", 256)
+    verified = F.when((actual == F.col("said")) | (F.col("said") == ""), actual).otherwise(F.raise_error(F.concat(F.lit("damaged archive record of digest "), F.col("said"))).cast("string"))
+    read = read.withColumn("payload", F.try_validate_utf8(F.col("content").cast("string")))
+    return read.withColumn("payload_digest", F.when(F.col("record_type") == "response", verified)).withColumn("payload_bytes", F.octet_length("content").cast("long"))
 
 
 def resolved(read: DataFrame) -> DataFrame:
@@ -117,8 +124,8 @@ def resolved(read: DataFrame) -> DataFrame:
     own = read.where("record_type = 'response'").select("id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")
     known = own.groupBy(F.col("id").alias("k_id"), F.col("payload_digest").alias("k_digest")).agg(F.max("payload_bytes").alias("k_bytes"))
     again = read.where("record_type = 'revisit'").select("id", "url", "record_type", "refers_to", "said")
-    # Dealt anew by the negated id, so that the many revisits of one record can be split.
-    found = again.join(known.hint("merge"), (F.negate("refers_to") == F.negate("k_id")) & (F.col("said") == F.col("k_digest")), "left")
+    # Dealt anew by the complement of the id, so that the many revisits of one record can be split.
+    found = again.join(known.hint("merge"), (F.bitwise_not("refers_to") == F.bitwise_not("k_id")) & (F.col("said") == F.col("k_digest")), "left")
     missing = F.raise_error(F.concat(F.lit("a revisit of a record that isn't there, digest "), F.col("said")))
     return own.union(found.select("id", "url", "record_type", "refers_to", F.coalesce("k_digest", missing.cast("string")), "k_bytes"))
 
@@ -129,50 +136,95 @@ def export_warc(records: DataFrame, path: str, rows_per_file: int = 20_000) -> N
         records.select("record").write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", rows_per_file).text(path, compression="gzip")
 
 
-def import_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of WARC files, cut by Content-Length, whatever bytes a block holds.
+class _Cutter:
+    """Puts the pieces of one file together to records: (header, block, length of the HTTP head, error)."""
+
+    def __init__(self, name: str):
+        self.name, self.held, self.size, self.need = name, [], 0, 0
+
+    def _first_goes(self, why: str) -> tuple[tuple, list[bytes]]:
+        """The held record can't be completed: it is given with its error, and the pieces after it are to be read anew."""
+        header, _, block = self.held[0].partition(b"\r\n\r\n")
+        rest = self.held[1:]
+        self.held, self.size, self.need = [], 0, 0
+        name = re.search(rb"(?i)\r\nwarc-record-id:[ \t]*([^\r\n]*)", header)
+        which = name[1].decode(errors="replace") if name else "without an id"
+        return (header.decode(errors="replace") + "\r\n\r\n", block, 0, f"a record {why} in {self.name}, {which}"), rest
+
+    def feed(self, piece: bytes) -> Iterator[tuple]:
+        todo = [piece]
+        while todo:
+            piece = todo.pop(0)
+            starts = _VERSION.match(piece) is not None
+            if self.held and not self.need and starts:
+                row, rest = self._first_goes("ends inside its header")
+                yield row
+                todo = [*rest, piece, *todo]
+                continue
+            self.held.append(piece)
+            self.size += len(piece)
+            if len(self.held) == 1 and not starts:
+                yield self._first_goes("without a version line")[0]
+                continue
+            if not self.need and (end := (whole := b"".join(self.held)).find(b"\r\n\r\n")) >= 0:
+                length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", whole[: end + 2])
+                if length is None:
+                    row, rest = self._first_goes("without Content-Length")
+                    yield row
+                    todo = rest + todo
+                    continue
+                self.need = end + 4 + int(length[1])
+            if self.need and self.size >= self.need:
+                whole = b"".join(self.held)
+                if whole[self.need :].strip(b"\r\n"):
+                    row, rest = self._first_goes("ends inside its block" if len(self.held) > 1 else "longer than its Content-Length")
+                    yield row
+                    todo = rest + todo
+                    continue
+                end = whole.find(b"\r\n\r\n") + 4
+                header, block = whole[:end], whole[end : self.need]
+                head = block.find(b"\r\n\r\n") + 4 if re.search(rb"(?i)\r\ncontent-type:[ \t]*application/http", header) else 0
+                self.held, self.size, self.need = [], 0, 0
+                yield header.decode(errors="replace"), block, head if head > 3 else 0, None
+
+    def end(self) -> Iterator[tuple]:
+        while self.held:
+            row, rest = self._first_goes("ends inside the file")
+            yield row
+            for piece in rest:
+                yield from self.feed(piece)
+
 
-    The text reader gives what stands between version lines, in order; a piece that starts like a record but lies inside
-    a block is joined to the record whose length covers it. A file is one task, and only the record at hand is held. Files
-    must not be split for that: gzip files never are, and a plain file that is larger than a split stops the read, as does
-    a file that ends inside a record. No files give no records.
+def import_warc(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record of WARC files: header, block (bytes), head (length of the block's HTTP head) and error, null for a sound record.
+
+    The text reader gives what stands between version lines, in order, as bytes; a piece that starts like a record but lies
+    inside a block is joined to the record whose Content-Length covers it. Where no such joining comes out even, the record
+    was cut short: it is given with its error, and what follows is read as records of their own. Files of all versions 1.x
+    are read, names of header lines count in any case, and blocks may have any bytes. A file is one task, and only the
+    record at hand is held. Files must not be split for that: gzip files never are, and a plain file that is larger than a
+    split stops the read. No files give no records.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        size = need = 0
-        last = None
-        out: list[str] = []
+        now: _Cutter | None = None
+        schema = pa.schema([("header", pa.string()), ("block", pa.binary()), ("head", pa.int32()), ("error", pa.string())])
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
+            rows: list[tuple] = []
             for name, at, value in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 if at:
                     raise ValueError(f"{name} is larger than a split; compress it by gzip")
-                if name != last and held:
-                    raise ValueError(f"{last} ends inside a record")
-                last, piece = name, (value or "").encode()
-                if held:
-                    held.append(_MARK)
-                    size += len(_MARK)
-                elif not piece:
-                    continue  # what stands before a file's first record
-                held.append(piece)
-                size += len(piece)
-                if not need and (end := (whole := b"".join(held)).find(b"\r\n\r\n")) >= 0:
-                    held, length = [whole], re.search(rb"\r\nContent-Length: (\d+)\r\n", whole[: end + 2])
-                    if length is None:
-                        raise ValueError(f"a record without Content-Length in {name}")
-                    need = end + 4 + int(length[1])
-                if need and size >= need:
-                    whole = b"".join(held)
-                    if whole[need:].strip(b"\r\n"):
-                        raise ValueError(f"a record longer than its Content-Length in {name}")
-                    out.append((_MARK + whole[:need]).decode())
-                    held, size, need = [], 0, 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
-                out = []
-        if held:
-            raise ValueError(f"{last} ends inside a record")
-
-    read = spark.read.option("lineSep", _MARK.decode()).text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
-    return read.mapInArrow(cut, "record string")
+                if now is None or name != now.name:
+                    rows += now.end() if now else ()
+                    now, first = _Cutter(name), True
+                if not first or value:  # before a file's first version line there is nothing
+                    rows += now.feed(value if first else _MARK + value)
+                first = False
+            if rows:
+                yield batch_of(rows)
+        if now is not None and (rows := list(now.end())):
+            yield batch_of(rows)
+
+    read = spark.read.option("lineSep", _MARK.decode()).text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value"))
+    return read.mapInArrow(cut, "header string, block binary, head int, error string")
