@@ -75,7 +75,7 @@ def link_roots(links: DataFrame) -> DataFrame:
     state = links.select("id", F.col("target").alias("at"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("ended"))
     for _ in range(links.count().bit_length() + 1):
         step = state.select(F.col("id").alias("s_id"), F.col("at").alias("s_at"), F.col("hops").alias("s_hops"), F.col("ended").alias("s_ended"))
-        joined = state.join(step, F.negate("at") == F.negate("s_id"), "left")
+        joined = state.join(step, F.bitwise_not("at") == F.bitwise_not("s_id"), "left")
         state = joined.select("id", F.when(F.col("ended") | F.col("s_id").isNull(), F.col("at")).otherwise(F.col("s_at")).alias("at"),
                               F.when(F.col("ended") | F.col("s_id").isNull(), F.col("hops")).otherwise(F.col("hops") + F.col("s_hops")).alias("hops"),
                               (F.col("ended") | F.col("s_id").isNull() | F.col("s_ended")).alias("ended"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +13,26 @@ from ..sources.shared import held
 STATE = "receipt_id bigint, state string, priority int, assigned_to bigint, opened_at timestamp, closed_at timestamp, n_events bigint"
 
 
-def apply_event(task: dict | None, action: str, priority: int, user: int, ts) -> dict | None:
+def _more_urgent(a: int | None, b: int | None) -> int | None:
+    """The smaller of two priorities; one that isn't given comes after all others."""
+    return b if a is None else a if b is None else min(a, b)
+
+
+def apply_event(task: dict | None, action: str, priority: int | None, user: int | None, ts) -> dict | None:
     """One step of a task's life: none - enqueue -> open - claim -> in_progress - close -> done; release and enqueue lead back to open.
 
-    A smaller or equal priority replaces the one there; a done task that is enqueued opens anew; closing twice keeps
-    the first time; what doesn't fit the state changes nothing.
+    A smaller or equal priority replaces the one there, and one that isn't given replaces none; a done task that is
+    enqueued opens anew; closing twice keeps the first time; a claim by nobody and what doesn't fit the state change nothing.
     """
     if action == "enqueue":
         if task is None:
             return {"state": "open", "priority": priority, "assigned_to": None, "opened_at": ts, "closed_at": None}
         if task["state"] == "done":
             return task | {"state": "open", "priority": priority, "assigned_to": None, "opened_at": ts, "closed_at": None}
-        return task | {"priority": min(task["priority"], priority)}
+        return task | {"priority": _more_urgent(task["priority"], priority)}
     if task is None:
         return None
-    if action == "claim" and task["state"] == "open":
+    if action == "claim" and task["state"] == "open" and user is not None:
         return task | {"state": "in_progress", "assigned_to": user}
     if action == "close" and task["state"] != "done":
         return task | {"state": "done", "closed_at": ts}
@@ -40,35 +45,35 @@ def fold_events(events: DataFrame) -> DataFrame:
     """State of each receipt's task after its events in the order (ts, event_id).
 
     Events go by receipt and are sorted inside partitions; one pass folds them with a single task in memory, so a
-    receipt with very many events needs no more than one with few.
+    receipt with very many events needs no more than one with few. Nulls are allowed in every column: events without a
+    time come first, and a null receipt is one of its own.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, task, n, out = None, None, 0, []
+    schema = pa.schema([("receipt_id", pa.int64()), ("state", pa.string()), ("priority", pa.int32()), ("assigned_to", pa.int64()), ("opened_at", pa.timestamp("us", "UTC")), ("closed_at", pa.timestamp("us", "UTC")), ("n_events", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, task, n, began, out = None, None, 0, False, []
 
         def done():
             if task is not None:
                 out.append({"receipt_id": current, **task, "n_events": n})
 
         for batch in batches:
-            for e in batch.itertuples(index=False):
-                if e.receipt_id != current:
+            for receipt, ts, action, priority, user in zip(*[batch.column(c).to_pylist() for c in ("receipt_id", "ts", "action", "priority", "user_id")], strict=True):
+                if not began or receipt != current:
                     done()
-                    current, task, n = e.receipt_id, None, 0
-                if e.action != "view":
+                    current, task, n, began = receipt, None, 0, True
+                if action != "view":
                     n += 1
-                task = apply_event(task, e.action, int(e.priority), int(e.user_id), e.ts)
-            yield _frame(out)
+                task = apply_event(task, action, priority, user, ts)
+            yield pa.RecordBatch.from_pylist(out, schema)
             out = []
         done()
-        yield _frame(out)
-
-    def _frame(rows: list[dict]) -> pd.DataFrame:
-        f = pd.DataFrame(rows, columns=["receipt_id", "state", "priority", "assigned_to", "opened_at", "closed_at", "n_events"])
-        return f.astype({"receipt_id": "Int64", "priority": "Int64", "assigned_to": "Int64", "n_events": "Int64", "opened_at": "datetime64[ns]", "closed_at": "datetime64[ns]"})
+        yield pa.RecordBatch.from_pylist(out, schema)
 
-    dealt = events.select("receipt_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "action", "priority", "user_id").repartition("receipt_id").sortWithinPartitions("receipt_id", "ts", "event_id")
-    return dealt.mapInPandas(run, STATE)
+    dealt = events.select("receipt_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "action", F.col("priority").cast("int").alias("priority"), F.col("user_id").cast("bigint").alias("user_id"))
+    dealt = dealt.repartition("receipt_id").sortWithinPartitions("receipt_id", "ts", "event_id")
+    return dealt.mapInArrow(run, STATE)
 
 
 def visible_tasks(tasks: DataFrame, user: int | None) -> DataFrame:

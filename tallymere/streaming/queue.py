@@ -27,7 +27,8 @@ def queue_updates(events: DataFrame) -> DataFrame:
         task, n = (dict(zip(names, held, strict=True)) if state.exists and held[0] is not None else None), n or 0
         for e in pd.concat([b for b in batches if len(b)]).sort_values(["ts", "event_id"]).itertuples(index=False):
             n += e.action != "view"
-            task = apply_event(task, e.action, int(e.priority), int(e.user_id), e.ts.to_pydatetime())
+            whole = lambda x: None if pd.isna(x) else int(x)
+            task = apply_event(task, e.action, whole(e.priority), whole(e.user_id), None if pd.isna(e.ts) else e.ts.to_pydatetime())
         clean = lambda x: None if x is None or pd.isna(x) else x
         row = tuple(clean(task[k]) for k in names) if task else (None,) * 5
         state.update((*row, int(n)))
