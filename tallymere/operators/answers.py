@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..sources.readers import LABEL
+from .record_checks import first_faults
 
-#: What stands between marks of code, if anything does.
+# What stands between marks of code, if anything does.
 FENCED = r"(?sU)```(?:json)?\s*(.*?)```"
 #: Signs that change the state of the scan, each alone, and the runs between them.
 PIECE = r'[\\"{}]|[^\\"{}]+'
-#: Paths whose values must be numbers.
-MONEY = tuple(f"totals.{n}" for n in ("subtotal", "tax", "discount", "total", "tender", "change"))
-NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
 def _object_length(text: Column) -> Column:
@@ -55,15 +54,13 @@ def with_blob(rows, text: str = "text"):
 
 
 def with_record(rows, text: str = "text"):
-    """with_blob's rows and `record` (fields as text; a bare number keeps its value, not its trailing zeros) or `error`: the first five paths that don't fit."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "allowSingleQuotes": "false"}
-    read = with_blob(rows, text).withColumn("_read", F.from_json("blob", LABEL + ", corrupt string", options))
-    bad = F.filter(F.array(*[F.when(~F.regexp_like(F.col(f"_read.{p}"), F.lit(NUMBER)), p) for p in MONEY]), lambda p: p.isNotNull())
-    error = (
-        F.when(F.col("blob_error").isNotNull(), F.col("blob_error")).when(F.col("_read.corrupt").isNotNull(), "invalid JSON")
-        .when(F.size(bad) > 0, F.concat(F.lit("not a number: "), F.array_join(F.slice(bad, 1, 5), ", ")))
-    )
-    return read.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), F.col("_read").dropFields("corrupt"))).drop("_read", "blob_error")
+    """with_blob's rows and `record` (fields as text; a bare number keeps its value, not its trailing zeros) or `error`, why
+    there is none: no object, no JSON (an object that names a key twice is none), or the first five fields that don't fit the schema."""
+    parsed = with_blob(rows, text).withColumn("_answer", F.try_parse_json("blob"))
+    wrong = first_faults(F.col("_answer"))
+    error = F.when(F.col("blob_error").isNotNull(), F.col("blob_error")).when(F.col("_answer").isNull(), "invalid JSON").otherwise(wrong)
+    read = parsed.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), F.from_json("blob", LABEL, {"allowSingleQuotes": "false"})))
+    return read.drop("_answer", "blob_error")
 
 
 def has_content(record: Column | str = "record") -> Column:
@@ -73,5 +70,5 @@ def has_content(record: Column | str = "record") -> Column:
                                       ("totals", "subtotal tax discount total tender change"), ("payment", "method card_last4")) for f in names.split()]
     filled = F.size(r["line_items"]) > 0
     for t in texts:
-        filled = F.coalesce(filled, F.lit(False)) | F.coalesce(F.trim(t) != "", F.lit(False))
+        filled = F.coalesce(filled, F.lit(False)) | F.coalesce(strip(t) != "", F.lit(False))
     return filled

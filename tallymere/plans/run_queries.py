@@ -8,6 +8,7 @@ from ..functions import money
 from ..operators import answers, review, rules, runs
 from ..operators.records import records
 from ..sources.adapters import frame, sql, table
+from ..sources.record_schema import CHOICES, DEFAULTS, NULLABLE_LISTS, RECORD, REQUIRED, kind_of
 from .review_queries import _FOLD, _tasks
 from .rule_queries import NARROW, RULE_SQL, _SUMS
 
@@ -38,8 +39,38 @@ bl as (select doc_id, rung, case when trim(text) = '' then 'empty answer' when o
  case when size > 0 then regexp_replace(substr(o, 1, size), ',\s*([}\]])', '\1', 'g') end as blob from v_responses join op using (doc_id, rung) left join ends using (doc_id, rung)),
 va as (select *, coalesce(json_valid(blob), false) as valid from bl),
 js as (select *, case when valid then blob else '{}' end as j from va),
-re as (select *, case when blob_error is not null then blob_error when not valid then 'invalid JSON' when not regexp_matches(j->>'$.totals.total', '^[0-9.]+$') then 'not a number: totals.total' end as error from js),
+kd(pattern, ord, kind, opt) as (values KINDS),
+nd as (select doc_id, rung, substr(t.fullkey, 3) as path, t.type as type, t.value as v, t.value->>'$' as s, regexp_extract_all(t.fullkey, '\[(\d+)\]', 1) as ix from js, json_tree(js.j) t),
+kn as (select nd.*, kind, opt, replace(replace(ord, '#1', lpad(coalesce(ix[1], ''), 6, '0')), '#2', lpad(coalesce(ix[2], ''), 6, '0')) as ord from nd join kd on kd.pattern = regexp_replace(path, '\[\d+\]', '[]', 'g')),
+ft as (select *, opt and type = 'NULL' or case kind when 'text' then type = 'VARCHAR' when 'list' then type = 'ARRAY' when 'object' then type = 'OBJECT'
+   when 'money' then num or type = 'VARCHAR' and NUMBER when 'number' then num or type = 'BOOLEAN' or type = 'VARCHAR' and NUMBER
+   when 'int' then type = 'BOOLEAN' or (num or type = 'VARCHAR') and regexp_full_match(s, '\s*[-+]?\d+(\.0*)?\s*')
+   when 'bool' then type = 'BOOLEAN' or num and regexp_full_match(s, '[01](\.0*)?') or type = 'VARCHAR' and lower(s) in ('true', 'false', '1', '0', 'yes', 'no', 'on', 'off', 't', 'f', 'y', 'n')
+   else type = 'VARCHAR' and list_contains(string_split(kind, ', '), s) end as fits from (select *, type in ('BIGINT', 'UBIGINT', 'DOUBLE') as num from kn)),
+er as (select doc_id, rung, ord, path || ': ' || case kind when 'text' then 'not a text' when 'money' then 'not a number' when 'number' then 'not a number' when 'int' then 'not a whole number' when 'bool' then 'not true or false'
+   when 'list' then 'not a list' when 'object' then 'not an object' else 'not one of ' || kind end as said from ft where not fits
+ union all select doc_id, rung, ord || '00', path || '.label: missing' from kn where regexp_full_match(path, 'line_items\[\d+\]\.modifiers\[\d+\]') and type = 'OBJECT' and not json_exists(v, '$.label')),
+e5 as (select doc_id, rung, array_to_string(list(said order by ord)[1:5], '; ') as wrong from er group by all),
+re as (select js.*, case when blob_error is not null then blob_error when not valid then 'invalid JSON' else wrong end as error from js left join e5 using (doc_id, rung)),
 rec as (select doc_id, rung, error, case when error is null then j->>'$.merchant.name' end as merchant_name, case when error is null then j->>'$.totals.total' end as total, case when error is null then j->>'$.receipt.currency' end as currency from re)"""
+
+
+def _kinds(kind, pattern: str = "", order: str = "", depth: int = 1):
+    """(pattern, order, kind, may be null) of every field of the schema and of the elements of its lists."""
+    for n, f in enumerate(kind.fields):
+        below, at = f"{pattern}.{f.name}" if pattern else f.name, f"{order}{n:02d}"
+        name = kind_of(f.dataType)
+        free = below in NULLABLE_LISTS or not (name in ("list", "object") or below in DEFAULTS or below in REQUIRED)
+        yield below, at, ", ".join(CHOICES[below]) if below in CHOICES else name, free
+        inner = f.dataType
+        if name == "list":
+            below, at, inner = below + "[]", f"{at}#{depth}", inner.elementType
+            yield below, at, kind_of(inner), False
+        if kind_of(inner) == "object":
+            yield from _kinds(inner, below, at, depth + (name == "list"))
+
+
+_BLOB = _BLOB.replace("KINDS", ", ".join(f"('{p}', '{o}', '{k}', {free})" for p, o, k, free in _kinds(RECORD))).replace("NUMBER", r"regexp_full_match(s, '\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*')")
 _OUTCOMES = _BLOB + """, att as (select *, merchant_name is not null and not call_failed as good from v_responses join rec using (doc_id, rung)),
 kk as (select *, row_number() over (partition by doc_id order by good desc, case when good then rung else -rung end) as k, count(*) over d as n_attempts, cast(sum(cost_usd) over d as decimal(18,6)) as cost, sum(latency_ms) over d as latency from att window d as (partition by doc_id)),
 oc as (select doc_id, rung, model_id, call_failed as failed, not good as read_nothing, n_attempts, cost as cost_usd, cast(latency as bigint) as latency_ms, total from kk where k = 1)"""

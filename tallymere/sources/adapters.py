@@ -130,7 +130,11 @@ select doc_id, rung, case rung when 0 then 'small' else 'large' end as model_id,
  cast(cast(doc_id % 1000 as decimal(12,0)) * cast(0.000125 as decimal(6,6)) as decimal(18,6)) as cost_usd, (doc_id * 13 + rung) % 4000 as latency_ms, total_text,
  translate(case (doc_id + rung * 3) % 8 when 0 then concat('Here it is:', chr(10), '```json', chr(10), body, chr(10), '```', chr(10), 'Done <>.') when 1 then body when 2 then concat('The record: ', body, ' and a > brace') when 3 then substr(body, 1, 60)
   when 4 then '   ' when 5 then 'no object here' when 6 then replace(body, '"PHP"', 'PHP,,') else '<"merchant": <>, "totals": <"total": null>, "line_items": []>' end, '<>', concat(chr(123), chr(125))) as text
-from (select doc_id, rung, total_text, concat('<"merchant": <"name": "Shop ', chr(92), '"<A', chr(92), '" ', cast(o_custkey as string), '">, "receipt": <"currency": "PHP", >, "totals": <"total": ', total_text, ', "tax": null>, "line_items": [<"position": 0, "qty": 1>,]>') as body
+from (select doc_id, rung, total_text, concat('<"merchant": <"name": "Shop ', chr(92), '"<A', chr(92), '" ', cast(o_custkey as string), '">, "receipt": <', case when doc_id % 17 = 0 then '"date": 5, ' else '' end, '"currency": "PHP", >, "totals": <"total": ', total_text, ', "tax": null',
+   case doc_id % 19 when 3 then ', "tax_breakdown": [<"rate": true>, <"base": "x1", "amount": 2>]' when 4 then ', "prices_include_tax": "Yes", "tax_breakdown": [<"amount": "1.50">]' when 5 then ', "prices_include_tax": 2, "change": " 7 "' else '' end, '>, "line_items": [<"position": 0, "qty": 1>,',
+   case doc_id % 11 when 1 then ' <"position": 1, "line_total": "abc">,' when 2 then ' <"position": "2", "qty": 1.50, "modifiers": [<"label": "promo", "amount": "-1">, <"amount": 1>]>,' when 3 then ' <"position": null, "description_raw": 7, "is_template_row": "maybe", "bbox": [0.1, "x"]>,'
+    when 4 then ' "row", <"position": 1.0, "bbox": null, "is_template_row": 1, "modifiers": [<"label": "a", "amount": 1e2>]>,' when 5 then ' <"position": 1.5, "modifiers": null, "sku": null, "unknown": [1]>,' else '' end, ']',
+   case doc_id % 13 when 1 then ', "meta": <"legibility": "blurry", "ambiguous_fields": ["a", 1], "is_refund": null>' when 2 then ', "payment": null' when 3 then ', "meta": <"legibility": "poor", "notes": null>, "buyer": ["x"], "receipt_no": 7' when 4 then ', "payment": <"method": 3>' else '' end, '>') as body
  from (select o_orderkey as doc_id, o_custkey, case when o_orderkey % 7 = 0 then '"12,x"' else cast(cast(o_totalprice as decimal(14,2)) as string) end as total_text, 0 as rung from {orders}
   union all select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then '"12,x"' else cast(cast(o_totalprice as decimal(14,2)) as string) end, 1 from {orders}) o) b""",
     #: Image files and labels that share stems, and the manifest's entries.
