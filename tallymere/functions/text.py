@@ -48,7 +48,7 @@ def _udf(name: str):
     normal = lambda x: unicodedata.normalize("NFKC", x)
     return {
         "nfkc": lambda: _python("nfkc", normal), "nfkc_each": lambda: _python("nfkc_each", normal, "array<string>"),
-        "casefold": lambda: _python("casefold", str.casefold), "fold": lambda: _python("fold", fold),
+        "casefold": lambda: _python("casefold", str.casefold), "casefold_each": lambda: _python("casefold_each", str.casefold, "array<string>"), "fold": lambda: _python("fold", fold),
     }[name]()
 
 
@@ -116,6 +116,12 @@ def norm_text(text: Column) -> Column:
     return casefold(collapse(text))
 
 
+def norm_texts(texts: Column) -> Column:
+    """norm_text of an array's strings; Python sees arrays that have other than ASCII."""
+    plain = F.transform(texts, collapse)
+    return F.coalesce(_udf("casefold_each")(F.when(F.exists(plain, beyond_ascii), plain)), F.transform(plain, F.lower))
+
+
 def iso_currency(code: Column) -> Column:
     c = F.upper(strip(code))
     return F.when(c.isin(*ISO_CURRENCIES), c)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import agree
-from ..functions.text import norm_text, normal_description
+from ..functions.text import norm_text, norm_texts, normal_description
+from . import paths
 
 SELF_REPORT_LEAVES = ("is_template_row",)
 
@@ -41,9 +42,11 @@ def flatten_records(heads: DataFrame, items: DataFrame) -> DataFrame:
     return flatten_headers(heads).unionByName(flatten_items(items)).unionByName(none)
 
 
-def values_equal(kind: Column, a: Column, b: Column) -> Column:
+def values_equal(kind: Column, a: Column, b: Column, folded: bool = False) -> Column:
+    """Whether two leaves of a kind agree; with `folded`, texts are in their normal form already."""
+    text = (a == b) if folded else norm_text(a) == norm_text(b)
     money = agree(a.try_cast("decimal(28,8)"), b.try_cast("decimal(28,8)"))
-    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).when(kind == "money", money).when(kind == "text", norm_text(a) == norm_text(b)).otherwise(a == b)
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).when(kind == "money", money).when(kind == "text", text).otherwise(a == b)
 
 
 def field_results(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -67,6 +70,40 @@ def breakdown(results: DataFrame, *by: str) -> DataFrame:
         good("self_report").alias("self_report_correct"), n("self_report").alias("self_report_total"), n("hallucinated").alias("hallucinated"), n("correctly_empty").alias("correctly_empty"), n("structural").alias("structural"))
 
 
+def record_breakdown(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
+    """breakdown and accuracies of whole records (doc_id, predicted, truth), leaf by leaf inside the row: no path is joined.
+
+    A path that one side lacks is wrong. Leaves where the label says something count by their group; elsewhere the
+    prediction is hallucinated where it says something, else correctly empty or structural. Accuracies are null without a leaf.
+    """
+    kind = rows.schema[truth].dataType
+    says = lambda p, side: p[side].isNotNull() & ((p["kind"] != "list") | (p[side] != paths.EMPTY))
+
+    def judged(p: Column) -> Column:
+        ok = F.coalesce(p["in_left"] & p["in_right"] & values_equal(p["kind"], p["left"], p["right"], folded=True), F.lit(False))
+        named = F.when(says(p, "right"), group_of(p["path"])).when(says(p, "left"), "hallucinated").when(ok, "correctly_empty").otherwise("structural")
+        return F.struct(named.alias("class"), ok.alias("ok"))
+
+    # Text that isn't ASCII needs Python for its folding, so both sides are folded before, all texts of a record at once.
+    pairs = rows.withColumn("_pairs", paths.paired_leaves(F.col(predicted), F.col(truth), kind))
+    side = lambda s: norm_texts(F.transform("_pairs", lambda p: F.when(p["kind"] == "text", p[s])))
+    left, right = side("left"), side("right")
+    both = pairs.withColumn("_left", left).withColumn("_right", right)
+    as_folded = lambda s: F.transform(s["p"], lambda p, i: F.when(p["kind"] == "text", p.withField("left", F.get(s["l"], i)).withField("right", F.get(s["r"], i))).otherwise(p))
+    judged_all = paths.bound(F.struct(F.col("_pairs").alias("p"), F.col("_left").alias("l"), F.col("_right").alias("r")), lambda s: F.transform(as_folded(s), judged))
+    found = both.withColumn("_j", judged_all)
+    count = lambda c, good=None: F.size(F.filter("_j", lambda j: (j["class"] == c) if good is None else (j["class"] == c) & j["ok"])).cast("long")
+    groups, rest = ("core", "line_items", "self_report"), ("hallucinated", "correctly_empty", "structural")
+    counted = found.select("doc_id", *[x for g in groups for x in (count(g, True).alias(f"{g}_correct"), count(g).alias(f"{g}_total"))], *[count(c).alias(c) for c in rest])
+    ratio = lambda a, b: F.try_divide(a, b)
+    c = F.col
+    return counted.select(
+        "*", ratio(c("core_correct"), c("core_total")).alias("core_accuracy"), ratio(c("line_items_correct"), c("line_items_total")).alias("line_items_accuracy"),
+        ratio(c("self_report_correct"), c("self_report_total")).alias("self_report_agreement"),
+        ratio(c("core_correct") + c("line_items_correct"), c("core_total") + c("line_items_total")).alias("transcription_accuracy"),
+    )
+
+
 def critical_fields(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """doc_id, correct: merchant, date and total are all right; two missing values agree."""
     p, t = predicted.alias("p"), truth.alias("t")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import answers, review, rules, runs
+from ..operators import answers, attempts, review, rules, runs
 from ..operators.records import records
 from ..sources.adapters import frame, sql, table
 from ..sources.record_schema import CHOICES, DEFAULTS, NULLABLE_LISTS, RECORD, REQUIRED, kind_of
@@ -249,3 +249,29 @@ def corner_order(spark, sf_dir):
     points = F.expr("array(named_struct('x', width + b, 'y', height + a), named_struct('x', a, 'y', b), named_struct('x', b, 'y', height + b), named_struct('x', width + a, 'y', a))")
     best = F.transform(runs.ordered_corners(points), lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string")))
     return frame(spark, sf_dir, "v_corners").select("image_id", F.array_join(best, " ").alias("corners"))
+
+
+# --- asking again ---
+_CHECKED = _OUTCOMES + """, ck as (select v.doc_id, v.rung, error is null and not call_failed as ok, merchant_name as m, total as t, currency as c, coalesce(cast(json_array_length(j, '$.line_items') as int), 0) as lines from v_responses v join rec using (doc_id, rung) join js using (doc_id, rung)),
+ev as (select doc_id, rung, ok, list_filter([case when not ok then 'R001' end, case when not ok or t is null then 'R010' end, case when not ok or trim(coalesce(m, '')) = '' then 'R012' end, case when not ok or lines = 0 then 'R013' end], lambda r: r is not null) as rules,
+ cast(case when ok then (m is null)::int + (t is null)::int + (c is null)::int else 3 end as bigint) as n_null from ck),
+rk as (select *, len(list_filter(rules, lambda r: r in ('R001', 'R010'))) as n_error, len(list_filter(rules, lambda r: r in ('R012', 'R013'))) as n_warn from ev)"""
+
+
+@query("repair_rounds", _CHECKED + """, two as (select a.doc_id, a.n_error > 0 as again, a.ok as parsed, a.rules as first, a.n_error > 0 and row(b.n_error, b.n_warn, b.n_null) < row(a.n_error, a.n_warn, a.n_null) as second, a.n_error as e0, a.n_warn as w0, b.n_error as e1, b.n_warn as w1, b.rules as rules from rk a join rk b on b.doc_id = a.doc_id and a.rung = 0 and b.rung = 1)
+select doc_id, case when not again then 'extract' when parsed then 'extract repair' else 'extract re_extract' end as passes, cast(case when second then 2 else 1 end as int) as kept_attempt, cast(case when second then 1 else 0 end as bigint) as kept_seq,
+ cast(case when second then e1 else e0 end as bigint) as n_error, cast(case when second then w1 else w0 end as bigint) as n_warn, case when second then array_to_string(list_sort(list_filter(first, lambda r: not list_contains(rules, r))), ' ') else '' end as resolved,
+ cast(case when again then 0 else 1 end as int) as n_not_called from two""")
+def repair_rounds(spark, sf_dir):
+    """What asking again once came to: a sound answer ends it, one that didn't parse is extracted anew, one with errors repaired."""
+    a = _answers(spark, sf_dir)
+    ok = F.col("error").isNull() & ~F.col("call_failed")
+    name, total = F.col("record.merchant.name"), F.col("record.totals.total")
+    lines = F.coalesce(F.size("record.line_items"), F.lit(0))
+    fired = [("R001", ~ok), ("R010", ~ok | total.isNull()), ("R012", ~ok | (F.trim(F.coalesce(name, F.lit(""))) == "")), ("R013", ~ok | (lines <= 0))]
+    ids = F.array_compact(F.array(*[F.when(on, r) for r, on in fired]))
+    errors = F.size(F.filter("rules", lambda r: r.isin("R001", "R010")))
+    nulls = F.when(ok, sum((c.isNull().cast("int") for c in (total, F.col("record.receipt.currency"))), name.isNull().cast("int"))).otherwise(3)
+    given = a.select("doc_id", F.col("rung").alias("seq"), ok.alias("parsed"), nulls.alias("n_null"), ids.alias("rules")).withColumns({"n_error": errors, "n_warn": F.size("rules") - errors})
+    made = attempts.repaired(given, most_repairs=1)
+    return made.select("doc_id", F.array_join("passes", " ").alias("passes"), F.col("kept_attempt").cast("int").alias("kept_attempt"), "kept_seq", "n_error", "n_warn", F.array_join("resolved", " ").alias("resolved"), F.col("n_not_called").cast("int").alias("n_not_called"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymere.operators import answers, paths, record_checks
+from tallymere.operators import answers, attempts, corrections, paths, record_checks
 from tallymere.sources.record_schema import ITEM, RECORD
 
 
@@ -114,3 +114,61 @@ def test_pairs_are_a_full_join_by_path(spark, whole):
 
 def test_schema_of_items():
     assert [f.name for f in ITEM.fields][:3] == ["position", "description_raw", "sku"]
+
+
+# --- patches, votes, asking again ---
+def test_patches_are_whole_or_not_at_all(spark):
+    lines = [{"position": 5, "qty": 1, "description_raw": "five"}, {"position": 2, "qty": 2}]
+    doc = {"merchant": {"name": "Old"}, "line_items": lines, "totals": {"total": 9}}
+    df = spark.createDataFrame([(k, json.dumps(doc), "needs_review") for k in range(8)], "doc_id long, t string, status string")
+    stored = df.select("doc_id", paths.with_defaults(F.from_json("t", RECORD)).alias("record"), "status")
+    changes = [
+        (0, "line_items[5].qty", "7"), (0, "merchant.name", "New 4111111111111111"), (0, "totals.total", None),
+        (1, "totals.total", "9"), (2, "totals.total", "1"), (2, "line_items[0].qty", "7"), (3, "merchant.name", "X"), (3, "totals.tax", "abc"),
+        (4, "line_items[5].position", "2"), (5, "line_items[5].position", "2"), (5, "line_items[2].position", "5"), (6, "no.path", "x"), (99, "totals.total", "1"),
+        (0, "line_items[2].description_raw", "two"), (0, "meta.is_handwritten", "yes"),
+    ]
+    made = corrections.patched(stored, spark.createDataFrame(changes, "doc_id long, path string, new_value string"))
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert {k: (r["verdict"], r["status"], r["n_changed"]) for k, r in got.items()} == {
+        0: ("reviewed", "reviewed", 5), 1: ("reviewed", "reviewed", 0), 2: ("refused", "needs_review", 0), 3: ("refused", "needs_review", 0), 4: ("refused", "needs_review", 0),
+        5: ("reviewed", "reviewed", 2), 6: ("refused", "needs_review", 0), 7: ("kept", "needs_review", 0), 99: ("unknown", None, 0),
+    }
+    r = got[0]["record"]
+    assert (r["merchant"]["name"], r["totals"]["total"], r["meta"]["is_handwritten"]) == ("New ************1111", None, True)
+    assert [(x["position"], str(x["qty"]), x["description_raw"]) for x in r["line_items"]] == [(5, "7.0000", "five"), (2, "2.0000", "two")]
+    assert [x["position"] for x in got[5]["record"]["line_items"]] == [2, 5]
+    assert all(got[k]["record"] == got[7]["record"] for k in (2, 3, 4, 6))
+
+
+def test_votes_by_path(spark):
+    run = lambda total, *lines: {"totals": {"total": total}, "line_items": [{"description_raw": x} for x in lines]}
+    rows = [(1, 0, run(1, "a")), (1, 1, run(2, "a", "b")), (1, 2, run(2, "a")), (2, 0, run(1)), (2, 1, run(2)), (3, 7, run(5, "z"))]
+    df = spark.createDataFrame([(i, n, json.dumps(d)) for i, n, d in rows], "doc_id long, run int, t string").select("doc_id", "run", paths.with_defaults(F.from_json("t", RECORD)).alias("record"))
+    votes = attempts.path_votes(df)
+    got = {(r["doc_id"], r["path"]): r for r in votes.collect()}
+    of = lambda i, p: (got[i, p]["value"], got[i, p]["disputed"], got[i, p]["readings"])
+    assert of(1, "totals.total") == ("2.0000", True, ["1.0000", "2.0000"]) and abs(got[1, "totals.total"]["agreement"] - 2 / 3) < 1e-9
+    assert of(1, "line_items[0].description_raw") == ("a", False, None)
+    assert of(1, "line_items[1].description_raw") == (None, True, [None, "b"])
+    assert of(2, "totals.total") == (None, True, ["1.0000", "2.0000"]) and of(2, "line_items") == ("[]", False, None)
+    assert of(3, "totals.total") == ("5.0000", False, None) and got[3, "totals.total"]["agreement"] is None
+    lists = {r["doc_id"]: r["disputed"] for r in attempts.disputed_lists(votes).collect()}
+    assert lists[2] == ["totals.total"] and lists[3] == [] and "totals.total" in lists[1]
+    record = {r["doc_id"]: r["record"] for r in attempts.consensus(votes).collect()}
+    assert str(record[1]["totals"]["total"]) == "2.0000" and record[2]["totals"]["total"] is None and record[3]["line_items"][0]["description_raw"] == "z"
+
+
+def test_asking_again(spark):
+    rows = [
+        (1, 0, True, 0, 3, 0, ["R011"]), (1, 1, True, 0, 0, 0, []),  # sound at once: the second is never called
+        (2, 0, False, 2, 1, 9, ["R001", "R010", "R012"]), (2, 1, True, 1, 0, 2, ["R010"]), (2, 2, True, 0, 0, 0, []),
+        (3, 0, True, 1, 0, 1, ["R020"]), (3, 1, True, 2, 0, 0, ["R020", "R010"]), (3, 2, False, 5, 0, 0, ["R001"]), (3, 3, True, 0, 0, 0, []),
+        (4, 5, None, None, None, None, None), (5, 0, True, 1, 1, 0, ["R020", "R011"]), (5, 1, True, 1, 1, 0, ["R022", "R011"]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, parsed boolean, n_error int, n_warn int, n_null int, rules array<string>")
+    got = {r["doc_id"]: tuple(r)[1:] for r in attempts.repaired(df, most_repairs=2).collect()}
+    assert got == {
+        1: (["extract"], 1, 0, 0, 3, [], 1), 2: (["extract", "re_extract", "repair"], 3, 2, 0, 0, ["R001", "R010", "R012"], 0),
+        3: (["extract", "repair", "repair"], 1, 0, 1, 0, [], 1), 4: (["extract"], 1, 5, 0, 0, [], 0), 5: (["extract", "repair"], 1, 0, 1, 1, [], 0),
+    }
