@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,19 @@ def held(rows: DataFrame, label: str) -> DataFrame:
     path = new_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def holding(rows: DataFrame, label: str) -> Iterator[DataFrame]:
+    """rows as held() gives them, until the block ends; then their folder goes, so what leaves the block must be written."""
+    path = new_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    try:
+        yield rows.sparkSession.read.schema(rows.schema).parquet(path)
+    finally:
+        delete_path(rows.sparkSession, path)
