@@ -9,7 +9,9 @@ from ..operators import persist
 from ..sources.adapters import frame, sql
 from ..sources.shared import new_path
 from ..sources.store import Store
+from ..streaming import leases, queue
 from .record_queries import _LEAVES, _PREDICTED, _predicted, nested
+from .review_queries import _stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,3 +99,27 @@ def outcomes_saved(spark, sf_dir):
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_items",)], F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), ","), F.lit("")).alias("lines"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_findings", "n_runs")], "task_state", "task_priority",
     )
+
+
+# --- jobs lent to workers ---
+_JOBS = """with recursive ev as (select receipt_id as job_id, case action when 'claim' then 'take' when 'close' then 'done' else action end as kind, ts, row_number() over (partition by receipt_id order by ts, event_id) as n from v_queue_events where action in ('enqueue', 'claim', 'close')),
+st as (select job_id, cast(0 as bigint) as n, cast(null as varchar) as status, cast(null as timestamp) as until, 0 as taken, 0 as requeued, 0 as landed, 0 as dups, 0 as stale from ev where n = 1
+ union all select job_id, n, case when kind = 'enqueue' and now is null then 'queued' when kind = 'take' and now = 'queued' then 'taken' when kind = 'done' and now in ('queued', 'taken') then 'done' else now end,
+  case when kind = 'take' and now = 'queued' then ts + interval 900 second when kind = 'done' and now in ('queued', 'taken') then null when over then null else until end,
+  taken + case when kind = 'take' and now = 'queued' then 1 else 0 end, requeued + over::int, landed + case when kind = 'done' and now in ('queued', 'taken') then 1 else 0 end, dups + case when kind = 'enqueue' and now is not null then 1 else 0 end,
+  stale + case when kind = 'take' and now is distinct from 'queued' or kind = 'done' and coalesce(now, '-') not in ('queued', 'taken') then 1 else 0 end
+ from (select s.job_id, e.n, e.kind, e.ts, s.until, s.taken, s.requeued, s.landed, s.dups, s.stale, coalesce(s.status = 'taken' and s.until < e.ts, false) as over, case when s.status = 'taken' and s.until < e.ts then 'queued' else s.status end as now
+  from st s join ev e on e.job_id = s.job_id and e.n = s.n + 1) x),
+la as (select *, row_number() over (partition by job_id order by n desc) as k from st)"""
+
+
+@query("stream_leases", _JOBS + """ select job_id, cast(taken as bigint) as n_taken, cast(requeued + coalesce(status = 'taken' and until < (select max(ts) from ev), false)::int as bigint) as n_requeued,
+ cast(landed as bigint) as n_landed, cast(dups as bigint) as n_duplicate, cast(stale as bigint) as n_stale from la where k = 1""")
+def stream_leases(spark, sf_dir):
+    """What became of each job of the queue's events as a stream: how often it was taken, taken back after 900 seconds, and done."""
+    kind = F.create_map(*[F.lit(x) for x in ("enqueue", "enqueue", "claim", "take", "close", "done")])
+    events = _stream(spark, sf_dir).select(F.col("receipt_id").alias("job_id"), "event_id", "ts", F.try_element_at(kind, F.col("action")).alias("kind"), F.col("user_id").alias("worker"), F.lit("done").alias("result")).where("kind is not null")
+    with leases.rocks(spark):
+        out = queue.run_to_table(leases.lease_events(events), new_path(spark, "leases"), "append")
+    count = lambda e: F.count_if(F.col("event") == e)
+    return out.groupBy("job_id").agg(count("taken").alias("n_taken"), count("requeued").alias("n_requeued"), count("landed").alias("n_landed"), count("duplicate").alias("n_duplicate"), count("stale").alias("n_stale"))
