@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import persist
+from ..operators import persist, repeats
 from ..sources.adapters import frame, sql
 from ..sources.shared import new_path
 from ..sources.store import Store
@@ -123,3 +123,50 @@ def stream_leases(spark, sf_dir):
         out = queue.run_to_table(leases.lease_events(events), new_path(spark, "leases"), "append")
     count = lambda e: F.count_if(F.col("event") == e)
     return out.groupBy("job_id").agg(count("taken").alias("n_taken"), count("requeued").alias("n_requeued"), count("landed").alias("n_landed"), count("duplicate").alias("n_duplicate"), count("stale").alias("n_stale"))
+
+
+# --- results of repeats as files ---
+_RUNS = """with e as (select *, cast(doc_id // 1000 as bigint) as run from v_eval),
+r as (select run, repeat_no, count(*) as n, count(*) filter (confidence < 0.05) as failed, count(*) filter (critical_correct) as good, count(*) filter (confidence >= 0.85) as up, count(*) filter (confidence >= 0.85 and critical_correct) as right_up from e group by all),
+m as (select run, repeat_no, unnest([{'key': 'accuracy', 'v': good / n, 'said': true}, {'key': 'precision', 'v': case when up > 2 then right_up / up end, 'said': up > 2}, {'key': 'n', 'v': cast(n as double), 'said': true}, {'key': 'never', 'v': null, 'said': false},
+  {'key': 'cost', 'v': null, 'said': true}, {'key': 'flag', 'v': null, 'said': true}, {'key': 'mixed', 'v': case when repeat_no = 0 then cast(good as double) end, 'said': repeat_no < 3}, {'key': 'some', 'v': case when repeat_no % 2 = 0 then cast(up as double) end, 'said': repeat_no % 2 = 0}], recursive := true) from r),
+nr as (select run, count(*) as repeats from r group by run),
+sp as (select m.run, key, min(v) as min, max(v) as max, quantile_disc(v, 0.5) as median, count(v) as n, max(repeats) - count(*) filter (said) as n_null, count(*) filter (said) as said from m join nr on nr.run = m.run group by all)"""
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    """The newest results file of every repeat of every run; of some repeats an older file lies beside it."""
+    rows = frame(spark, sf_dir, "v_eval").withColumn("run", F.floor(F.col("doc_id") / 1000))
+    up = F.col("confidence") >= F.lit("0.85").cast("decimal(4,3)")
+    n = rows.groupBy("run", "repeat_no").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") < F.lit("0.05").cast("decimal(4,3)")).alias("failed"), F.count_if("critical_correct").alias("good"), F.count_if(up).alias("up"),
+        F.count_if(up & F.col("critical_correct")).alias("right_up"), F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("receipt_id")))).alias("results"),
+    )
+    k, c = F.col("repeat_no"), F.col
+    mixed = F.when(k == 0, c("good").cast("string")).when(k < 3, F.lit('"three"')).otherwise(F.lit("null"))
+    metrics = F.struct(
+        (c("good") / c("n")).alias("accuracy"), F.when(c("up") > 2, c("right_up") / c("up")).alias("precision"), c("n").alias("n"), F.lit(None).cast("double").alias("never"), F.lit("1.25").alias("cost"), F.lit(True).alias("flag"),
+        F.parse_json(mixed).alias("mixed"), F.when(k % 2 == 0, c("up")).alias("some"),
+    )
+    made = n.select("run", "repeat_no", F.struct("failed").alias("counts"), metrics.alias("metrics"), "results")
+    path = new_path(spark, "results")
+    old = made.where(k % 2 == 1).withColumn("counts", F.struct((c("counts.failed") + 1).alias("failed")))
+    for part, name in ((old, "0"), (made, "1")):
+        part.repartition("run", "repeat_no").write.option("ignoreNullFields", "false").option("maxRecordsPerFile", 1).json(f"{path}/{name}")
+    files = repeats.stored_results(spark, path).where("result is not null")
+    of = lambda name: F.try_variant_get("result", f"$.{name}", "bigint").alias(name)
+    newest = repeats.newest(files.select("file_path", "modified", F.to_json("result").alias("text"), of("run"), of("repeat_no")), "run", "repeat_no")
+    return newest.select("run", "repeat_no", F.parse_json("text").alias("result"))
+
+
+@query("repeats_spread", _RUNS + " select run, key, min, max, median, n, n_null from sp where n > 0 or said = 0")
+def repeats_spread(spark, sf_dir):
+    """The spread of every metric over the repeats of each run, as their results files say it."""
+    return repeats.spread_stored(_stored(spark, sf_dir), "run")
+
+
+@query("repeats_covered", _RUNS + """, ids as (select run, string_agg(distinct cast(doc_id as varchar), ' ' order by cast(doc_id as varchar)) as scored from e group by run), om as (select run, string_agg(key, ' ' order by key) as spread_omitted from sp where not (n > 0 or said = 0) group by run)
+select r.run, count(*) as n_repeats, cast(sum(failed) as bigint) as n_failed, coalesce(max(spread_omitted), '') as spread_omitted, max(scored) as scored from r join ids on ids.run = r.run left join om on om.run = r.run group by r.run""")
+def repeats_covered(spark, sf_dir):
+    """What each run holds: repeats, failed documents, metrics without a spread, and the documents that any repeat covered."""
+    return repeats.aggregate(_stored(spark, sf_dir), "run").withColumns({c: F.array_join(c, " ") for c in ("spread_omitted", "scored")})

@@ -172,3 +172,30 @@ def test_asking_again(spark):
         1: (["extract"], 1, 0, 0, 3, [], 1), 2: (["extract", "re_extract", "repair"], 3, 2, 0, 0, ["R001", "R010", "R012"], 0),
         3: (["extract", "repair", "repair"], 1, 0, 1, 0, [], 1), 4: (["extract"], 1, 5, 0, 0, [], 0), 5: (["extract", "repair"], 1, 0, 1, 1, [], 0),
     }
+
+
+def test_spread_of_stored_results(spark):
+    from tallymere.operators import repeats
+
+    made = [{"metrics": {"a": 1, "b": None, "c": "x", "d": True, "e": 5, "g": None}, "counts": {"failed": 2}, "results": [{"receipt_id": "r2"}, {"receipt_id": "r1"}]}, {"metrics": {"a": 4.5, "b": None, "c": 2, "g": "no"}, "results": [{"receipt_id": "r1"}, {"no": 1}]}, {"metrics": {"a": 2, "b": None, "d": None}}, {}]
+    df = spark.createDataFrame([("x", json.dumps(m)) for m in made], "run string, t string").select("run", F.parse_json("t").alias("result"))
+    got = {r["key"]: tuple(r)[2:] for r in repeats.spread_stored(df, "run").collect()}
+    assert got == {"a": (1.0, 4.5, 2.0, 3, 1), "b": (None, None, None, 0, 4), "c": (2.0, 2.0, 2.0, 1, 2), "e": (5.0, 5.0, 5.0, 1, 3)}
+    assert {r["key"] for r in repeats.spread_stored(df).collect()} == set(got)
+    for by in (("run",), ()):
+        r = repeats.aggregate(df, *by).first()
+        assert (r["n_repeats"], r["n_failed"], r["spread_omitted"], r["scored"]) == (4, 2, ["d", "g"], ["r1", "r2"])
+
+
+def test_newest_results_file(spark, tmp_path):
+    import os
+
+    from tallymere.operators import repeats
+
+    for name, text, at in (("a/1.json", '{"v":1}', 100), ("a/2.json", '{"v":2}', 300), ("b/3.json", '{"v":3}', 200), ("b/4.json", '{"v":4}', 200), ("b/5.txt", '{"v":5}', 900), ("b/6.json", "[1]", 50)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (at, at))
+    files = repeats.stored_results(spark, f"file://{tmp_path}").select(F.regexp_extract("file_path", "/([ab])/", 1).alias("d"), "file_path", "modified", F.to_json("result").alias("t"))
+    assert files.where("t is null").count() == 1
+    assert {(r["d"], r["t"]) for r in repeats.newest(files, "d").collect()} == {("a", '{"v":2}'), ("b", '{"v":4}')}
