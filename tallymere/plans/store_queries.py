@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import persist, repeats
-from ..sources.adapters import frame, sql
+from ..operators import persist, repeats, rules, serialise
+from ..operators.records import records
+from ..sources.adapters import frame, sql, table
 from ..sources.shared import new_path
 from ..sources.store import Store
 from ..streaming import leases, queue
 from .record_queries import _LEAVES, _PREDICTED, _predicted, nested
-from .review_queries import _stream
+from .review_queries import _FOLD, _stream, _tasks
+from .rule_queries import RULE_SQL, _SUMS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -170,3 +172,77 @@ select r.run, count(*) as n_repeats, cast(sum(failed) as bigint) as n_failed, co
 def repeats_covered(spark, sf_dir):
     """What each run holds: repeats, failed documents, metrics without a spread, and the documents that any repeat covered."""
     return repeats.aggregate(_stored(spark, sf_dir), "run").withColumns({c: F.array_join(c, " ") for c in ("spread_omitted", "scored")})
+
+
+# --- stored rows as they are shown ---
+_MONEY = lambda c: f"cast({c} as varchar)"
+_ITEM_JSON = f"""json_object('position', position, 'description_raw', description_raw, 'sku', null, 'qty', {_MONEY('qty')}, 'unit', case when position % 3 = 0 then 'pc' end, 'unit_price', {_MONEY('unit_price')}, 'line_total', {_MONEY('line_total')}, 'is_template_row', is_template_row,
+ 'modifiers', case when modifier_amount <> 0 then json_array(json_object('label', 'promo', 'amount', {_MONEY('modifier_amount')})) else json_array() end, 'bbox', case when (doc_id + position) % 10 = 0 then json_array(0.25::double, 0.5::double) end)"""
+_CARD = "'card ************1111 of ' || doc_id"
+_FOUND = f"json_object('rule_id', '{{r}}', 'severity', '{{s}}', 'message', {_CARD}, 'context', null, 'resolved_by_repair', false)"
+
+
+@query("receipt_details", f"""with li as (select doc_id, to_json(list({_ITEM_JSON} order by position)) as lines from v_items group by doc_id),
+h as (select *, regexp_full_match(coalesce(date_text, ''), '\\d{{4}}-\\d{{2}}-\\d{{2}}') and try_cast(date_text as date) is not null as dated from v_headers),
+f as (select doc_id, list_filter([case when total is null then {_FOUND.format(r='R010', s='error')} end, case when merchant_name is null then {_FOUND.format(r='R012', s='warn')} end], lambda x: x is not null) as found from h)
+select h.doc_id, cast(json_object('id', cast(h.doc_id as varchar), 'status', v.status, 'confidence', '0.500', 'confidence_reasons', json_array(json_object('reason', 'some penalty', 'penalty', '-0.080')), 'merchant_name_raw', h.merchant_name,
+ 'buyer', json_object('name', h.buyer_name, 'tax_id', h.buyer_tax_id), 'receipt_number', 'R-' || h.doc_id, 'txn_date', case when dated then cast(try_cast(h.date_text as date) as varchar) end,
+ 'date_raw', case when not dated and coalesce(date_raw, '') = '' and h.date_text <> '' then h.date_text else date_raw end, 'txn_time', case when h.doc_id % 6 = 2 then '14:30:00' end, 'currency', h.currency,
+ 'payment_method', case h.doc_id % 3 when 0 then 'cash' when 1 then 'card' end, 'card_last4', case when h.doc_id % 3 = 1 then lpad(cast(h.doc_id % 10000 as varchar), 4, '0') end, 'is_handwritten', h.is_handwritten, 'legibility', legibility, 'duplicate_of', null,
+ 'receipt_is_inconsistent', h.doc_id % 31 = 0, 'totals', json_object('subtotal', {_MONEY('h.subtotal')}, 'tax', {_MONEY('h.tax')}, 'discount', {_MONEY('h.discount')}, 'total', {_MONEY('h.total')}, 'tender', {_MONEY('tender')}, 'change', {_MONEY('change')}),
+ 'line_items', coalesce(lines, json_array()), 'findings', to_json(found)) as varchar) as detail
+from h join v_receipts v on v.doc_id = h.doc_id join f on f.doc_id = h.doc_id left join li on li.doc_id = h.doc_id""")
+def receipt_details(spark, sf_dir):
+    """Every receipt with its lines and findings as one JSON object."""
+    rows = nested(spark, sf_dir).join(frame(spark, sf_dir, "v_receipts").select("doc_id", "status"), "doc_id")
+    first = _outcome(rows, F.col("record"), F.col("status"), F.lit(-1), "first", "0.500", F.lit(None), 1)
+    return serialise.details(persist.receipt_rows(first), persist.item_rows(first), persist.finding_rows(first))
+
+
+@query("receipt_list", """select doc_id, cast(json_object('id', cast(doc_id as varchar), 'status', status, 'confidence', cast(confidence as varchar), 'merchant_name_raw', merchant_name, 'txn_date', strftime(txn_date, '%Y-%m-%d'), 'currency', currency, 'total', cast(total as varchar)) as varchar) as summary from v_receipts""")
+def receipt_list(spark, sf_dir):
+    return frame(spark, sf_dir, "v_receipts").withColumnRenamed("merchant_name", "merchant_name_raw").select("doc_id", serialise.as_json(serialise.summary()).alias("summary"))
+
+
+@query("corrections_pages", f"""{_FOLD}, asks as (select distinct user_id, receipt_id from v_queue_events where user_id is not null),
+c as (select *, row_number() over (partition by doc_id order by seq, path, new_value) as k from (select distinct * from v_corrections)),
+p as (select doc_id, count(*) as n, to_json(list(json_object('field_path', path, 'value_before', null, 'value_after', new_value, 'corrected_by', 'r' || seq) order by k) filter (k <= 3)) as rows from c group by doc_id),
+a as (select asks.*, case when o_orderkey is null then 404 when asks.user_id % 10 <> 0 and tk.assigned_to is distinct from asks.user_id then 403 else 200 end as code from asks left join (select distinct o_orderkey from {{orders}}) o on o_orderkey = asks.receipt_id left join tk on tk.receipt_id = asks.receipt_id)
+select user_id, a.receipt_id as doc_id, code, case when code = 200 then coalesce(cast(rows as varchar), '[]') end as corrections, case when code = 200 then coalesce(n, 0) > 3 end as has_more from a left join p on p.doc_id = a.receipt_id""")
+def corrections_pages(spark, sf_dir):
+    """The first page of three corrections that each asking user gets of a receipt: admins (ids that end in 0) see all, others what
+    they hold now; unseen receipts (null) are told from those without corrections (an empty list)."""
+    asks = frame(spark, sf_dir, "v_queue_events").where("user_id is not null").select("user_id", F.col("receipt_id").alias("doc_id")).distinct()
+    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(True).alias("known")).distinct()
+    held = _tasks(spark, sf_dir).select(F.col("receipt_id").alias("doc_id"), "assigned_to")
+    allowed = (F.col("user_id") % 10 == 0) | F.col("assigned_to").eqNullSafe(F.col("user_id"))
+    all_ = asks.join(known, "doc_id", "left").join(held, "doc_id", "left").withColumn("allowed", allowed)
+    rows = frame(spark, sf_dir, "v_corrections").distinct()
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "path", "new_value"))
+    by = F.concat(F.lit("r"), F.col("seq").cast("string"))
+    audit = rows.select("doc_id", n.alias("n"), "path", F.lit(None).cast("string").alias("value_before"), F.col("new_value").alias("value_after"), by.alias("corrected_by"))
+    return serialise.correction_pages(all_.select("user_id", "doc_id", "known", "allowed"), audit, limit=3)
+
+
+_FEW = ("R010", "R011", "R012", "R014")
+_PATHS = {"R010": "totals.total", "R011": "receipt.date", "R012": "merchant.name", "R014": "buyer.name"}
+
+
+@query("findings_lookups", f"with {_SUMS}, f as (" + " union all ".join(f"select doc_id, '{r}' as rule_id, severity, '{_PATHS[r]}' as path from ({RULE_SQL[r]})" for r in _FEW) + """)
+select o_orderkey as doc_id, cast(count(*) filter (severity = 'error') as int) as n_error, cast(count(*) filter (severity = 'warn') as int) as n_warn, coalesce(bool_or(rule_id = 'R010'), false) as no_total, coalesce(string_agg(rule_id, ' ') filter (path = 'merchant.name'), '') as on_merchant
+from (select distinct o_orderkey from {orders}) o left join f on f.doc_id = o_orderkey group by o_orderkey""")
+def findings_lookups(spark, sf_dir):
+    """Findings looked up by severity, by rule and by the path that they touch."""
+    found = rules.with_findings(records(spark, sf_dir), only=_FEW)
+    ids = lambda fs: F.array_join(F.transform(fs, lambda f: f["rule_id"]), " ")
+    size = lambda s: F.size(serialise.by_severity("findings", s))
+    return found.select("doc_id", size("error").alias("n_error"), size("warn").alias("n_warn"), serialise.fired("findings", "R010").alias("no_total"), ids(serialise.touching("findings", "merchant.name")).alias("on_merchant"))
+
+
+@query("findings_stored", _SAVED + f""", n0 as (select doc_id, total is null as t, merchant_name is null as m from v_headers where doc_id % 3 <> 1),
+al2 as (select b.doc_id, concat_ws(' ', case when n0.t then 'R010' end, case when n0.m then 'R012' end, case when fresh and total is null then 'R010' end, case when fresh and name is null then 'R012' end) as rules from b left join n0 on n0.doc_id = b.doc_id)
+select doc_id, rules from al2 where rules <> ''""")
+def findings_stored(spark, sf_dir):
+    """The stored findings of each document, the oldest first."""
+    by = _saved(spark, sf_dir).read("findings").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("commit_no", "seq", "rule_id"))).alias("f"))
+    return by.select("doc_id", F.array_join(F.transform("f", lambda x: x["rule_id"]), " ").alias("rules"))
