@@ -10,11 +10,25 @@ from .text import strip
 _ISO = r"^(?:\d{4}-\d{2}-\d{2}|\d{8})$"
 
 
+#: A year, a week and perhaps a day of it, with or without dashes.
+_WEEK = r"^(\d{4})(?:-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)$"
+
+
+def _week_date(s: Column) -> Column:
+    """The day of an ISO week: the first week has 4 January in it, weeks begin on Monday; a week that the year lacks is none."""
+    part = lambda k: F.nullif(F.regexp_extract(s, _WEEK, k), F.lit("")).try_cast("int")
+    week, day = F.coalesce(part(2), part(4)), F.coalesce(part(3), part(5), F.lit(1))
+    first = F.trunc(F.try_to_date(F.concat(F.regexp_extract(s, _WEEK, 1), F.lit("-01-04")), "yyyy-MM-dd"), "week")
+    found = F.date_add(first, (week - 1) * 7 + day - 1)
+    return F.when((week >= 1) & day.between(1, 7) & (F.weekofyear(found) == week), found)
+
+
 def strict_iso(text: Column) -> Column:
-    """A calendar date written YYYY-MM-DD or YYYYMMDD (white space around it is allowed), else null."""
+    """A calendar date written YYYY-MM-DD or YYYYMMDD, or as an ISO week with or without its day (YYYY-Www-D); white space
+    around it is allowed. Else null."""
     s = strip(text)
     dashed = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    return F.when(F.regexp_like(s, F.lit(_ISO)), F.try_to_date(dashed, "yyyy-MM-dd"))
+    return F.when(F.regexp_like(s, F.lit(_ISO)), F.try_to_date(dashed, "yyyy-MM-dd")).when(F.regexp_like(s, F.lit(_WEEK)), _week_date(s))
 
 
 def full_year(two: Column, reference_year: int) -> Column:

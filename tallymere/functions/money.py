@@ -97,3 +97,8 @@ def money_text(value: Column) -> Column:
     """Whole amounts without decimals, others with two or as many as they need; a missing one as the word null."""
     text = value.cast("decimal(28,8)").cast("string")
     return F.when(value.isNull(), "null").when(value == F.floor(value), F.floor(value).cast("decimal(28,0)").cast("string")).otherwise(F.regexp_replace(text, r"(?<=\.\d{2})(\d*?)0+$", "$1"))
+
+
+def quantized(value: Column, places: int = 2) -> Column:
+    """Rounded half up, for showing only: a rounded value must not be checked against others."""
+    return F.round(value, places)

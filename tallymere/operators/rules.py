@@ -153,10 +153,18 @@ def _sum_fits_none(c: RuleConfig, rule_id: str, net: Column, gross: Column) -> C
     return usable & F.col("_line_sum").isNotNull() & ~fits
 
 
+def _compared(*figures: tuple[str, Column, Column]) -> Column:
+    """Each figure that the lines' sum was held against (name, whether it counts, value), with its own difference."""
+    said = lambda name, value: F.concat(F.lit(f"{name} "), money_text(value), F.lit(" differs by "), money_text(F.col("_line_sum") - value))
+    return F.array_join(F.array_compact(F.array(*[F.when(counts, said(name, value)) for name, counts, value in figures])), "; ")
+
+
 @rule("R020", "error", "The lines add up to the subtotal, or to the total where they include tax.")
 def _r020(c):
     fires = F.col("subtotal").isNotNull() & _sum_fits_none(c, "R020", F.col("subtotal"), F.col("total"))
-    return one(fires, finding("R020", "error", F.concat(F.lit("the lines add up to "), money_text(F.col("_line_sum")), F.lit(", which is no printed figure")), "line_items", "totals.subtotal", "totals.total"))
+    (net, subtotal), (gross, total) = _readings(F.col("subtotal"), F.col("total"))
+    said = F.concat(F.lit("the lines add up to "), money_text(F.col("_line_sum")), F.lit(": "), _compared(("the subtotal", net, subtotal), ("the total", gross, total)))
+    return one(fires, finding("R020", "error", said, "line_items", "totals.subtotal", "totals.total"))
 
 
 @rule("R021", "error", "Quantity times price is the line's total.")
@@ -183,7 +191,10 @@ def _r023(c):
 def _r024(c):
     zero = F.lit(0).cast("decimal(14,4)")
     net = F.col("total") - F.coalesce("tax", zero) + F.abs(F.coalesce("discount", zero))
-    return one(F.col("subtotal").isNull() & F.col("total").isNotNull() & _sum_fits_none(c, "R024", net, F.col("total")), finding("R024", "warn", "the lines don't lead to the total", "line_items", "totals.total"))
+    fires = F.col("subtotal").isNull() & F.col("total").isNotNull() & _sum_fits_none(c, "R024", net, F.col("total"))
+    (by_net, before), (by_gross, total) = _readings(net, F.col("total"))
+    said = F.concat(F.lit("the lines add up to "), money_text(F.col("_line_sum")), F.lit(": "), _compared(("the total before tax", by_net, before), ("the total", by_gross, total)))
+    return one(fires, finding("R024", "warn", said, "line_items", "totals.total"))
 
 
 @rule("R025", "warn", "The tax bands add up to the tax.")

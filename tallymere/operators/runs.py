@@ -59,9 +59,11 @@ def same_currency(a: Column, b: Column) -> Column:
     return plain(a) == plain(b)
 
 
-def retry_wait(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
-    """Seconds before the next try at full jitter; half of it is the least."""
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+def retry_wait(attempt: Column, chance: Column | None = None, base: float = 1.0, most: float = 30.0) -> Column:
+    """Seconds before the next try: doubled each time up to `most`, then spread by chance (0 to 1) over its upper half, so that
+    callers that failed together don't come back together. Without a chance, the whole of it."""
+    wait = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+    return wait if chance is None else wait * (F.lit(0.5) + chance / 2)
 
 
 def sort_key(path: Column) -> Column:

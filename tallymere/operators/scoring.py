@@ -19,6 +19,14 @@ PER_DISPUTE, CAP_DISPUTE = "-0.06", "-0.30"
 PRIOR_LEAST, PRIOR_BONUS = 10, "0.05"
 AUTO_APPROVE, QUICK_REVIEW = "0.85", "0.60"
 
+# The texts of reasons and routes, which are stored with a document and must read alike; numbers go before them.
+REASONS = {
+    "errors": "validation errors present", "warnings": " warning finding(s)", "legibility": "legibility: ", "issues": " triage issue(s)", "handwritten": "handwritten receipt",
+    "ambiguous": " ambiguous field(s)", "no_total": "total is missing", "no_date": "date is missing", "no_merchant": "merchant name is missing",
+    "disputed": " disputed field(s) across consistency runs", "prior": "verified merchant prior",
+}
+ROUTES = {"urgent": "urgent: validation errors and total is missing", "approved": "auto-approved at confidence ", "quick": "quick verify", "full": "full re-key"}
+
 _P = "decimal(6,3)"
 
 
@@ -33,19 +41,19 @@ def signals(prior: Column | None = None) -> Column:
     some = lambda on, penalty: F.when(F.coalesce(on, F.lit(False)), penalty.cast(_P))
     said = lambda n, what: F.concat(n.cast("string"), F.lit(what))
     rows = [
-        (F.lit("validation errors present"), some(count_of("error") > 0, dec(ANY_ERROR))),
-        (said(warns, " warning finding(s)"), some(warns > 0, capped(PER_WARN, warns, CAP_WARN))),
-        *[(F.lit(f"legibility: {k}"), some(F.col("legibility") == k, dec(v))) for k, v in LEGIBILITY.items()],
-        (said(F.col("n_issues"), " triage issue(s)"), some(F.col("n_issues") > 0, capped(PER_ISSUE, F.col("n_issues"), CAP_ISSUES))),
-        (F.lit("handwritten receipt"), some(F.col("is_handwritten"), dec(HANDWRITTEN))),
-        (said(F.col("n_ambiguous"), " ambiguous field(s)"), some(F.col("n_ambiguous") > 0, capped(PER_AMBIGUOUS, F.col("n_ambiguous"), CAP_AMBIGUOUS))),
-        (F.lit("total is missing"), some(F.col("total").isNull(), dec(NO_TOTAL))),
-        (F.lit("date is missing"), some(F.col("date_text").isNull(), dec(NO_DATE))),
-        (F.lit("merchant name is missing"), some(F.col("merchant_name").isNull(), dec(NO_MERCHANT))),
-        (said(disputes, " disputed field(s) across consistency runs"), some(disputes > 0, capped(PER_DISPUTE, disputes, CAP_DISPUTE))),
+        (F.lit(REASONS["errors"]), some(count_of("error") > 0, dec(ANY_ERROR))),
+        (said(warns, REASONS["warnings"]), some(warns > 0, capped(PER_WARN, warns, CAP_WARN))),
+        *[(F.lit(REASONS["legibility"] + k), some(F.col("legibility") == k, dec(v))) for k, v in LEGIBILITY.items()],
+        (said(F.col("n_issues"), REASONS["issues"]), some(F.col("n_issues") > 0, capped(PER_ISSUE, F.col("n_issues"), CAP_ISSUES))),
+        (F.lit(REASONS["handwritten"]), some(F.col("is_handwritten"), dec(HANDWRITTEN))),
+        (said(F.col("n_ambiguous"), REASONS["ambiguous"]), some(F.col("n_ambiguous") > 0, capped(PER_AMBIGUOUS, F.col("n_ambiguous"), CAP_AMBIGUOUS))),
+        (F.lit(REASONS["no_total"]), some(F.col("total").isNull(), dec(NO_TOTAL))),
+        (F.lit(REASONS["no_date"]), some(F.col("date_text").isNull(), dec(NO_DATE))),
+        (F.lit(REASONS["no_merchant"]), some(F.col("merchant_name").isNull(), dec(NO_MERCHANT))),
+        (said(disputes, REASONS["disputed"]), some(disputes > 0, capped(PER_DISPUTE, disputes, CAP_DISPUTE))),
     ]
     if prior is not None:
-        rows.append((F.lit("verified merchant prior"), some(prior >= PRIOR_LEAST, dec(PRIOR_BONUS))))
+        rows.append((F.lit(REASONS["prior"]), some(prior >= PRIOR_LEAST, dec(PRIOR_BONUS))))
     return F.filter(F.array(*[F.struct(reason.alias("reason"), penalty.alias("penalty")) for reason, penalty in rows]), lambda s: s["penalty"].isNotNull())
 
 
@@ -58,10 +66,10 @@ def route(score: Column, has_errors: Column, total: Column, auto: str = AUTO_APP
     """struct(status, priority, reason); a smaller priority is worked sooner, -1 is no review."""
     made = lambda status, priority, reason: F.struct(F.lit(status).alias("status"), F.lit(priority).alias("priority"), reason.alias("reason"))
     return (
-        F.when(has_errors & total.isNull(), made("needs_review", 0, F.lit("urgent: validation errors and total is missing")))
-        .when(score >= dec(auto), made("auto_approved", -1, F.concat(F.lit("auto-approved at confidence "), score.cast("string"))))
-        .when(score >= dec(review), made("needs_review", 2, F.lit("quick verify")))
-        .otherwise(made("needs_review", 1, F.lit("full re-key")))
+        F.when(has_errors & total.isNull(), made("needs_review", 0, F.lit(ROUTES["urgent"])))
+        .when(score >= dec(auto), made("auto_approved", -1, F.concat(F.lit(ROUTES["approved"]), score.cast("string"))))
+        .when(score >= dec(review), made("needs_review", 2, F.lit(ROUTES["quick"])))
+        .otherwise(made("needs_review", 1, F.lit(ROUTES["full"])))
     )
 
 

@@ -112,3 +112,41 @@ def test_money_text(spark):
     rows = [("12.5000", "12.50"), ("12.0000", "12"), ("0.1250", "0.125"), ("-3.1000", "-3.10"), (None, "null"), ("1000000.0000", "1000000")]
     df = spark.createDataFrame(rows, "v string, want string").select(money.money_text(F.col("v").cast("decimal(14,4)")).alias("got"), "want")
     assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_iso_weeks_like_the_standard_library(spark):
+    from datetime import date
+
+    from tallymere.functions import dates
+
+    texts = ["2026-W13-6", "2026W136", "2026-W13", "2026W13", "2020-W53-7", "2021-W53-1", "2026-W00-1", "2026-W01-1", "2026-W01-8", "2026-W13-0", " 2015-W53-4 ", "2026-W1-1", "2026W13-6", "2026-02-29", "20260228", "0001-W01-1"]
+
+    def want(t):
+        try:
+            return date.fromisoformat(t.strip())
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", dates.strict_iso(F.col("t")).alias("d")).collect()} == {t: want(t) for t in texts}
+
+
+def test_rounding_for_show_and_waits(spark):
+    from decimal import Decimal as D
+
+    from tallymere.functions import money
+    from tallymere.operators import runs
+
+    df = spark.createDataFrame([(D("1.0050"), 1, 0.0), (D("-2.5550"), 3, 1.0), (None, 9, 0.5)], "v decimal(14,4), n int, u double")
+    rows = df.select(money.quantized(F.col("v")), runs.retry_wait(F.col("n")), runs.retry_wait(F.col("n"), F.col("u"))).collect()
+    assert [tuple(r) for r in rows] == [(D("1.01"), 1.0, 0.5), (D("-2.56"), 4.0, 4.0), (None, 30.0, 22.5)]
+
+
+def test_sums_name_what_they_were_held_against(spark):
+    from tallymere.operators import rules
+
+    df = spark.createDataFrame([("10.5000", "11.0000", "12.0000", None), ("10.5000", "11.0000", "12.0000", True), ("10.5000", "11.0000", None, None)], "s string, a string, b string, incl boolean")
+    c = df.select(*[F.col(x).cast("decimal(14,4)").alias(n) for x, n in (("s", "_line_sum"), ("a", "subtotal"), ("b", "total"))], F.col("incl").alias("prices_include_tax"))
+    (net, sub), (gross, total) = rules._readings(F.col("subtotal"), F.col("total"))
+    got = [r[0] for r in c.select(rules._compared(("the subtotal", net, sub), ("the total", gross, total))).collect()]
+    assert got == ["the subtotal 11 differs by -0.50; the total 12 differs by -1.50", "the total 12 differs by -1.50", "the subtotal 11 differs by -0.50"]
