@@ -28,7 +28,7 @@ def distance(a: Column, b: Column) -> Column:
 def near_pairs(hashes: DataFrame, most: int = 5) -> DataFrame:
     """(a, b, distance), a < b: pairs of ids whose 64-bit hashes differ in `most` bits at most.
 
-    With most + 1 bands, two such hashes have an equal band, so equal bands are joined, not all pairs; a pair that
+    Equal hashes are pairs too: where many images may share one, give each hash once (class_pairs). With most + 1 bands, two such hashes have an equal band, so equal bands are joined, not all pairs; a pair that
     meets in several bands is taken in the first of them, without a distinct. Bands that very many images share are
     split by adaptive execution.
     """
@@ -43,12 +43,47 @@ def near_pairs(hashes: DataFrame, most: int = 5) -> DataFrame:
     return joined.where((first == F.col("a.band")) & (d <= most)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance"))
 
 
-def first_match(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """For each later image the earliest near one: (id, duplicate_of). order: (id, created)."""
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """(id, hash, n): of each hash the smallest id that has it, and how many have it. Counts are combined before the shuffle, so very
+    many copies of one image are one row."""
+    return hashes.groupBy("hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "hash", "n")
+
+
+def class_members(hashes: DataFrame) -> DataFrame:
+    """(id, class_id): every image with the smallest id of its hash. Dealt anew by the hash, so that many copies of one are split."""
+    classes = hash_classes(hashes).select(F.col("hash").alias("_hash"), F.col("id").alias("class_id"))
+    return hashes.join(classes.hint("merge"), F.bitwise_not("hash") == F.bitwise_not("_hash")).select("id", "class_id")
+
+
+def class_pairs(hashes: DataFrame, most: int = 5) -> DataFrame:
+    """(a, b, distance, n_a, n_b), a < b: pairs of different hashes that are near, by the smallest ids that have them, and how many
+    images have each. With class_members these are all near pairs, and copies aren't multiplied out."""
+    classes = hash_classes(hashes)
+    size = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    return near_pairs(classes, most).join(size("a"), "a").join(size("b"), "b").select("a", "b", "distance", "n_a", "n_b")
+
+
+def distance_counts(hashes: DataFrame, most: int = 5) -> DataFrame:
+    """(distance, n): how many pairs of images are at each distance up to `most`, counted by classes."""
+    between = class_pairs(hashes, most).select("distance", (F.col("n_a") * F.col("n_b")).alias("n"))
+    inside = hash_classes(hashes).where("n > 1").select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("n"))
+    return between.union(inside).groupBy("distance").agg(F.sum("n").alias("n"))
+
+
+def first_match(hashes: DataFrame, most: int = 5) -> DataFrame:
+    """(id, duplicate_of): for each image of (id, hash, created) the earliest near one, where that is earlier than itself.
+
+    The earliest of a class stands for it, so a class meets its near classes once, however many copies they have.
+    """
+    me = F.struct("created", "id")
+    classes = hashes.groupBy("hash").agg(F.min("id").alias("id"), F.min(me).alias("first"))
+    pairs = near_pairs(classes.select("id", "hash"), most)
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
-    ox, oy = order.select(F.col("id").alias("x"), F.col("created").alias("cx")), order.select(F.col("id").alias("y"), F.col("created").alias("cy"))
-    earlier = both.join(ox, "x").join(oy, "y").where(F.struct("cy", "y") < F.struct("cx", "x"))
-    return earlier.groupBy("x").agg(F.min(F.struct("cy", "y")).alias("m")).select(F.col("x").alias("id"), F.col("m.y").alias("duplicate_of"))
+    firsts = classes.select(F.col("id").alias("y"), F.col("first"))
+    near = both.join(firsts, "y").groupBy("x").agg(F.min("first").alias("near"))
+    best = classes.join(near, classes["id"] == near["x"], "left").select(F.col("hash").alias("_hash"), F.least("first", F.coalesce("near", "first")).alias("best"))
+    found = hashes.join(best.hint("merge"), F.bitwise_not("hash") == F.bitwise_not("_hash"))
+    return found.where(F.col("best") < me).select("id", F.col("best.id").alias("duplicate_of"))
 
 
 def semantic_duplicates(receipts: DataFrame, null_merchants_match: bool = False) -> DataFrame:

@@ -109,13 +109,25 @@ def phash_near_dups(spark, sf_dir):
 @query("phash_first_match", f"{_PAIRS}, m as (select b as id, min(a) as duplicate_of from n group by b) select m.id, duplicate_of from m join h on h.id = m.id where status = 'pending'")
 def phash_first_match(spark, sf_dir):
     h = _hashes(spark, sf_dir)
-    found = dedupe.first_match(dedupe.near_pairs(h), h.select("id", F.lit(0).alias("created")))
+    found = dedupe.first_match(h.select("id", "hash", F.lit(0).alias("created")))
     return found.join(h.where("status = 'pending'").select("id"), "id", "left_semi")
 
 
 @query("hamming_histogram", f"{_PAIRS} select distance, count(*) as n from n group by distance")
 def hamming_histogram(spark, sf_dir):
-    return phash_near_dups(spark, sf_dir).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+    return dedupe.distance_counts(_hashes(spark, sf_dir)).select(F.col("distance").cast("int").alias("distance"), "n")
+
+
+@query("phash_members", f"{_PAIRS}, e as (select id, min(other) as class_id from (select id, id as other from h union all select b, a from n where distance = 0) group by id) select id, class_id from e")
+def phash_members(spark, sf_dir):
+    """Every image with the smallest id that has its hash."""
+    return dedupe.class_members(_hashes(spark, sf_dir))
+
+
+@query("phash_class_pairs", f"{_PAIRS}, e as (select id, min(other) as class_id from (select id, id as other from h union all select b, a from n where distance = 0) group by id), c as (select class_id, count(*) as n from e group by class_id) select a, b, distance, ca.n as n_a, cb.n as n_b from n join c ca on ca.class_id = a join c cb on cb.class_id = b where distance > 0")
+def phash_class_pairs(spark, sf_dir):
+    """Near pairs of different hashes, each hash by its smallest image; with phash_members these are all near pairs."""
+    return dedupe.class_pairs(_hashes(spark, sf_dir)).withColumn("distance", F.col("distance").cast("int"))
 
 
 _SEM = "select doc_id, first as duplicate_of from (select *, first_value(doc_id) over (partition by merchant_id, txn_date, total order by created_rank, doc_id) as first from v_receipts_dup where txn_date is not null and total is not null{}) t where doc_id <> first"

@@ -34,7 +34,9 @@ def queue_updates(events: DataFrame) -> DataFrame:
         state.update((*row, int(n)))
         yield pd.DataFrame([(key[0], *row, int(n))], columns=["receipt_id", *names, "n_events"]).astype({"priority": "Int64", "assigned_to": "Int64", "opened_at": "datetime64[ns]", "closed_at": "datetime64[ns]"})
 
-    return events.groupBy("receipt_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    # Pandas makes floats of whole numbers beside nulls; as text an id keeps all its digits.
+    exact = events.withColumn("user_id", F.col("user_id").cast("string"))
+    return exact.groupBy("receipt_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def taken_once(jobs: DataFrame, time_col: str = "ts", within: str = "1 day", id_col: str = "receipt_id") -> DataFrame:

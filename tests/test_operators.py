@@ -209,3 +209,44 @@ def test_long_chains_and_hubs_of_links(spark):
     links = [(k, k + 1) for k in range(1, 300)] + [(1000 + k, 300) for k in range(200)] + [(2000, 2001), (2001, 2002), (2002, 2001)]
     roots = {r["id"]: (r["root"], r["hops"], r["cyclic"]) for r in dedupe.link_roots(spark.createDataFrame(links, "id long, target long")).collect()}
     assert roots == {**{k: (300, 300 - k, False) for k in range(1, 300)}, **{1000 + k: (300, 1, False) for k in range(200)}, **{k: (None, None, True) for k in (2000, 2001, 2002)}}
+
+
+def test_many_copies_of_one_image(spark):
+    """Classes, their members and their pairs are all near pairs, and first matches those of all images, without multiplying copies."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    hashes = [base[0]] * 40 + [base[0] ^ 1] * 30 + [base[1], base[1] ^ 3, base[2], base[3]] + [base[4], base[4]]
+    rng.shuffle(hashes)
+    rows = [(k * 3 + 1, h, rng.randint(0, 4)) for k, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows, "id long, hash long, created int")
+    near = {(a, b): (x ^ y).bit_count() for a, x, _ in rows for b, y, _ in rows if a < b and (x ^ y).bit_count() <= 5}
+    member = {r["id"]: r["class_id"] for r in dedupe.class_members(df.select("id", "hash")).collect()}
+    pairs = {(r["a"], r["b"]): r for r in dedupe.class_pairs(df.select("id", "hash")).collect()}
+    told = {(a, b): 0 if member[a] == member[b] else pairs[tuple(sorted((member[a], member[b])))]["distance"] for a, b in near}
+    assert told == near and sum(r["n_a"] * r["n_b"] for r in pairs.values()) == sum(d > 0 for d in near.values())
+    counts = {r["distance"]: r["n"] for r in dedupe.distance_counts(df.select("id", "hash")).collect()}
+    assert counts == {d: list(near.values()).count(d) for d in set(near.values())}
+    key = {i: (c, i) for i, _, c in rows}
+    close = {i: [j for j in key if (min(i, j), max(i, j)) in near] for i in key}
+    want = {i: min(close[i], key=key.get) for i in key if close[i] and min(key[j] for j in close[i]) < key[i]}
+    assert {r["id"]: r["duplicate_of"] for r in dedupe.first_match(df).collect()} == want
+
+
+def test_null_users_and_priorities_in_both_folds(spark, tmp_path):
+    from tallymere.streaming import queue
+
+    at = datetime(2026, 1, 1)
+    rows = [(1, 0, "enqueue", None, 2), (1, 1, "enqueue", None, None), (1, 2, "claim", None, 1), (1, 3, "claim", 2**60 + 1, None), (2, 0, "enqueue", 5, None), (2, 1, "enqueue", None, 1), (3, 4, "claim", 5, 1), (3, 5, "enqueue", None, None), (3, 6, "close", None, None)]
+    df = spark.createDataFrame([(r, at + timedelta(seconds=s), n, a, u, p) for n, (r, s, a, u, p) in enumerate(rows)], "receipt_id long, ts timestamp, event_id long, action string, user_id long, priority int")
+    want = {1: ("in_progress", 2, 2**60 + 1), 2: ("open", 1, None), 3: ("done", None, None)}
+    assert {r["receipt_id"]: (r["state"], r["priority"], r["assigned_to"]) for r in review.fold_events(df).collect()} == want
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    out = queue.run_to_table(queue.queue_updates(stream), f"file://{tmp_path}/out", "update").collect()
+    assert {r["receipt_id"]: (r["state"], r["priority"], r["assigned_to"]) for r in out} == want
+
+
+def test_links_from_the_smallest_id(spark):
+    least = -(2**63)
+    got = {r["id"]: (r["root"], r["hops"]) for r in dedupe.link_roots(spark.createDataFrame([(least, 1), (1, 5), (7, least)], "id long, target long")).collect()}
+    assert got == {least: (5, 2), 1: (5, 1), 7: (5, 3)}
