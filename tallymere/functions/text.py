@@ -98,6 +98,11 @@ def clean_text(text: Column) -> Column:
     return _clean(nfkc(text))
 
 
+def clean_texts(texts: Column) -> Column:
+    """clean_text of an array's strings."""
+    return F.transform(nfkc_each(texts), _clean)
+
+
 def merchant_key(name: Column | str | None) -> Column:
     """The lossy name by which documents of one merchant meet: no case, punctuation, legal form or branch number. A plain
     string is a constant, folded here and not in a task."""

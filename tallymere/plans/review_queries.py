@@ -360,10 +360,13 @@ def decimal_convention_vote(spark, sf_dir):
     return v.select("grp", "votes", money.convention_from_votes(F.col("votes")).alias("convention"))
 
 
-@query("parse_date", """with t as (select doc_id, trim(date_text) as s, regexp_extract(trim(date_text), '^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})$', ['y', 'm', 'd']) as i, regexp_extract(trim(date_text), '^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{2,4})$', ['a', 'b', 't']) as x from v_text),
+PARSED_DATES = """with t as (select doc_id, trim(date_text) as s, regexp_extract(trim(date_text), '^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})$', ['y', 'm', 'd']) as i, regexp_extract(trim(date_text), '^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{2,4})$', ['a', 'b', 't']) as x from v_text),
 u as (select *, try_cast(x.a as int) as a, try_cast(x.b as int) as b, case when length(x.t) = 4 then try_cast(x.t as int) when x.t <> '' then case when 2000 + try_cast(x.t as int) - 2026 > 50 then 1900 + try_cast(x.t as int) else 2000 + try_cast(x.t as int) end end as yr from t)
 select doc_id, case when i.y <> '' then try_cast(i.y || '-' || lpad(i.m, 2, '0') || '-' || lpad(i.d, 2, '0') as date) when a > 12 and b <= 12 then try_cast(yr || '-' || lpad(b::varchar, 2, '0') || '-' || lpad(a::varchar, 2, '0') as date) when b > 12 and a <= 12 then try_cast(yr || '-' || lpad(a::varchar, 2, '0') || '-' || lpad(b::varchar, 2, '0') as date) end as date,
- coalesce(a <= 12 and b <= 12, false) as ambiguous from u""")
+ coalesce(a <= 12 and b <= 12, false) as ambiguous from u"""
+
+
+@query("parse_date", PARSED_DATES)
 def parse_date(spark, sf_dir):
     return frame(spark, sf_dir, "v_text").select("doc_id", dates.parse_date(F.col("date_text"), 2026).alias("d")).select("doc_id", "d.date", "d.ambiguous")
 

@@ -199,3 +199,43 @@ def test_newest_results_file(spark, tmp_path):
     files = repeats.stored_results(spark, f"file://{tmp_path}").select(F.regexp_extract("file_path", "/([ab])/", 1).alias("d"), "file_path", "modified", F.to_json("result").alias("t"))
     assert files.where("t is null").count() == 1
     assert {(r["d"], r["t"]) for r in repeats.newest(files, "d").collect()} == {("a", '{"v":2}'), ("b", '{"v":4}')}
+
+
+def test_requests_and_their_hashes(spark):
+    from tallymere.operators import prompts
+
+    t = prompts.Templates()
+    df = spark.createDataFrame([(None, None, [], None, "A {lines}", None, None), ("laser", 3, ["blurry", "glare"], True, "B", ["x {print}"], ['{"n":1}'])], "p string, n int, i array<string>, h boolean, m string, k array<string>, e array<string>")
+    c = F.col
+    made = prompts.extraction_prompt(c("p"), c("n"), c("i"), c("h"), c("m"), c("k"), c("e"))
+    plain, full = (r[0] for r in df.select(made).collect())
+    assert plain == t.extraction.format(hints="", examples="", print="unknown", lines="unknown", issues="nothing", handwriting="")
+    shots = t.examples.format(n=1) + t.example.format(k=1, record='{"n":1}')
+    assert full == t.extraction.format(hints=t.hints.format(merchant="B", lines="- x {print}"), examples=shots, print="laser", lines=3, issues="blurry, glare", handwriting=t.handwriting)
+    again = [r[0] for r in df.select(prompts.repair_prompt(F.struct(c("m").alias("name"), c("p").alias("x")), F.lit(" \n"))).collect()]
+    assert again[0] == t.repair.replace("{record}", '{"name":"A {lines}","x":null}').replace("{findings}", "(none)")
+    assert prompts.bundle_hash() == prompts.bundle_hash(prompts.Templates()) != prompts.bundle_hash(prompts.Templates(triage="other"))
+    schema = prompts.tool_schema()
+    line = schema["properties"]["line_items"]["items"]
+    assert line["properties"]["qty"]["type"] == ["number", "string", "null"] and line["properties"]["position"] == {"type": "integer", "default": 0}
+    assert line["properties"]["modifiers"]["items"]["required"] == ["label"] and schema["properties"]["meta"]["properties"]["legibility"]["enum"][0] == "good"
+    rung = df.select(prompts.rung_identity(F.lit("m"), F.lit(True)).alias("r")).select("r.*").first()
+    assert tuple(rung) == ("1", prompts.bundle_hash(), "m", True)
+
+
+def test_canonical_form(spark):
+    from tallymere.operators import normalise
+
+    docs = [
+        {"merchant": {"name": "Ａ\x00 b\t", "address": None}, "receipt": {"date": "03/04/2026", "currency": "$"}, "line_items": [{"position": 1, "description_raw": " é x"}, {"position": 0, "description_raw": "y"}]},
+        {"receipt": {"date": "13/04/26", "date_raw": "kept", "currency": " usd"}, "line_items": [{"position": 2, "description_raw": "p"}, {"position": 2, "description_raw": "q"}], "totals": {"total": 1.5}},
+        {"receipt": {"date": "03/04/26", "date_raw": "printed"}}, {"receipt": {"date": "soon"}},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)] + [(9, None)], "doc_id long, t string").select("doc_id", F.from_json("t", RECORD).alias("record"))
+    df = df.select("doc_id", F.when(F.col("record").isNotNull(), paths.with_defaults(F.col("record"))).alias("record"))
+    got = {r["doc_id"]: r["record"] for r in normalise.normalised(df, None, F.lit("php")).collect()}
+    assert got[0]["merchant"]["name"] == "A b" and (got[0]["receipt"]["date"], got[0]["receipt"]["date_raw"], got[0]["receipt"]["currency"]) == (None, "03/04/2026", "PHP")
+    assert [(x["position"], x["description_raw"]) for x in got[0]["line_items"]] == [(0, "y"), (1, "é x")]
+    assert (got[1]["receipt"]["date"], got[1]["receipt"]["date_raw"], got[1]["receipt"]["currency"]) == ("2026-04-13", "kept", "USD")
+    assert [(x["position"], x["description_raw"]) for x in got[1]["line_items"]] == [(0, "p"), (1, "q")] and str(got[1]["totals"]["total"]) == "1.5000"
+    assert (got[2]["receipt"]["date"], got[2]["receipt"]["date_raw"]) == (None, "printed") and got[3]["receipt"]["date"] == "soon" and got[9] is None
