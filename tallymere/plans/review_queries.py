@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..operators import corrections, evaluation, ingest, review
+from ..operators import corrections, evaluation, images, ingest, review
 from ..operators.records import purchases, records
 from ..sources.adapters import frame, sql, table
 from ..sources.shared import new_path
@@ -459,6 +459,16 @@ def dhash_bits(spark, sf_dir):
     return g.select("vec_id", ingest.difference_hash(F.col("grid")).alias("dhash"))
 
 
+@query("image_dhash")
+def image_dhash(spark, sf_dir):
+    """The hash of images of many sizes: the bytes of each page as grey values, 20 to 59 a row. No SQL; tests resample plainly."""
+    raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    sized = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 40 + 20).cast("int").alias("width"), raw.alias("raw"))
+    sized = sized.withColumn("height", F.floor(F.octet_length("raw") / F.col("width")).cast("int"))
+    found = images.with_hash(sized.select("page_id", "width", "height", F.substring("raw", F.lit(1), F.col("width") * F.col("height")).alias("pixels")).withColumn("page_id", F.struct("page_id", "width", "height")), "page_id")
+    return found.select("page_id.*", "dhash")
+
+
 # --- streams ---
 def _stream(spark, sf_dir):
     """The events table as a file stream, in the view's columns."""
