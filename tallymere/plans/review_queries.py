@@ -143,17 +143,17 @@ cl as (select *, case when tv is not null then case when f = 'is_template_row' t
 
 def _fields(spark, sf_dir):
     items = frame(spark, sf_dir, "v_items")
-    return evaluation.field_results(evaluation.flatten_items(_predicted_items(items)), evaluation.flatten_items(items))
+    return evaluation.line_leaf_results(_predicted_items(items), items)
 
 
 @query("field_accuracy", f"{_FIELDS} select class, ok, count(*) as n from cl group by class, ok")
 def field_accuracy(spark, sf_dir):
-    return _fields(spark, sf_dir).groupBy("class", "ok").agg(F.count(F.lit(1)).alias("n"))
+    return _fields(spark, sf_dir).select(F.inline("leaves")).groupBy("class", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("field_breakdown", f"{_FIELDS} select doc_id, count(*) filter (class = 'line_items' and ok) as line_items_correct, count(*) filter (class = 'line_items') as line_items_total, count(*) filter (class = 'self_report' and ok) as self_report_correct, count(*) filter (class = 'self_report') as self_report_total, count(*) filter (class = 'hallucinated') as hallucinated, count(*) filter (class = 'correctly_empty') as correctly_empty, count(*) filter (class = 'structural') as structural from cl group by doc_id")
 def field_breakdown(spark, sf_dir):
-    return evaluation.breakdown(_fields(spark, sf_dir), "doc_id").drop("core_correct", "core_total")
+    return evaluation.line_breakdown(_fields(spark, sf_dir))
 
 
 @query("flatten_paths", "select doc_id, 'totals.total' as path, cast(total as varchar) as value, 'core' as grp from v_headers union all select doc_id, 'meta.is_handwritten', cast(is_handwritten as varchar), 'self_report' from v_headers union all select doc_id, 'merchant.name', merchant_name, 'core' from v_headers")
