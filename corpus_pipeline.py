@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymere.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
-from tallymere.llm.common import new_path
+from tallymere.llm.common import delete_path, new_path
 from tallymere.llm.queries import tokenizer_path
 
 
@@ -48,9 +48,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """doc_id, n_tokens and ids of the documents that all stages keep, each as often as the mix takes it.
+
+    Null and empty texts fail the base rules of the first stage; rows with a null id are judged like others, and stay where
+    stages compare ids. Ties of equal texts go to the largest id, of near ones to the smallest. Very long texts go through
+    whole. Extra columns, whatever their names, are carried up to the last stage. An empty table gives an empty result. Each
+    stage's table is deleted once the next one is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
