@@ -350,6 +350,12 @@ def count_of(severity: str, findings: Column | str = "findings") -> Column:
     return F.size(F.filter(findings, lambda f: f["severity"] == severity))
 
 
+def worst_severity(findings: Column | str = "findings") -> Column:
+    """The gravest severity among the findings; null without one."""
+    rank = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])
+    return F.array_max(F.transform(findings, lambda f: F.struct(F.try_element_at(rank, f["severity"]).alias("rank"), f["severity"].alias("severity"))))["severity"]
+
+
 def summary_text(findings: Column | str = "findings") -> Column:
     ids = F.array_sort(F.array_distinct(F.transform(findings, lambda f: f["rule_id"])))
     names = F.when(F.size(ids) == 0, "clean").otherwise(F.array_join(ids, ", "))

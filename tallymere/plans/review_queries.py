@@ -371,9 +371,11 @@ def parse_date(spark, sf_dir):
     return frame(spark, sf_dir, "v_text").select("doc_id", dates.parse_date(F.col("date_text"), 2026).alias("d")).select("doc_id", "d.date", "d.ambiguous")
 
 
-@query("two_digit_year", "select range as yy, case when 2000 + range - 2026 > 50 then 1900 + range else 2000 + range end as year from range(100)")
+@query("two_digit_year", "select o_orderkey as doc_id, o_orderkey % 100 as yy, case when 2000 + o_orderkey % 100 - 2026 > 50 then 1900 + o_orderkey % 100 else 2000 + o_orderkey % 100 end as year from {orders}")
 def two_digit_year(spark, sf_dir):
-    return spark.range(100).select(F.col("id").alias("yy"), dates.full_year(F.col("id"), 2026).alias("year"))
+    """The year that two digits stand for, for every order; the digits are the last two of its key, so that all of them occur."""
+    yy = F.col("o_orderkey") % 100
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), yy.alias("yy"), dates.full_year(yy, 2026).alias("year"))
 
 
 @query("parse_time", "select doc_id, case doc_id % 6 when 0 then '14:32:05' when 1 then '14:05:00' when 3 then '09:07:00' when 4 then '00:30:59' end as time from v_text")

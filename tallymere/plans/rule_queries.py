@@ -139,9 +139,6 @@ def repair_prompt_top12(spark, sf_dir):
     return found(spark, sf_dir).select("doc_id", rules.repair_text().alias("prompt")).where("prompt <> ''")
 
 
-@query("rule_catalogue", "select * from (values " + ", ".join(f"('{r}', '{s}')" for r, (s, _, _) in sorted(rules.REGISTRY.items())) + ") t(rule_id, severity)")
-def rule_catalogue(spark, sf_dir):
-    return rules.catalogue(spark).select("rule_id", "severity")
 
 
 @query("confidence_score", SCORED_SQL + " select doc_id, confidence from r")
@@ -175,3 +172,10 @@ def status_counts(spark, sf_dir):
 def auto_approval_rate(spark, sf_dir):
     s = scoring.scored(found(spark, sf_dir)).agg(F.count_if(F.col("status") == "auto_approved").alias("a"), F.count(F.lit(1)).alias("n"))
     return s.select(scoring.rate_even(F.col("a"), F.col("n"), 3).cast("string").alias("auto_approval_rate"))
+
+
+@query("rule_catalogue", f"with {_SUMS}, f as (" + " union all ".join(f"select '{r}' as rule_id from ({q})" for r, q in RULE_SQL.items()) + "), n as (select rule_id, count(*) as n from f group by rule_id) select t.rule_id, severity, n.n from (values " + ", ".join(f"('{r}', '{s}')" for r, (s, _, _) in sorted(rules.REGISTRY.items())) + ") t(rule_id, severity) left join n on n.rule_id = t.rule_id")
+def rule_catalogue(spark, sf_dir):
+    """Every rule with its severity and how many findings it has; null for those that have none."""
+    found = rules.findings_table(records(spark, sf_dir), NARROW).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return rules.catalogue(spark).select("rule_id", "severity").join(found, "rule_id", "left")

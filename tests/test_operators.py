@@ -250,3 +250,38 @@ def test_links_from_the_smallest_id(spark):
     least = -(2**63)
     got = {r["id"]: (r["root"], r["hops"]) for r in dedupe.link_roots(spark.createDataFrame([(least, 1), (1, 5), (7, least)], "id long, target long")).collect()}
     assert got == {least: (5, 2), 1: (5, 1), 7: (5, 3)}
+
+
+def test_worst_severity(spark):
+    from tallymere.operators import rules
+
+    df = spark.createDataFrame([([("R1", "warn"), ("R2", "error"), ("R3", "info")],), ([("R3", "info")],), ([],)], "findings array<struct<rule_id:string,severity:string>>")
+    assert [r[0] for r in df.select(rules.worst_severity()).collect()] == ["error", "info", None]
+
+
+def test_blobs_and_workbooks(spark, tmp_path):
+    from tallymere.plans import ledger_queries
+
+    from .oracle import SF
+
+    files = spark.createDataFrame([(1, b"a", datetime(2026, 3, 1)), (2, b"b", datetime(2025, 12, 31))], "id long, content binary, arrived timestamp")
+    readers.write_blobs(files, f"{tmp_path}/blobs", "arrived")
+    assert {(r["id"], r["yyyy"], r["mm"]) for r in spark.read.parquet(f"{tmp_path}/blobs").collect()} == {(1, 2026, 3), (2, 2025, 12)}
+    names = ("export_receipts_sheet", "needs_review_sheet", "export_summary")
+    sheets = {n: ledger_queries.QUERIES[n](spark, SF) for n in names}
+    readers.write_sheets(sheets, f"{tmp_path}/book")
+    for n, rows in sheets.items():
+        back = spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/book/{n}")
+        assert back.columns == rows.columns and back.count() == rows.count()
+
+
+def test_windowed_counts(spark, tmp_path):
+    from tallymere.streaming import queue
+
+    at = datetime(2026, 1, 1)
+    rows = [(at + timedelta(minutes=m), t, float(m)) for m, t in ((1, "a"), (50, "a"), (59, "b"), (61, "a"), (600, "z"))]
+    spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
+    out = queue.run_to_table(queue.by_window(stream), f"file://{tmp_path}/out", "append").collect()
+    got = {(int((r["window"]["start"] - at).total_seconds()) // 3600, r["event_type"]): (r["n"], r["value"]) for r in out}
+    assert got == {(0, "a"): (2, 51.0), (0, "b"): (1, 59.0), (1, "a"): (1, 61.0)}
