@@ -70,12 +70,8 @@ def _fits(e: Column) -> Column:
     )
 
 
-def faults(answer: Column, kind: T.StructType = RECORD) -> Column:
-    """array<string>: `path: what is wrong` of every field of an answer (a variant) that doesn't fit the schema, in its order.
-
-    Fields that the schema doesn't have don't matter; absent ones take their defaults, if they have one. Below a value that
-    is no object or list nothing more is looked at. Null for a null answer; an answer that is no object has one fault.
-    """
+def _found(answer: Column, kind: T.StructType) -> Column:
+    """array<struct<path, reason>> of the fields that don't fit, in the order of the schema; null for a null answer."""
     def wrong(e: Column) -> Column:
         absent = e["v"].isNull()
         null = e["optional"] & (F.schema_of_variant(e["v"]) == "VOID")
@@ -85,13 +81,29 @@ def faults(answer: Column, kind: T.StructType = RECORD) -> Column:
         reason = F.lit(None).cast("string")
         for k, text in REASONS.items():
             reason = F.when(e["kind"] == k, F.lit(text)).otherwise(reason)
-        return F.concat(e["path"], F.lit(": "), F.when(e["v"].isNull(), F.lit("missing")).otherwise(reason))
+        return F.struct(e["path"].alias("path"), F.when(e["v"].isNull(), F.lit("missing")).otherwise(reason).alias("reason"))
 
     found = F.transform(F.filter(_asked(answer, kind, "", ""), wrong), said)
-    return F.when(answer.isNotNull(), F.when(F.schema_of_variant(answer).startswith("OBJECT"), found).otherwise(F.array(F.lit("not an object"))))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(REASONS["object"]).alias("reason")))
+    return F.when(answer.isNotNull(), F.when(F.schema_of_variant(answer).startswith("OBJECT"), found).otherwise(whole))
+
+
+def faults(answer: Column, kind: T.StructType = RECORD) -> Column:
+    """array<string>: `path: what is wrong` of every field of an answer (a variant) that doesn't fit the schema, in its order.
+
+    Fields that the schema doesn't have don't matter; absent ones take their defaults, if they have one. Below a value that
+    is no object or list nothing more is looked at. Null for a null answer; an answer that is no object has one fault.
+    """
+    return F.transform(_found(answer, kind), lambda f: F.concat_ws(": ", f["path"], f["reason"]))
 
 
 def first_faults(answer: Column, most: int = FIRST) -> Column:
-    """The first `most` faults as one text; null where there is none."""
-    found = F.slice(faults(answer), 1, most)
-    return F.when(F.size(found) > 0, F.array_join(found, "; "))
+    """The first `most` faults as one text, `what is wrong: path, path; ...`, by what comes first; null where there is none."""
+    def grouped(s: Column) -> Column:
+        few = s["few"]
+        reasons = F.array_distinct(F.transform(few, lambda f: f["reason"]))
+        of = lambda r: F.array_join(F.transform(F.filter(few, lambda f: f["reason"] == r), lambda f: f["path"]), ", ")
+        return F.when(F.size(few) > 0, F.array_join(F.transform(reasons, lambda r: F.concat_ws(": ", r, F.nullif(of(r), F.lit("")))), "; "))
+
+    few = F.slice(_found(answer, RECORD), 1, most)
+    return F.get(F.transform(F.array(F.struct(few.alias("few"))), grouped), F.lit(0))

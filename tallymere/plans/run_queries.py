@@ -47,10 +47,11 @@ ft as (select *, opt and type = 'NULL' or case kind when 'text' then type = 'VAR
    when 'int' then type = 'BOOLEAN' or (num or type = 'VARCHAR') and regexp_full_match(s, '\s*[-+]?\d+(\.0*)?\s*')
    when 'bool' then type = 'BOOLEAN' or num and regexp_full_match(s, '[01](\.0*)?') or type = 'VARCHAR' and lower(s) in ('true', 'false', '1', '0', 'yes', 'no', 'on', 'off', 't', 'f', 'y', 'n')
    else type = 'VARCHAR' and list_contains(string_split(kind, ', '), s) end as fits from (select *, type in ('BIGINT', 'UBIGINT', 'DOUBLE') as num from kn)),
-er as (select doc_id, rung, ord, path || ': ' || case kind when 'text' then 'not a text' when 'money' then 'not a number' when 'number' then 'not a number' when 'int' then 'not a whole number' when 'bool' then 'not true or false'
+er as (select doc_id, rung, ord, path, case kind when 'text' then 'not a text' when 'money' then 'not a number' when 'number' then 'not a number' when 'int' then 'not a whole number' when 'bool' then 'not true or false'
    when 'list' then 'not a list' when 'object' then 'not an object' else 'not one of ' || kind end as said from ft where not fits
- union all select doc_id, rung, ord || '00', path || '.label: missing' from kn where regexp_full_match(path, 'line_items\[\d+\]\.modifiers\[\d+\]') and type = 'OBJECT' and not json_exists(v, '$.label')),
-e5 as (select doc_id, rung, array_to_string(list(said order by ord)[1:5], '; ') as wrong from er group by all),
+ union all select doc_id, rung, ord || '00', path || '.label', 'missing' from kn where regexp_full_match(path, 'line_items\[\d+\]\.modifiers\[\d+\]') and type = 'OBJECT' and not json_exists(v, '$.label')),
+f5 as (select doc_id, rung, said, min(ord) as first, string_agg(path, ', ' order by ord) as paths from (select *, row_number() over (partition by doc_id, rung order by ord) as k from er) where k <= 5 group by all),
+e5 as (select doc_id, rung, string_agg(said || ': ' || paths, '; ' order by first) as wrong from f5 group by all),
 re as (select js.*, case when blob_error is not null then blob_error when not valid then 'invalid JSON' else wrong end as error from js left join e5 using (doc_id, rung)),
 rec as (select doc_id, rung, error, case when error is null then j->>'$.merchant.name' end as merchant_name, case when error is null then j->>'$.totals.total' end as total, case when error is null then j->>'$.receipt.currency' end as currency from re)"""
 

@@ -43,7 +43,7 @@ def test_first_five_faults_become_the_error(spark):
     many = {"line_items": [{"qty": "x"} for _ in range(7)]}
     df = spark.createDataFrame([("so: " + json.dumps(many),), (json.dumps({"totals": {"total": "1.50"}}),), (None,)], "text string")
     rows = answers.with_record(df).select("error", "record.totals.total").collect()
-    assert rows[0]["error"] == "; ".join(f"line_items[{k}].qty: not a number" for k in range(5)) and rows[0]["total"] is None
+    assert rows[0]["error"] == "not a number: " + ", ".join(f"line_items[{k}].qty" for k in range(5)) and rows[0]["total"] is None
     assert tuple(rows[1]) == (None, "1.50") and rows[2]["error"] == "empty answer"
 
 
