@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .paths import flattened, unflattened, with_defaults
+from ..sources.record_schema import RECORD
+from .paths import bound, read_leaves, unflattened, with_defaults
 
 
 def repaired(responses: DataFrame, most_repairs: int = 1) -> DataFrame:
@@ -49,22 +51,33 @@ def path_votes(runs: DataFrame, record_col: str = "record") -> DataFrame:
     first run. Disputed are paths on which not all agree; readings are the different values there, in the order of the
     runs. With a single run its values stand and nothing is agreed or disputed.
 
-    Runs of a document meet once, dealt by its id; paths are then grouped inside the same partitions.
+    Runs of a document meet once, dealt by its id; its paths are voted on in the row.
     """
     lists = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", F.col(record_col).alias("record")))).alias("runs"))
-    each = lists.select("doc_id", F.size("runs").alias("n_runs"), F.posexplode("runs").alias("at", "r"))
-    flat = each.select("doc_id", "n_runs", "at", F.col("r.record").alias("record"))
-    rows = flattened(flat.withColumn("doc_id", F.struct("doc_id", "n_runs", "at"))).select("doc_id.doc_id", "doc_id.n_runs", "doc_id.at", "path", "kind", "value")
-    by = rows.groupBy("doc_id", "path").agg(F.max("n_runs").alias("n_runs"), F.min(F.struct("at", "kind"))["kind"].alias("kind"), F.collect_list(F.struct("at", "value")).alias("read"))
-    vote = lambda i: F.struct(F.get(F.filter("read", lambda x: x["at"] == i), F.lit(0))["value"].alias("v"))
-    votes = by.withColumn("votes", F.transform(F.sequence(F.lit(0), F.col("n_runs") - 1), vote))
-    tally = F.transform(F.array_distinct("votes"), lambda d: F.struct(F.size(F.filter("votes", lambda x: x == d)).alias("n"), (-F.array_position("votes", d)).alias("first"), d["v"].alias("v")))
-    top = votes.withColumn("top", F.array_max(tally))
-    alone, n = F.col("n_runs") == 1, F.col("n_runs")
-    return top.select(
-        "doc_id", "path", "kind", "n_runs", F.when(F.col("top.n") * 2 > n, F.col("top.v")).alias("value"), F.when(~alone, F.col("top.n") / n).alias("agreement"),
-        (F.col("top.n") < n).alias("disputed"), F.when(F.col("top.n") < n, F.transform(F.array_distinct("votes"), lambda d: d["v"])).alias("readings"),
-    )
+    n = F.size("runs").alias("n_runs")
+    rows = lists.select("doc_id", n, F.inline(votes(F.transform("runs", lambda r: r["record"]), runs.schema[record_col].dataType)))
+    alone, disputed = F.col("n_runs") == 1, F.col("n_top") < F.col("n_runs")
+    return rows.select("doc_id", "path", "kind", "n_runs", "value", F.when(~alone, F.col("n_top") / F.col("n_runs")).alias("agreement"), disputed.alias("disputed"), "readings")
+
+
+def votes(records: Column, kind: T.StructType = RECORD) -> Column:
+    """array<struct<path, kind, value, n_top, readings>>: the vote at every path of one document's records, in the order of its
+    runs; n_top is how many gave the most frequent reading, readings is null where all agree. As path_votes has it."""
+    n = lambda v: F.size(v)
+
+    def tally(v: Column) -> Column:
+        wrapped = bound(F.transform(v, lambda x: F.struct(x.alias("v"))), lambda w: F.array_max(F.transform(F.array_distinct(w), lambda d: F.struct(F.size(F.filter(w, lambda x: x == d)).alias("n"), (-F.array_position(w, d)).alias("first"), d["v"].alias("v")))))
+        return F.struct(wrapped.alias("top"), F.array_distinct(v).alias("readings"))
+
+    def one(x: Column) -> Column:
+        v = x["votes"]
+        split = bound(tally(v), lambda t: F.struct(
+            x["path"].alias("path"), x["kind"].alias("kind"), F.when(t["top"]["n"] * 2 > n(v), t["top"]["v"]).alias("value"), t["top"]["n"].alias("n_top"), t["readings"].alias("readings")))
+        same = F.struct(x["path"].alias("path"), x["kind"].alias("kind"), F.get(v, F.lit(0)).alias("value"), n(v).alias("n_top"), F.lit(None).cast("array<string>").alias("readings"))
+        agreed = F.forall(v, lambda y: y.eqNullSafe(F.get(v, F.lit(0))))
+        return F.when(agreed, same).otherwise(split)
+
+    return F.transform(read_leaves(records, kind), one)
 
 
 def disputed_lists(votes: DataFrame) -> DataFrame:

@@ -29,3 +29,7 @@ def test_leaves_in_any_order_make_one_record(spark):
     want = got["r"].asDict(True)
     want["line_items"][3]["sku"] = "b"
     assert got["back"].asDict(True) == want
+
+
+def test_votes_deal_no_leaves(spark):
+    assert "Generate" not in plan_of(catalogue.QUERIES["path_votes"](spark, SF))
