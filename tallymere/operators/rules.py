@@ -16,6 +16,7 @@ from ..functions.dates import strict_iso
 from ..functions.money import dec, digits, money_text, within
 from ..functions.text import blank, merchant_key, nfkc_each, normal_description, plain_description, strip
 from ..sources.adapters import TODAY
+from .paths import bound
 from .records import decimal_median, line_sum, purchases
 
 FINDING = "struct<rule_id:string,severity:string,message:string,field_paths:array<string>>"
@@ -366,5 +367,9 @@ def repair_text(findings: Column | str = "findings", most: int = 12) -> Column:
     """The worst findings first, at most `most` of them, for asking again."""
     serious = F.filter(findings, lambda f: f["severity"] != "info")
     keyed = F.array_sort(F.transform(serious, lambda f: F.struct(F.when(f["severity"] == "error", 0).otherwise(1).alias("k"), f["rule_id"].alias("r"), F.concat(F.lit("["), f["rule_id"], F.lit("] "), f["message"]).alias("t"))))
-    shown = F.array_join(F.transform(F.slice(keyed, 1, most), lambda f: f["t"]), "\n")
-    return F.when(F.size(keyed) > most, F.concat(shown, F.lit("\n... and "), (F.size(keyed) - most).cast("string"), F.lit(" further problems."))).otherwise(shown)
+
+    def text(ks: Column) -> Column:
+        shown = F.array_join(F.transform(F.slice(ks, 1, most), lambda f: f["t"]), "\n")
+        return F.when(F.size(ks) > most, F.concat(shown, F.lit("\n... and "), (F.size(ks) - most).cast("string"), F.lit(" further problems."))).otherwise(shown)
+
+    return bound(keyed, text)

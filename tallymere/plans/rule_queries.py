@@ -136,7 +136,9 @@ def report_summary_text(spark, sf_dir):
 
 @query("repair_prompt_top12")
 def repair_prompt_top12(spark, sf_dir):
-    return found(spark, sf_dir).select("doc_id", rules.repair_text().alias("prompt")).where("prompt <> ''")
+    texts = found(spark, sf_dir).select("doc_id", rules.repair_text().alias("prompt"))
+    # A filter would go below the text, to the rules, and run all of them again; an array of the one text doesn't.
+    return texts.select("doc_id", F.explode(F.filter(F.array("prompt"), lambda x: x != "")).alias("prompt"))
 
 
 

@@ -65,3 +65,8 @@ def test_similarity_bounds_lose_no_pair():
         for y in words:
             ratio = SequenceMatcher(None, x, y).ratio()
             assert evaluation._met([x], [y], 0.6) == ([0, 0] if ratio >= 0.6 else [])
+
+
+def test_repair_text_is_made_once(spark):
+    plan = plan_of(catalogue.QUERIES["repair_prompt_top12"](spark, SF))
+    assert not [x for x in plan.splitlines() if "Filter" in x and "array_join" in x]
