@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def outcomes(attempts: DataFrame) -> DataFrame:
+def outcomes(attempts: DataFrame, *also: str) -> DataFrame:
     """One row per document from (doc_id, rung, model_id, call_failed, usable, cost_usd, latency_ms).
 
     The first rung that read something is kept, else the last one; if that one's call failed, the document failed.
-    Every attempt is paid for. One grouping by document with map-side combining.
+    Every attempt is paid for. One grouping by document with map-side combining. `also` are further columns of the kept attempt.
     """
-    row = F.struct("rung", "model_id", "call_failed")
+    row = F.struct("rung", "model_id", "call_failed", *also)
     good = ~F.col("call_failed") & F.col("usable")
     found = attempts.groupBy("doc_id").agg(
         F.min(F.when(good, row)).alias("first"), F.max(row).alias("last"), F.count(F.lit(1)).alias("n_attempts"),
         F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"), F.sum("latency_ms").alias("latency_ms"),
     )
     kept = F.coalesce("first", "last")
-    return found.select("doc_id", kept["rung"].alias("rung"), kept["model_id"].alias("model_id"), kept["call_failed"].alias("failed"), F.col("first").isNull().alias("read_nothing"), "n_attempts", "cost_usd", "latency_ms")
+    return found.select("doc_id", kept["rung"].alias("rung"), kept["model_id"].alias("model_id"), kept["call_failed"].alias("failed"), F.col("first").isNull().alias("read_nothing"), "n_attempts", "cost_usd", "latency_ms", *[kept[c].alias(c) for c in also])
 
 
 def failures_landed(receipts: DataFrame, failed: DataFrame) -> DataFrame:

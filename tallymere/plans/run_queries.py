@@ -129,8 +129,9 @@ def failures_landed(spark, sf_dir):
 select doc_id, case when i.doc_id is not null and status <> 'reviewed' then i.total else r.total end as total, cast(case when i.doc_id is not null and status <> 'reviewed' then 0.9 else confidence end as decimal(4,3)) as confidence,
  case when i.doc_id is null then 'kept' when status = 'reviewed' then 'refused' else 'updated' end as verdict from v_receipts r left join inc i using (doc_id)""")
 def extractions_saved(spark, sf_dir):
-    read = _answers(spark, sf_dir).select("doc_id", "rung", F.col("record.totals.total").cast("decimal(14,4)").alias("total"), F.lit("0.9").cast("decimal(4,3)").alias("confidence"))
-    kept = _outcomes(spark, sf_dir).where("not read_nothing").select("doc_id", "rung").join(read, ["doc_id", "rung"])
+    usable = F.coalesce(answers.has_content(), F.lit(False)).alias("usable")
+    read = _answers(spark, sf_dir).select("doc_id", "rung", "model_id", "call_failed", "cost_usd", "latency_ms", usable, F.col("record.totals.total").cast("decimal(14,4)").alias("total"))
+    kept = runs.outcomes(read, "total").where("not read_nothing").select("doc_id", "total", F.lit("0.9").cast("decimal(4,3)").alias("confidence"))
     return runs.saved(frame(spark, sf_dir, "v_receipts"), kept)
 
 

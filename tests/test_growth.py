@@ -70,3 +70,7 @@ def test_similarity_bounds_lose_no_pair():
 def test_repair_text_is_made_once(spark):
     plan = plan_of(catalogue.QUERIES["repair_prompt_top12"](spark, SF))
     assert not [x for x in plan.splitlines() if "Filter" in x and "array_join" in x]
+
+
+def test_answers_are_parsed_once_for_what_is_saved(spark):
+    assert plan_of(catalogue.QUERIES["extractions_saved"](spark, SF)).count("Union") == 1
