@@ -1,6 +1,7 @@
 """What queries deal out and store as their tables grow: no row a leaf, nothing worked out twice."""
 
 import json
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tallymere import catalogue
 from tallymere.operators import evaluation, paths
 from tallymere.sources.record_schema import RECORD
+from tallymere.sources.shared import sweeping
 
 from .oracle import SF
 
@@ -74,3 +76,15 @@ def test_repair_text_is_made_once(spark):
 
 def test_answers_are_parsed_once_for_what_is_saved(spark):
     assert plan_of(catalogue.QUERIES["extractions_saved"](spark, SF)).count("Union") == 1
+
+
+def test_swept_writes_leave_no_shuffle_files(spark, tmp_path):
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = kept()
+    with sweeping(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "t"))
+    deadline = time.time() + 10
+    while kept() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert kept() <= before
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
